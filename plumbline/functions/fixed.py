@@ -42,6 +42,9 @@ KEY_WORDS = ["id", "key", "code", "uuid", "pk"]
 FEATURE_DATE_WORDS = ["date", "time", "day", "month", "year", "created", "updated"]
 PRICE_WORDS = ["price", "cost", "spend", "spent", "amount", "revenue", "sales", "total"]
 QUANTITY_WORDS = ["qty", "quantity", "count", "units", "volume", "num"]
+# The narrower lists by which a unit price picks its two columns.
+UNIT_PRICE_WORDS = ["price", "cost", "spend", "spent", "amount", "total"]
+UNIT_QUANTITY_WORDS = ["qty", "quantity", "count", "units"]
 
 # Business impact of a gap, by words in the column name; the first match wins.
 IMPACT_CLASSES = [

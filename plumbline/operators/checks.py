@@ -153,7 +153,7 @@ def check_outliers(df: DataFrame, metrics: DataFrame | None = None, z: float = 3
         q1, q3 = fences[c]
         for metric, value in [("zscore_outliers", counted[c]), ("iqr_lower", q1 - 1.5 * (q3 - q1)),
                               ("iqr_upper", q3 + 1.5 * (q3 - q1)), ("mean", stats[c]["mean"]), ("std", stats[c]["std"])]:
-            rows.append(("outliers", c, metric, round(float(value), 4)))
+            rows.append(("outliers", c, metric, float(value)))
     return local_table(df.sparkSession, rows, FINDINGS)
 
 

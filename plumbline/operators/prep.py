@@ -166,8 +166,8 @@ def add_frequency(df: DataFrame, column: str) -> DataFrame:
 
 def add_unit_price(df: DataFrame) -> DataFrame:
     """``avg_unit_price``: first price-named column over first quantity-named one, 0 meaning unknown."""
-    prices = columns_named(numeric_columns(df), fixed.PRICE_WORDS)
-    quantities = columns_named(numeric_columns(df), fixed.QUANTITY_WORDS)
+    prices = columns_named(numeric_columns(df), fixed.UNIT_PRICE_WORDS)
+    quantities = columns_named(numeric_columns(df), fixed.UNIT_QUANTITY_WORDS)
     if not prices or not quantities:
         return df
     return df.withColumn("avg_unit_price", F.try_divide(name(prices[0]).cast("double"), name(quantities[0]).cast("double")))
