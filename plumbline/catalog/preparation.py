@@ -71,10 +71,10 @@ def _(spark, d):
 
 
 @query("feature_unit_price", """
-SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(l_extendedprice / nullif(l_quantity, 0), 4) AS avg_unit_price FROM lineitem""")
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(l_extendedprice / nullif(l_quantity, 0), 8) AS avg_unit_price FROM lineitem""")
 def _(spark, d):
     df = frame(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    return rounded(prep.add_unit_price(df).select("l_orderkey", "l_linenumber", "avg_unit_price"))
+    return rounded(prep.add_unit_price(df).select("l_orderkey", "l_linenumber", "avg_unit_price"), 8)
 
 
 @query("feature_value_flag", """

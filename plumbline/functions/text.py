@@ -5,6 +5,7 @@ Everything here is a built-in expression: null in, null out, no Python workers.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -47,13 +48,25 @@ def strip_currency(c: Column) -> Column:
     return F.regexp_replace(c, fixed.CURRENCY_PATTERN, "")
 
 
+def _shape(date_format: str) -> str:
+    """Pattern of the texts a date format can parse: a cheap test before the costly attempt."""
+    widths = {"yyyy": r"\d{4}", "MMM": r"\p{L}{3,4}\.?", "MM": r"\d{2}", "dd": r"\d{2}",
+              "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}"}
+    parts = re.findall(r"([A-Za-z])(\1*)|([^A-Za-z])", date_format)
+    return "^" + "".join(widths.get(a + b, r".+") if a else "\\" + other for a, b, other in parts) + "$"
+
+
 def parse_timestamp(c: Column, dtype: T.DataType, formats: Sequence[str] | None = None) -> Column:
-    """ISO forms first, then each format in turn; null when none parses."""
+    """ISO forms first, then each format in turn; null when none parses.
+
+    A failed attempt costs an exception inside the JVM, so a format is only tried on
+    texts of its shape.
+    """
     if not isinstance(dtype, T.StringType):
         return c.try_cast("timestamp_ntz")
     formats = fixed.DATE_FORMATS if formats is None else formats
     attempts = [c.try_cast("timestamp_ntz")]
-    attempts += [F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    attempts += [F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))).cast("timestamp_ntz") for f in formats]
     return F.coalesce(*attempts)
 
 

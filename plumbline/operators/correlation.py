@@ -56,10 +56,12 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None, metrics:
 
 
 def _with_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    numbers = df.select(*[name(c).cast("double").alias(c) for c in columns])
+    ranks = materialize(average_ranks(numbers, columns), "ranks")
     for c in columns:
-        ranks = average_ranks(df, c, f"_rank_{c}").withColumnRenamed(c, "_value")
-        df = df.join(ranks, name(c) == F.col("_value"), "left").drop("_value")
-    return df
+        of_column = ranks.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("rank").alias(f"_rank_{c}"))
+        numbers = numbers.join(of_column, name(c) == F.col("_value"), "left").drop("_value")
+    return numbers
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -72,7 +74,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
     def correlate(rows: DataFrame, ranked: Sequence[str]) -> DataFrame:
         rows = _with_ranks(rows.select(*[name(c) for c in ranked]), ranked)
-        return pearson_pairs(materialize(rows.select(*[name(f"_rank_{c}").alias(c) for c in ranked]), "ranks"), ranked)
+        return pearson_pairs(materialize(rows.select(*[name(f"_rank_{c}").alias(c) for c in ranked]), "ranked"), ranked)
 
     out = None
     if len(full) > 1:
@@ -94,11 +96,12 @@ def _kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     combine, over rows x digits of a x digits of b.
     """
     points = materialize(df.where(name(a).isNotNull() & name(b).isNotNull())
-                         .groupBy(name(a).alias("x"), name(b).alias("y")).agg(F.count(F.lit(1)).alias("w")), "points")
-    xs = dense_index(points, "x", "cx").withColumnRenamed("x", "_x")
-    ys = dense_index(points, "y", "cy").withColumnRenamed("y", "_y")
-    top = xs.agg(F.max("cx").alias("m")).unionAll(ys.agg(F.max("cy").alias("m"))).collect()
-    levels = [max(1, math.ceil(math.log(max(r["m"] or 0, 1) + 1, 4))) for r in top]
+                         .groupBy(name(a).cast("double").alias("x"), name(b).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("w")), "points")
+    codes = materialize(dense_index(points, ["x", "y"]), "codes")
+    xs = codes.where("column = 'x'").select(F.col("value").alias("_x"), F.col("code").alias("cx"))
+    ys = codes.where("column = 'y'").select(F.col("value").alias("_y"), F.col("code").alias("cy"))
+    top = {r["column"]: r["m"] for r in codes.groupBy("column").agg(F.max("code").alias("m")).collect()}
+    levels = [max(1, math.ceil(math.log(top.get(side, 0) + 1, 4))) for side in ("x", "y")]
     coded = (points.join(xs, F.col("x") == F.col("_x")).join(ys, F.col("y") == F.col("_y"))
              .select("w", "cx", "cy"))
     cells = (coded.withColumn("lx", F.explode(F.sequence(F.lit(0), F.lit(levels[0] - 1))))

@@ -111,30 +111,37 @@ def _replace(df: DataFrame, rows: DataFrame, values: dict[str, Column]) -> DataF
     return rows.select(*[values[c].alias(c) if c in values else name(c) for c in df.columns])
 
 
-def running_counts(values: DataFrame, value: str, count: str, alias: str) -> DataFrame:
-    """Rows strictly before each distinct value, for a table of ``(value, count)``."""
-    ranged = materialize(values.repartitionByRange(name(value)).withColumn(_SLICE, F.spark_partition_id()), "slices")
-    sizes = ranged.groupBy(_SLICE).agg(F.sum(name(count)).alias("_size"))
-    before = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(_SLICE, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias(_OFFSET))
-    inside = Window.partitionBy(_SLICE).orderBy(name(value)).rowsBetween(Window.unboundedPreceding, -1)
-    return (ranged.join(F.broadcast(offsets), _SLICE)
-            .withColumn(alias, F.col(_OFFSET) + F.coalesce(F.sum(name(count)).over(inside), F.lit(0)))
+def running_counts(values: DataFrame, alias: str = "before") -> DataFrame:
+    """For a table ``(column, value, n)`` with one row per distinct value: the rows of the same
+    column that come before each value. All columns are ordered in one range partitioning."""
+    ranged = materialize(values.repartitionByRange("column", "value").withColumn(_SLICE, F.spark_partition_id()), "slices")
+    # One row per slice and column: a prefix sum over a table that small is a plain window.
+    parts = ranged.groupBy("column", _SLICE).agg(F.sum("n").alias("_size"))
+    before = Window.partitionBy("column").orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("column", _SLICE, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias(_OFFSET))
+    inside = Window.partitionBy("column", _SLICE).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.join(F.broadcast(offsets), ["column", _SLICE])
+            .withColumn(alias, F.col(_OFFSET) + F.coalesce(F.sum("n").over(inside), F.lit(0)))
             .drop(_SLICE, _OFFSET))
 
 
-def average_ranks(df: DataFrame, column: str, alias: str = "rank") -> DataFrame:
-    """``(column, rank)`` for each distinct non-null value; ties share their mean rank.
+def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value)`` of all non-null cells; the columns must share one type."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), name(c).alias("value")) for c in columns])
+    return df.select(F.inline(cells)).where(F.col("value").isNotNull())
+
+
+def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value, rank)`` for each distinct non-null value; ties share their mean rank.
 
     Equal values collapse to one row before anything is ordered, so a value that holds
     a third of the table costs no more than any other.
     """
-    counts = df.where(name(column).isNotNull()).groupBy(name(column)).agg(F.count(F.lit(1)).alias("_n"))
-    return running_counts(counts, column, "_n", "_before").select(
-        name(column), (F.col("_before") + (F.col("_n") + 1) / 2).alias(alias))
+    counts = _cells(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return running_counts(counts).select("column", "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def dense_index(df: DataFrame, column: str, alias: str = "code") -> DataFrame:
-    """``(column, code)``: 0-based position of each distinct non-null value in sorted order."""
-    values = df.select(name(column)).where(name(column).isNotNull()).distinct().withColumn("_one", F.lit(1))
-    return running_counts(values, column, "_one", "_before").select(name(column), F.col("_before").alias(alias))
+def dense_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value, code)``: 0-based position of each distinct non-null value in sorted order."""
+    values = _cells(df, columns).distinct().withColumn("n", F.lit(1))
+    return running_counts(values).select("column", "value", F.col("before").alias("code"))

@@ -53,7 +53,7 @@ def _lookup(df: DataFrame, column: str, table: DataFrame, value: str, alias: str
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """``(column, code)``: rank of each distinct value, from 0."""
-    return dense_index(df, column, "code")
+    return dense_index(df, [column]).select(F.col("value").alias(column), "code")
 
 
 def _counts(df: DataFrame, column: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,6 +14,8 @@ from plumbline.operators import checks
 from plumbline.operators.metrics import CELL_TYPES, cell_profile, per_column
 from plumbline.session import local_table
 
+AUDIT_THREADS = 4  # checks whose jobs may run side by side
+
 # Checks whose severity rests on the sum of one metric; the others count columns.
 _SUMMED = {"duplicates": "count", "empty_rows": "count", "nulls": "null_count", "outliers": "zscore_outliers",
            "email_format": "invalid", "phone_format": "invalid", "test_data": "count"}
@@ -22,7 +25,8 @@ def check_totals(findings: DataFrame) -> DataFrame:
     """``(check, total, columns)``: what each check found."""
     summed = reduce(lambda a, b: a | b, [(F.col("check") == k) & (F.col("metric") == m) for k, m in _SUMMED.items()])
     counted = ~F.col("check").isin(list(_SUMMED)) & (F.col("check") != "high_correlation")
-    return findings.groupBy("check").agg(
+    # One row per column and metric: one partition, no shuffle.
+    return findings.coalesce(1).groupBy("check").agg(
         F.when(F.first("check").isin(list(_SUMMED)), F.coalesce(F.sum(F.when(summed, F.col("value"))), F.lit(0.0)))
         .when(F.first("check") == "high_correlation", F.count(F.lit(1)))
         .otherwise(F.countDistinct(F.when(counted, F.col("column")))).cast("bigint").alias("total"),
@@ -116,8 +120,10 @@ def audit(df: DataFrame, corr_threshold: float = 0.95, as_of: str | None = None,
         checks.check_typos(df, typo_threshold, estimates=estimates),
         checks.check_pii(df),
     ]
-    found = reduce(DataFrame.unionByName, parts)
-    findings = local_table(spark, found.collect(), checks.FINDINGS)  # one row per column and metric
+    # Independent small results: overlap their jobs. One row per column and metric in all.
+    with ThreadPoolExecutor(AUDIT_THREADS) as pool:
+        collected = list(pool.map(DataFrame.collect, parts))
+    findings = local_table(spark, [row for part in collected for row in part], checks.FINDINGS)
     rows = counts.first()["rows"]
     summary = summarise(findings, rows, len(df.columns))
     summary = local_table(spark, summary.orderBy("position").collect(), summary.schema)

@@ -9,6 +9,7 @@ The join returns a superset of the similar pairs; the exact distance then decide
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
@@ -36,18 +37,17 @@ def limited_values(df: DataFrame, columns: Sequence[str] | None, limit: int,
                    estimates: dict[str, int] | None = None) -> DataFrame:
     """Value counts of the columns with 2 to ``limit`` distinct values.
 
-    A sketch drops the columns that are far beyond the limit before anything is
-    grouped; the exact count decides for the rest, on at most ~2 x limit rows each.
+    A sketch rules out the columns far beyond the limit before anything is grouped, so
+    what is collected is bounded by the schema: about ``2 * limit`` rows a column. The
+    exact count then decides. One partition holds it, so pairing needs no shuffle.
     """
     columns = string_columns(df) if columns is None else list(columns)
     estimates = distinct_estimates(df, columns) if estimates is None else estimates
-    near = [c for c in columns if estimates.get(c, 0) <= 2 * limit]
-    if not near:
-        return local_table(df.sparkSession, [], "column string, value string, freq bigint")
-    counts = value_counts(df, near)
-    sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
-    keep = sizes.where(F.col("distinct_values").between(2, limit)).select("column")
-    return counts.join(keep, "column", "left_semi")
+    near = [c for c in columns if 1 <= estimates.get(c, 0) <= 2 * limit]
+    rows = value_counts(df, near).collect() if near else []
+    sizes = Counter(r["column"] for r in rows)
+    kept = [r for r in rows if 2 <= sizes[r["column"]] <= limit]
+    return local_table(df.sparkSession, kept, "column string, value string, freq bigint").coalesce(1)
 
 
 def similarity(a: Column, b: Column) -> Column:
