@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from plumbline.functions import fixed
 
 def strip(c: Column) -> Column:
     """Remove all edge whitespace (the built-in ``trim`` removes spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(fixed.WHITESPACE))
 
 
 def collapse_whitespace(c: Column) -> Column:
@@ -65,9 +66,11 @@ def parse_timestamp(c: Column, dtype: T.DataType, formats: Sequence[str] | None
     if not isinstance(dtype, T.StringType):
         return c.try_cast("timestamp_ntz")
     formats = fixed.DATE_FORMATS if formats is None else formats
-    attempts = [c.try_cast("timestamp_ntz")]
-    attempts += [F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(*attempts)
+    iso = c.try_cast("timestamp_ntz")
+    if not formats:
+        return iso
+    attempts = [F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))).cast("timestamp_ntz") for f in formats]
+    return F.coalesce(iso, F.when(c.rlike("|".join(_shape(f) for f in formats)), F.coalesce(*attempts)))
 
 
 def is_junk(c: Column) -> Column:
@@ -79,9 +82,12 @@ def test_word_pattern() -> str:
 
 
 def has_test_word(c: Column) -> Column:
-    return F.lower(c).rlike(test_word_pattern())
+    """A byte search for the bare words comes first: it spares most long texts the pattern."""
+    lowered = F.lower(c)
+    present = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(word)) for word in fixed.TEST_WORDS])
+    return present & lowered.rlike(test_word_pattern())
 
 
 def is_blank(c: Column) -> Column:
     """Null or nothing but whitespace."""
-    return c.isNull() | c.cast("string").rlike(r"(?U)^\s*$")
+    return c.isNull() | (strip(c.cast("string")) == "")

@@ -95,7 +95,7 @@ def dropped_duplicates(df: DataFrame, row_id: str, subset: Sequence[str] | None
 def drop_empty_rows(df: DataFrame) -> DataFrame:
     """Whitespace-only text becomes null everywhere, then rows without any value go."""
     blanked = df.withColumns({
-        c: F.when(~name(c).rlike(r"(?U)^\s*$"), name(c)) for c in string_columns(df)}) if string_columns(df) else df
+        c: F.when(~text.is_blank(name(c)), name(c)) for c in string_columns(df)}) if string_columns(df) else df
     return blanked.na.drop("all")
 
 

@@ -21,38 +21,38 @@ PAIRS = "col_a string, col_b string, r double"
 def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None, metrics: DataFrame | None = None) -> DataFrame:
     """``(col_a, col_b, r)`` for every column pair; null when one side has no variance.
 
-    One scan finds means and deviations (``metrics`` saves it), a second one averages the
-    products of standardised values. Pairs without nulls cost a single average each.
+    One scan finds means and deviations (``metrics`` saves it). A second one unfolds each
+    row to its column pairs, standardised, and sums their moments by pair over the rows
+    where both cells are present; it combines map-side to one row a pair.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
     pairs = list(combinations(columns, 2))
     if not pairs:
         return local_table(df.sparkSession, [], PAIRS)
-    stats = per_column(df, columns, ["nulls", "mean", "std_pop"]) if metrics is None else metrics
+    stats = per_column(df, columns, ["mean", "std_pop"]) if metrics is None else metrics
     stats = {r["column"]: r for r in stats.collect()}
-
-    def scaled(c: str) -> Column:
-        return (name(c).cast("double") - stats[c]["mean"]) / stats[c]["std_pop"]
-
-    def correlation(a: str, b: str) -> Column:
-        if not (stats[a]["std_pop"] and stats[b]["std_pop"]):
-            return F.lit(None).cast("double")
-        x, y = scaled(a), scaled(b)
-        if not (stats[a]["nulls"] or stats[b]["nulls"]):
-            return F.avg(x * y)
-        # Moments over the rows where both cells are present.
-        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        vx, vy = F.avg(x * x) - F.avg(x) * F.avg(x), F.avg(y * y) - F.avg(y) * F.avg(y)
-        flat = (vx <= 1e-12) | (vy <= 1e-12)
-        return F.when(~flat, (F.avg(x * y) - F.avg(x) * F.avg(y)) / F.sqrt(vx * vy))
-
-    out = None
-    for i in range(0, len(pairs), PAIRS_PER_PASS):
-        entries = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), correlation(a, b).alias("r"))
-                            for a, b in pairs[i:i + PAIRS_PER_PASS]])
-        part = df.agg(entries.alias("e")).select(F.inline("e"))
-        out = part if out is None else out.unionAll(part)
-    return out
+    names = local_table(df.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, col_a string, col_b string")
+    live = [(i, a, b) for i, (a, b) in enumerate(pairs) if stats[a]["std_pop"] and stats[b]["std_pop"]]
+    if not live:
+        return names.select("col_a", "col_b", F.lit(None).cast("double").alias("r"))
+
+    used = list(dict.fromkeys(c for _, a, b in live for c in (a, b)))
+    rows = df.select(*[((name(c).cast("double") - stats[c]["mean"]) / stats[c]["std_pop"]).alias(f"s{columns.index(c)}")
+                       for c in used])
+    moments = None
+    for start in range(0, len(live), PAIRS_PER_PASS):
+        entries = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"s{columns.index(a)}").alias("x"),
+                                     F.col(f"s{columns.index(b)}").alias("y"))
+                            for i, a, b in live[start:start + PAIRS_PER_PASS]])
+        x, y = F.col("x"), F.col("y")
+        part = (rows.select(F.inline(entries)).where(x.isNotNull() & y.isNotNull()).groupBy("i")
+                .agg(F.avg(x).alias("x"), F.avg(y).alias("y"), F.avg(x * x).alias("xx"),
+                     F.avg(y * y).alias("yy"), F.avg(x * y).alias("xy")))
+        moments = part if moments is None else moments.unionAll(part)
+    x, y = F.col("x"), F.col("y")
+    vx, vy = F.col("xx") - x * x, F.col("yy") - y * y
+    r = F.when((vx > 1e-12) & (vy > 1e-12), (F.col("xy") - x * y) / F.sqrt(vx * vy))
+    return names.join(F.broadcast(moments), "i", "left").select("col_a", "col_b", r.alias("r"))  # one row a pair
 
 
 def _with_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -83,6 +83,11 @@ def per_column(df: DataFrame, columns: Sequence[str] | None,
     """One row per column: ``column``, ``position`` and the asked measures, from one scan."""
     columns = df.columns if columns is None else list(columns)
     if not isinstance(measures, Mapping):
+        if "distinct_estimate" in measures and len(measures) > 1:
+            # Beside a sketch, plain aggregates lose code generation: a scan each is faster.
+            plain = per_column(df, columns, [m for m in measures if m != "distinct_estimate"])
+            sketched = per_column(df, columns, {"distinct_estimate": MEASURES["distinct_estimate"]}).drop("position")
+            return plain.join(F.broadcast(sketched), "column").select("column", "position", *measures)
         measures = {m: MEASURES[m] for m in measures}
     schema = "column string, position int, " + ", ".join(f"`{m}` {t}" for m, (t, _) in measures.items())
     if not columns:
@@ -163,7 +168,7 @@ def _cell_measures() -> dict[str, Column]:
         "mean": F.avg(num),
         "std": F.stddev_samp(num),
         "std_pop": F.stddev_pop(num),
-        "edge_space": F.bool_or(txt.rlike(r"(?U)^\s|\s\z")),
+        "edge_space": F.bool_or(txt != text.strip(txt)),
         "inner_space": F.bool_or(txt.rlike(r"(?U)\s{2,}")),
         "sql_breaking": F.bool_or(txt.rlike(fixed.SQL_BREAKING_PATTERN)),
         "html_tags": F.bool_or(txt.rlike(fixed.HTML_TAG_PATTERN)),
