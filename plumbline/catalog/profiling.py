@@ -9,6 +9,8 @@ from plumbline.catalog.registry import columns_of, frame, query, rounded, stamp,
 from plumbline.functions import fixed
 from plumbline.operators import correlation, profile, sqltypes
 from plumbline.operators.privacy import masked
+from plumbline.session import local_table
+from plumbline.sources import files
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 JUNK = ", ".join("'" + w + "'" for w in fixed.JUNK_WORDS)
@@ -334,8 +336,8 @@ def _filter_query(label: str) -> None:
 
     @query(f"filter_{label}", f"SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE {condition}")
     def _(spark, d):
-        df = frame(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
-        return profile.filter_rows(df, column, op, value).drop("o_totalprice")
+        df = files.read_parquet(spark, f"{d}/orders.parquet", nan_as_null=False)
+        return profile.filter_rows(df, column, op, value).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 
 
 for _label in FILTERS:
@@ -407,7 +409,6 @@ UNION ALL SELECT 'lineitem', CASE WHEN count(DISTINCT l_orderkey) = count(*) THE
   WHEN count(DISTINCT l_partkey) = count(*) THEN 'l_partkey' WHEN count(DISTINCT l_suppkey) = count(*) THEN 'l_suppkey' END FROM lineitem""")
 def _(spark, d):
     rows = [(t, sqltypes.primary_key(frame(spark, d, t))) for t in ("orders", "lineitem")]
-    from plumbline.session import local_table
     return local_table(spark, rows, "table_name string, key string")
 
 
@@ -424,7 +425,6 @@ def _(spark, d):
     + (" || CASE WHEN count(DISTINCT o_orderkey) = count(*) THEN ' PRIMARY KEY' ELSE '' END" if c == "o_orderkey" else "")
     for c, _, t in ORDER_TYPES) + " || chr(10) || ');' AS ddl FROM orders")
 def _(spark, d):
-    from plumbline.session import local_table
     return local_table(spark, [(sqltypes.create_table(frame(spark, d, "orders"), "orders"),)], "ddl string")
 
 

@@ -74,6 +74,8 @@ def row_keys(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
 
 def duplicate_counts(df: DataFrame) -> DataFrame:
     """One row: rows, and rows beyond the first of each group of equal rows."""
+    if not df.columns:  # every column has been dropped: nothing left to compare
+        return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(0).cast("bigint").alias("duplicates"))
     keys = [k.alias(f"k{i}") for i, k in enumerate(row_keys(df))]
     groups = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
@@ -89,6 +91,8 @@ def check_duplicates(df: DataFrame) -> DataFrame:
 
 def blank_row(df: DataFrame) -> Column:
     """Every cell null or whitespace-only."""
+    if not df.columns:
+        return F.lit(False)
     atomic = set(atomic_columns(df))
     return reduce(lambda a, b: a & b, [
         text.is_blank(name(c)) if c in atomic else name(c).isNull() for c in df.columns])

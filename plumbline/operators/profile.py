@@ -123,8 +123,7 @@ def distribution_summary(df: DataFrame, column: str) -> DataFrame:
 
 def table_kpis(df: DataFrame) -> DataFrame:
     """One row: rows, columns, nulls over all cells, duplicate rows."""
-    nulls = df.agg(sum([F.count_if(name(c).isNull()) for c in df.columns[1:]],
-                       F.count_if(name(df.columns[0]).isNull())).alias("nulls")).first()["nulls"]
+    nulls = per_column(df, None, ["nulls"]).agg(F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls")).first()["nulls"]
     return checks.duplicate_counts(df).select("rows", F.lit(len(df.columns)).alias("cols"),
                                               F.lit(nulls).cast("bigint").alias("nulls"), "duplicates")
 
@@ -304,17 +303,25 @@ def filter_rows(df: DataFrame, column: str, op: str, value, literal: bool = Fals
     with ``literal``); ``> < >= <=`` compare as numbers and drop what is not a number."""
     c = name(column)
     dtype = type_of(df, column)
+    words = c if isinstance(dtype, T.StringType) else c.cast("string")
     if op == "==":
-        return df.where(c.cast("string") == str(value))
+        return df.where(words == str(value))
     if op == "!=":
-        return df.where(~c.cast("string").eqNullSafe(F.lit(str(value))))
+        return df.where(~words.eqNullSafe(F.lit(str(value))))
     if op == "contains":
         if literal:
             return df.where(F.contains(F.lower(c.cast("string")), F.lit(str(value).lower())))
         return df.where(c.cast("string").rlike("(?i)" + str(value)))
-    number = text.parse_number(c) if isinstance(dtype, T.StringType) else c.try_cast("double")
     v = float(value)
-    return df.where({">": number > v, "<": number < v, ">=": number >= v, "<=": number <= v}[op])
+    if isinstance(dtype, T.StringType):
+        c = text.parse_number(c)
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        df = df.where(~F.isnan(c))  # NaN counts as missing
+    elif isinstance(dtype, T.NumericType):
+        v = int(v) if v.is_integer() else v  # a whole number compares without a cast, so the scan can use it
+    else:
+        c = c.try_cast("double")
+    return df.where({">": c > v, "<": c < v, ">=": c >= v, "<=": c <= v}[op])
 
 
 def preview(df: DataFrame, n: int = 20, order_by: Sequence[str] | None = None) -> DataFrame:

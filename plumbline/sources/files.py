@@ -30,8 +30,10 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     return normalise((reader.schema(schema) if schema is not None else reader).json(path))
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return normalise(spark.read.parquet(path))
+def read_parquet(spark: SparkSession, path: str, nan_as_null: bool = True) -> DataFrame:
+    """Parquet as stored. With ``nan_as_null=False`` float filters still reach the scan."""
+    df = spark.read.parquet(path)
+    return normalise(df) if nan_as_null else df
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
