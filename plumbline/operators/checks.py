@@ -17,7 +17,7 @@ from plumbline.functions import fixed, text
 from plumbline.functions.columns import (
     atomic_columns, columns_named, name, numeric_columns, string_columns, type_of)
 from plumbline.operators import correlation, similarity
-from plumbline.operators.metrics import boolean_pair, cell_profile, per_column, unpivot
+from plumbline.operators.metrics import boolean_pair, per_column, text_profile, unpivot
 from plumbline.operators.quantiles import quantiles
 from plumbline.session import local_table
 
@@ -34,13 +34,20 @@ def _metrics(df: DataFrame, metrics: DataFrame | None, measures: list[str]) -> D
 
 
 def _text_metrics(df: DataFrame, metrics: DataFrame | None, measures: list[str]) -> DataFrame:
-    return cell_profile(df, string_columns(df), measures) if metrics is None else metrics
+    return text_profile(df, None, measures) if metrics is None else metrics
 
 
-def _worded_columns(df: DataFrame) -> list[str]:
-    """Columns that can hold boolean words: text, whole numbers, booleans."""
-    return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, (T.StringType, T.IntegralType, T.BooleanType))]
+def _typed_metrics(df: DataFrame, metrics: DataFrame | None, measures: list[str]) -> DataFrame:
+    """Text measures of the text columns beside ``boolean_pair`` of whole numbers and booleans."""
+    if metrics is not None:
+        return metrics
+    others = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.IntegralType, T.BooleanType))]
+    return text_profile(df, None, measures).drop("position").unionByName(
+        per_column(df, others, ["boolean_pair"]).drop("position"), allowMissingColumns=True)
+
+
+def _boolean() -> Column:
+    return F.coalesce(boolean_pair(F.col("boolean_words")), F.col("boolean_pair"))
 
 
 def _flags(metrics: DataFrame, check: str, flags: dict[str, Column]) -> DataFrame:
@@ -192,18 +199,17 @@ def check_date_formats(df: DataFrame, as_of: str | None = None, columns: list[st
 
 
 def check_data_types(df: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    m = cell_profile(df, _worded_columns(df), ["money_share", "boolean_words"]) if metrics is None else metrics
+    m = _typed_metrics(df, metrics, ["money_share", "boolean_words"])
     return _flags(m, "data_types", {"numeric_as_text": F.col("money_share") > 0.85,
-                                    "boolean_as_other": boolean_pair(F.col("boolean_words"))})
+                                    "boolean_as_other": _boolean()})
 
 
 def schema_issues(df: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
     """Unscored: text columns that are really numbers or dates, any column that is a boolean pair."""
-    measures = ["money_share", "date_share", "boolean_words"]
-    m = cell_profile(df, _worded_columns(df), measures) if metrics is None else metrics
+    m = _typed_metrics(df, metrics, ["money_share", "date_share", "boolean_words"])
     return _flags(m, "schema_issues", {
         "numeric_as_text": F.col("money_share") > 0.85, "date_as_text": F.col("date_share") > 0.85,
-        "boolean_as_other": boolean_pair(F.col("boolean_words"))})
+        "boolean_as_other": _boolean()})
 
 
 def check_sparse_columns(df: DataFrame, metrics: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:

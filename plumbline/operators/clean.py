@@ -20,7 +20,7 @@ from plumbline.functions.columns import (
     type_class, type_of)
 from plumbline.operators import checks, ordering
 from plumbline.operators.correlation import high_pairs
-from plumbline.operators.metrics import cell_profile, only_boolean_words, per_column
+from plumbline.operators.metrics import only_boolean_words, per_column, text_profile
 from plumbline.operators.quantiles import quantiles
 from plumbline.session import local_table
 
@@ -252,12 +252,8 @@ def junk_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 def text_number_columns(df: DataFrame, minimum: float = 0.7) -> list[str]:
     """Text columns of which at least ``minimum`` of the real (non-junk) cells are numbers."""
-    def real(c: Column) -> Column:
-        value = text.strip(c)
-        return F.when(~F.lower(value).isin(fixed.JUNK_WORDS), value)
-    m = per_column(df, string_columns(df), {
-        "share": ("double", lambda c, t: F.avg(F.when(real(c).isNotNull(), text.parse_number(real(c)).isNotNull().cast("int"))))})
-    return [r["column"] for r in m.where(F.col("share") >= minimum).collect()]
+    m = text_profile(df, None, ["real_number_share"])
+    return [r["column"] for r in m.where(F.col("real_number_share") >= minimum).collect()]
 
 
 def coerce_numeric_text(df: DataFrame) -> DataFrame:
@@ -324,7 +320,7 @@ def fix_date_formats(df: DataFrame, columns: Sequence[str] | None = None,
 def convert_booleans(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Text columns that hold nothing but boolean words become booleans."""
     columns = string_columns(df) if columns is None else list(columns)
-    masks = cell_profile(df, columns, ["boolean_words"]).where(only_boolean_words(F.col("boolean_words"))).collect()
+    masks = text_profile(df, columns, ["boolean_words"]).where(only_boolean_words(F.col("boolean_words"))).collect()
     truths = [pair[0] for pair in fixed.BOOLEAN_PAIRS]
     return df.withColumns({r["column"]: F.lower(name(r["column"]).cast("string")).isin(truths)
                            for r in masks}) if masks else df

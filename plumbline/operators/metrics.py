@@ -4,9 +4,9 @@ Two shapes, both one scan with map-side combine whatever the table holds:
 
 * ``per_column`` builds one global aggregate whose single row is an array of structs and
   unfolds it to one row per column. Best for a few measures; sketches and moments live here.
-* ``cell_profile`` unfolds each row to cells and groups them by column. The code generated
-  for it does not grow with the number of columns, so the many text measures of an audit
-  stay small enough for the JIT compiler.
+* ``text_profile`` unfolds the text cells of each row and groups them by column. The code
+  generated for it does not grow with the number of columns, so its many pattern measures
+  stay small enough for the JIT compiler, and its scan reads the text columns only.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import fixed, text
-from plumbline.functions.columns import atomic_columns, name, type_class, type_of
+from plumbline.functions.columns import atomic_columns, name, string_columns, type_class, type_of
 from plumbline.session import local_table
 
 # Columns whose expressions share one generated plan; wider tables take several scans.
@@ -63,6 +63,13 @@ def kurtosis_of(c: Column) -> Column:
     return kurtosis(F.count(c).cast("double"), F.kurtosis(c), F.var_pop(c))
 
 
+def _holds_boolean_pair(c: Column, dtype: T.DataType) -> Column | None:
+    """Both values of a pair and nothing else, for the types that are not text."""
+    if isinstance(dtype, T.IntegralType):
+        return (F.min(c) == 0) & (F.max(c) == 1)
+    return F.min(c) != F.max(c) if isinstance(dtype, T.BooleanType) else None
+
+
 MEASURES: dict[str, Measure] = {
     "rows": ("bigint", lambda c, t: F.count(F.lit(1))),
     "nulls": ("bigint", lambda c, t: F.count_if(c.isNull())),
@@ -73,6 +80,7 @@ MEASURES: dict[str, Measure] = {
     "mean": ("double", _numeric(F.avg)),
     "std": ("double", _numeric(F.stddev_samp)),
     "std_pop": ("double", _numeric(F.stddev_pop)),
+    "boolean_pair": ("boolean", _holds_boolean_pair),
     "skewness": ("double", _numeric(skewness_of)),
     "kurtosis": ("double", _numeric(kurtosis_of)),
 }
@@ -107,24 +115,7 @@ def per_column(df: DataFrame, columns: Sequence[str] | None,
     return reduce(DataFrame.unionAll, passes)
 
 
-# -- cells ------------------------------------------------------------------------
-
-def _cell(position: int, column: str, dtype: T.DataType) -> Column:
-    """What the cell measures look at; fields that do not apply to the type are null."""
-    c, kind = name(column), type_class(dtype)
-    no_text = F.lit(None).cast("string")
-    # Only text, whole numbers and booleans can spell a boolean word.
-    if kind == "string":
-        word = F.lower(c)
-    elif kind == "boolean" or isinstance(dtype, T.IntegralType):
-        word = c.cast("string")
-    else:
-        word = F.when(c.isNotNull(), F.lit(""))
-    return F.struct(
-        F.lit(position).alias("position"), c.isNull().alias("empty"),
-        (c.cast("double") if kind == "numeric" else F.lit(None).cast("double")).alias("num"),
-        (c if kind == "string" else no_text).alias("txt"), word.alias("word"))
-
+# -- text cells -------------------------------------------------------------------
 
 def _boolean_words(word: Column) -> Column:
     """Bitmask of the boolean words a column holds, with one extra bit for any other value."""
@@ -144,31 +135,20 @@ def only_boolean_words(mask: Column) -> Column:
     return F.coalesce(mask < (1 << (2 * len(fixed.BOOLEAN_PAIRS))), F.lit(True))
 
 
-CELL_TYPES = {
-    "rows": "bigint", "nulls": "bigint", "min": "double", "max": "double", "mean": "double", "std": "double",
-    "std_pop": "double", "edge_space": "boolean", "inner_space": "boolean", "sql_breaking": "boolean",
-    "html_tags": "boolean", "lettered": "bigint", "lower_share": "double", "upper_share": "double",
-    "title_share": "double", "number_share": "double", "money_share": "double", "date_share": "double",
+TEXT_MEASURES = {
+    "edge_space": "boolean", "inner_space": "boolean", "sql_breaking": "boolean", "html_tags": "boolean",
+    "lettered": "bigint", "lower_share": "double", "upper_share": "double", "title_share": "double",
+    "number_share": "double", "money_share": "double", "real_number_share": "double", "date_share": "double",
     "boolean_words": "int",
 }
 
 
-def _cell_measures() -> dict[str, Column]:
-    num, txt = F.col("num"), F.col("txt")
+def _text_measures() -> dict[str, Column]:
+    txt = F.col("txt")  # never null
     lettered = F.when(txt.rlike("[a-zA-Z]"), txt)
-
-    def parsed(value: Column) -> Column:
-        return share(F.when(txt.isNotNull(), value.isNotNull()))
-
+    bare = text.strip(txt)
     return {
-        "rows": F.count(F.lit(1)),
-        "nulls": F.count_if("empty"),
-        "min": F.min(num),
-        "max": F.max(num),
-        "mean": F.avg(num),
-        "std": F.stddev_samp(num),
-        "std_pop": F.stddev_pop(num),
-        "edge_space": F.bool_or(txt != text.strip(txt)),
+        "edge_space": F.bool_or(txt != bare),
         "inner_space": F.bool_or(txt.rlike(r"(?U)\s{2,}")),
         "sql_breaking": F.bool_or(txt.rlike(fixed.SQL_BREAKING_PATTERN)),
         "html_tags": F.bool_or(txt.rlike(fixed.HTML_TAG_PATTERN)),
@@ -176,29 +156,27 @@ def _cell_measures() -> dict[str, Column]:
         "lower_share": share(lettered == F.lower(txt)),
         "upper_share": share(lettered == F.upper(txt)),
         "title_share": share(text.is_title(lettered)),
-        "number_share": parsed(text.parse_number(txt)),
-        "money_share": parsed(text.parse_number(text.strip_currency(txt))),
-        "date_share": parsed(text.parse_timestamp(txt, T.StringType())),
-        "boolean_words": _boolean_words(F.col("word")),
+        "number_share": share(text.parse_number(txt).isNotNull()),
+        "money_share": share(text.parse_number(text.strip_currency(txt)).isNotNull()),
+        "real_number_share": share(F.when(~text.is_junk(txt), text.parse_number(bare).isNotNull())),
+        "date_share": share(text.parse_timestamp(txt, T.StringType()).isNotNull()),
+        "boolean_words": _boolean_words(F.lower(txt)),
     }
 
 
-def cell_profile(df: DataFrame, columns: Sequence[str] | None = None, measures: Sequence[str] | None = None) -> DataFrame:
-    """One row per column: ``column``, ``position`` and the asked cell measures."""
-    columns = df.columns if columns is None else list(columns)
-    measures = list(CELL_TYPES) if measures is None else list(measures)
+def text_profile(df: DataFrame, columns: Sequence[str] | None = None, measures: Sequence[str] | None = None) -> DataFrame:
+    """One row per text column: ``column``, ``position`` and the asked text measures."""
+    columns = string_columns(df) if columns is None else list(columns)
+    measures = list(TEXT_MEASURES) if measures is None else list(measures)
     names = local_table(df.sparkSession, [(c, df.columns.index(c)) for c in columns], "column string, position int")
     if not columns:
-        return names.select("*", *[F.lit(None).cast(CELL_TYPES[m]).alias(m) for m in measures])
-    build = _cell_measures()
+        return names.select("*", *[F.lit(None).cast(TEXT_MEASURES[m]).alias(m) for m in measures])
+    build = _text_measures()
     parts = [columns[i:i + COLUMNS_PER_PASS] for i in range(0, len(columns), COLUMNS_PER_PASS)]
     grouped = reduce(DataFrame.unionAll, [
-        df.select(F.inline(F.array(*[_cell(df.columns.index(c), c, type_of(df, c)) for c in part])))
-        .groupBy("position").agg(*[build[m].alias(m) for m in measures]) for part in parts])
-    joined = names.join(grouped, "position", "left")  # one row per column on both sides
-    zero = [m for m in ("rows", "nulls", "lettered") if m in measures]
-    return joined.select("column", "position", *measures).fillna(0, subset=zero) if zero else joined.select(
-        "column", "position", *measures)
+        df.select(F.inline(F.array(*[F.struct(F.lit(df.columns.index(c)).alias("position"), name(c).alias("txt")) for c in part])))
+        .where("txt is not null").groupBy("position").agg(*[build[m].alias(m) for m in measures]) for part in parts])
+    return names.join(F.broadcast(grouped), "position", "left").select("column", "position", *measures)  # one row a column
 
 
 def unpivot(metrics: DataFrame, measures: Sequence[str], check: str) -> DataFrame:

@@ -17,7 +17,7 @@ from plumbline.functions.columns import (
     atomic_columns, name, numeric_columns, string_columns, temporal_columns, type_class, type_of)
 from plumbline.operators import checks
 from plumbline.operators.clean import impute_choices
-from plumbline.operators.metrics import kurtosis_of, per_column, skewness_of, unpivot
+from plumbline.operators.metrics import per_column, text_profile
 from plumbline.operators.quantiles import grouped_quantiles, quantiles
 from plumbline.operators.similarity import value_counts
 from plumbline.session import local_table
@@ -79,9 +79,19 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """Exact ``(column, distinct_values)`` without the row expansion of many
     ``count(DISTINCT)``: one grouped pass over ``(column, value)`` cells."""
     columns = atomic_columns(df) if columns is None else list(columns)
+    if not columns:
+        return local_table(df.sparkSession, [], "column string, distinct_values bigint")
     names = local_table(df.sparkSession, [(c,) for c in columns], "column string")
-    counted = value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
-    return names.join(counted, "column", "left").withColumn(
+    by_type: dict[str, list[str]] = {}
+    for c in columns:
+        by_type.setdefault(type_of(df, c).simpleString(), []).append(c)
+    counted = None
+    for group in by_type.values():  # cells keep their type: no cast to text, and each scan reads its columns only
+        cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), name(c).alias("value")) for c in group]))
+        part = (df.select(cells).where("value is not null").distinct()
+                .groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values")))
+        counted = part if counted is None else counted.unionAll(part)
+    return names.join(F.broadcast(counted), "column", "left").withColumn(
         "distinct_values", F.coalesce("distinct_values", F.lit(0).cast("bigint")))
 
 
@@ -189,12 +199,11 @@ def dataset_profile(df: DataFrame) -> DataFrame:
 
 def real_types(df: DataFrame, minimum: float = 0.7) -> DataFrame:
     """``(column, real_type)``: numeric by type, or text whose real cells mostly parse as numbers."""
-    def real(c: Column) -> Column:
-        return F.when(~text.is_junk(c), text.strip(c))
-    m = per_column(df, atomic_columns(df), {"share": ("double", lambda c, t: (
-        F.lit(1.0) if type_class(t) == "numeric" else
-        F.avg(F.when(real(c.cast("string")).isNotNull(), text.parse_number(real(c.cast("string"))).isNotNull().cast("int")))))})
-    return m.select("column", F.when(F.col("share") >= minimum, "numeric").otherwise("text").alias("real_type"))
+    texts = text_profile(df, None, ["real_number_share"])
+    others = [(c, "numeric" if c in numeric_columns(df) else "text") for c in atomic_columns(df) if c not in string_columns(df)]
+    kind = F.when(F.col("real_number_share") >= minimum, "numeric").otherwise("text")
+    return texts.select("column", kind.alias("real_type")).unionAll(
+        local_table(df.sparkSession, others, "column string, real_type string"))
 
 
 def junk_scan(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed
 from plumbline.operators import checks
-from plumbline.operators.metrics import CELL_TYPES, cell_profile, per_column
+from plumbline.operators.metrics import TEXT_MEASURES, per_column, text_profile
 from plumbline.session import local_table
 
 AUDIT_THREADS = 4  # checks whose jobs may run side by side
@@ -90,15 +90,15 @@ class Audit:
 def audit(df: DataFrame, corr_threshold: float = 0.95, as_of: str | None = None, typo_threshold: float = 85) -> Audit:
     """Run all 17 checks in a fixed number of scans, whatever the number of columns.
 
-    The per-column metrics and the row counts each come from one scan and are kept as
-    small local tables (one row per column), so the 17 checks do not rescan the input.
+    The per-column metrics are kept as a small local table (one row per column), so most
+    of the 17 checks do not scan the input at all.
     """
     spark = df.sparkSession
     table = checks.row_counts(df)
     counts = local_table(spark, table.collect(), table.schema)
-    cells = cell_profile(df, None, [m for m in CELL_TYPES if m != "date_share"])
-    # The sketches get their own scan: beside them the plain aggregates lose code generation.
-    profile = cells.join(per_column(df, None, ["distinct_estimate"]).drop("position"), "column")
+    texts = text_profile(df, None, [m for m in TEXT_MEASURES if m not in ("date_share", "real_number_share")])
+    plain = per_column(df, None, ["rows", "nulls", "distinct_estimate", "min", "max", "mean", "std", "std_pop", "boolean_pair"])
+    profile = plain.join(F.broadcast(texts.drop("position")), "column", "left")
     metrics = local_table(spark, profile.collect(), profile.schema)
     estimates = {r["column"]: r["distinct_estimate"] for r in metrics.collect() if r["distinct_estimate"] is not None}
     parts = [
