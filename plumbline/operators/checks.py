@@ -143,7 +143,7 @@ def check_nulls(df: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
 def check_outliers(df: DataFrame, metrics: DataFrame | None = None, z: float = 3.0) -> DataFrame:
     """Values more than ``z`` population deviations from the mean, with IQR fences."""
     numeric = numeric_columns(df)
-    measures = ["rows", "nulls", "distinct_estimate", "mean", "std", "std_pop"]
+    measures = ["rows", "nulls", "distinct_estimate", "mean", "std_pop"]
     stats = (per_column(df, numeric, measures) if metrics is None else metrics).collect()
     stats = {r["column"]: r for r in stats if r["column"] in numeric
              and r["rows"] - r["nulls"] >= 4 and r["std_pop"]}
@@ -162,8 +162,10 @@ def check_outliers(df: DataFrame, metrics: DataFrame | None = None, z: float = 3
     rows = []
     for c in hit:
         q1, q3 = fences[c]
+        n = stats[c]["rows"] - stats[c]["nulls"]
+        std = stats[c]["std_pop"] * (n / (n - 1)) ** 0.5
         for metric, value in [("zscore_outliers", counted[c]), ("iqr_lower", q1 - 1.5 * (q3 - q1)),
-                              ("iqr_upper", q3 + 1.5 * (q3 - q1)), ("mean", stats[c]["mean"]), ("std", stats[c]["std"])]:
+                              ("iqr_upper", q3 + 1.5 * (q3 - q1)), ("mean", stats[c]["mean"]), ("std", std)]:
             rows.append(("outliers", c, metric, float(value)))
     return local_table(df.sparkSession, rows, FINDINGS)
 

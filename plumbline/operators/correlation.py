@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -18,50 +18,56 @@ PAIRS_PER_PASS = 400
 PAIRS = "col_a string, col_b string, r double"
 
 
-def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None, metrics: DataFrame | None = None) -> DataFrame:
-    """``(col_a, col_b, r)`` for every column pair; null when one side has no variance.
+def _pair_correlations(df: DataFrame, columns: Sequence[str], centre: Mapping[str, float], scale: Mapping[str, float]) -> DataFrame:
+    """Correlation of every pair whose columns both have a scale, null for the others.
 
-    One scan finds means and deviations (``metrics`` saves it). A second one unfolds each
-    row to its column pairs, standardised, and sums their moments by pair over the rows
-    where both cells are present; it combines map-side to one row a pair.
+    One scan unfolds each row to its column pairs, centred and scaled so that plain sums
+    stay accurate, and averages their products by pair over the rows where both cells are
+    present. It combines map-side to one row a pair.
     """
-    columns = numeric_columns(df) if columns is None else list(columns)
-    pairs = list(combinations(columns, 2))
-    if not pairs:
-        return local_table(df.sparkSession, [], PAIRS)
-    stats = per_column(df, columns, ["mean", "std_pop"]) if metrics is None else metrics
-    stats = {r["column"]: r for r in stats.collect()}
-    names = local_table(df.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, col_a string, col_b string")
-    live = [(i, a, b) for i, (a, b) in enumerate(pairs) if stats[a]["std_pop"] and stats[b]["std_pop"]]
+    pairs = [(i, a, b) for i, (a, b) in enumerate(combinations(columns, 2))]
+    names = local_table(df.sparkSession, pairs, "i int, col_a string, col_b string")
+    live = [(i, a, b) for i, a, b in pairs if scale.get(a) and scale.get(b)]
     if not live:
         return names.select("col_a", "col_b", F.lit(None).cast("double").alias("r"))
-
-    used = list(dict.fromkeys(c for _, a, b in live for c in (a, b)))
-    rows = df.select(*[((name(c).cast("double") - stats[c]["mean"]) / stats[c]["std_pop"]).alias(f"s{columns.index(c)}")
-                       for c in used])
+    at = {c: f"s{i}" for i, c in enumerate(columns)}
+    used = {c for _, a, b in live for c in (a, b)}
+    rows = df.select(*[((name(c).cast("double") - centre[c]) / scale[c]).alias(at[c]) for c in columns if c in used])
+    x, y = F.col("x"), F.col("y")
     moments = None
     for start in range(0, len(live), PAIRS_PER_PASS):
-        entries = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"s{columns.index(a)}").alias("x"),
-                                     F.col(f"s{columns.index(b)}").alias("y"))
+        entries = F.array(*[F.struct(F.lit(i).alias("i"), F.col(at[a]).alias("x"), F.col(at[b]).alias("y"))
                             for i, a, b in live[start:start + PAIRS_PER_PASS]])
-        x, y = F.col("x"), F.col("y")
         part = (rows.select(F.inline(entries)).where(x.isNotNull() & y.isNotNull()).groupBy("i")
                 .agg(F.avg(x).alias("x"), F.avg(y).alias("y"), F.avg(x * x).alias("xx"),
                      F.avg(y * y).alias("yy"), F.avg(x * y).alias("xy")))
         moments = part if moments is None else moments.unionAll(part)
-    x, y = F.col("x"), F.col("y")
     vx, vy = F.col("xx") - x * x, F.col("yy") - y * y
-    r = F.when((vx > 1e-12) & (vy > 1e-12), (F.col("xy") - x * y) / F.sqrt(vx * vy))
+    varied = (vx > F.col("xx") * 1e-12) & (vy > F.col("yy") * 1e-12)
+    r = F.when(varied, (F.col("xy") - x * y) / F.sqrt(vx * vy))
     return names.join(F.broadcast(moments), "i", "left").select("col_a", "col_b", r.alias("r"))  # one row a pair
 
 
-def _with_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    """``(col_a, col_b, r)`` for every column pair; null when one side has no variance.
+    Means and deviations come from one scan, or from ``metrics`` where it is known."""
+    columns = numeric_columns(df) if columns is None else list(columns)
+    if len(columns) < 2:
+        return local_table(df.sparkSession, [], PAIRS)
+    stats = per_column(df, columns, ["mean", "std_pop"]) if metrics is None else metrics
+    stats = {r["column"]: r for r in stats.collect()}
+    return _pair_correlations(df, columns, {c: stats[c]["mean"] for c in columns}, {c: stats[c]["std_pop"] for c in columns})
+
+
+def _rank_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson on average ranks of columns without nulls; ranks have a known centre and range."""
     numbers = df.select(*[name(c).cast("double").alias(c) for c in columns])
+    n = numbers.count()
     ranks = materialize(average_ranks(numbers, columns), "ranks")
     for c in columns:
-        of_column = ranks.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("rank").alias(f"_rank_{c}"))
-        numbers = numbers.join(of_column, name(c) == F.col("_value"), "left").drop("_value")
-    return numbers
+        of_column = ranks.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("rank").alias("_rank"))
+        numbers = numbers.join(of_column, name(c) == F.col("_value")).withColumn(c, F.col("_rank")).drop("_value", "_rank")
+    return _pair_correlations(numbers, columns, {c: (n + 1) / 2 for c in columns}, {c: float(n) for c in columns})
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -71,19 +77,13 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     df = df.select(*[name(c) for c in columns])
     holes = {r["column"] for r in per_column(df, columns, ["nulls"]).where("nulls > 0").collect()}
     full = [c for c in columns if c not in holes]
-
-    def correlate(rows: DataFrame, ranked: Sequence[str]) -> DataFrame:
-        rows = _with_ranks(rows.select(*[name(c) for c in ranked]), ranked)
-        return pearson_pairs(materialize(rows.select(*[name(f"_rank_{c}").alias(c) for c in ranked]), "ranked"), ranked)
-
-    out = None
+    out = local_table(df.sparkSession, [], PAIRS)
     if len(full) > 1:
-        out = correlate(df, full)
+        out = out.unionAll(_rank_correlations(df, full))
     for a, b in combinations(columns, 2):
         if a in holes or b in holes:
-            part = correlate(df.select(name(a), name(b)).na.drop(), [a, b])
-            out = part if out is None else out.unionAll(part)
-    return out if out is not None else local_table(df.sparkSession, [], PAIRS)
+            out = out.unionAll(_rank_correlations(df.select(name(a), name(b)).na.drop(), [a, b]))
+    return out
 
 
 def _kendall(df: DataFrame, a: str, b: str) -> DataFrame:

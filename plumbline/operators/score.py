@@ -97,7 +97,7 @@ def audit(df: DataFrame, corr_threshold: float = 0.95, as_of: str | None = None,
     table = checks.row_counts(df)
     counts = local_table(spark, table.collect(), table.schema)
     texts = text_profile(df, None, [m for m in TEXT_MEASURES if m not in ("date_share", "real_number_share")])
-    plain = per_column(df, None, ["rows", "nulls", "distinct_estimate", "min", "max", "mean", "std", "std_pop", "boolean_pair"])
+    plain = per_column(df, None, ["rows", "nulls", "distinct_estimate", "mean", "std_pop", "boolean_pair"])
     profile = plain.join(F.broadcast(texts.drop("position")), "column", "left")
     metrics = local_table(spark, profile.collect(), profile.schema)
     estimates = {r["column"]: r["distinct_estimate"] for r in metrics.collect() if r["distinct_estimate"] is not None}

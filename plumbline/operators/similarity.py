@@ -13,7 +13,6 @@ from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,47 +119,36 @@ def typo_pairs(df: DataFrame, columns: Sequence[str] | None = None, threshold: f
     return similar_pairs(limited_values(df, columns, limit, estimates).drop("freq"), threshold)
 
 
-def _merge(threshold: float, ratio: float):
-    """Greedy merge of one column's values (at most ``FIX_LIMIT``), most frequent first."""
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        freq = dict(zip(pdf["value"], pdf["freq"]))
-        near = {v: set(n) | {v} for v, n in zip(pdf["value"], pdf["near"])}
-        replaced: dict[str, str] = {}
-        rows = []
-        for value in sorted(freq, key=lambda v: (-freq[v], v)):
-            if value in replaced or len(near[value]) < 2:
-                continue
-            group = sorted(near[value], key=lambda v: (-freq[v], v))
-            best, second = group[0], group[1]
-            if freq[second] / freq[best] >= ratio:
-                rows += [(value, best, freq[best], True)] if value != best else []
-                continue
-            for other in group[1:]:
-                replaced[other] = best
-        rows = [(v, b, freq[v], False) for v, b in replaced.items()] + rows
-        out = pd.DataFrame(rows, columns=["value", "replacement", "freq", "ambiguous"])
-        out.insert(0, "column", pdf["column"].iloc[0])
-        return out.astype({"freq": "int64", "ambiguous": "bool"})
-    return merge
-
-
 def typo_corrections(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 94,
                      ratio: float = 0.80, limit: int = FIX_LIMIT) -> DataFrame:
     """``(column, value, replacement, freq)`` for rare spellings of a clearly more frequent value.
 
-    A group whose two most frequent members are within ``ratio`` of each other is left
-    alone. Columns beyond ``limit`` distinct values are left alone.
+    Most frequent values go first. A group whose two most frequent members are within
+    ``ratio`` of each other is left alone, and so is a column beyond ``limit`` distinct
+    values; what the driver walks through is therefore at most ``limit`` values a column.
     """
     values = limited_values(df, columns, limit)
-    pairs = similar_pairs(values.drop("freq"), threshold)
-    both = pairs.select("column", F.col("value_a").alias("value"), F.col("value_b").alias("other")).unionAll(
-        pairs.select("column", F.col("value_b").alias("value"), F.col("value_a").alias("other")))
-    near = both.groupBy("column", "value").agg(F.collect_set("other").alias("near"))
-    sized = (values.join(near, ["column", "value"], "left")
-             .withColumn("near", F.coalesce("near", F.array().cast("array<string>"))))
-    merged = sized.groupBy("column").applyInPandas(
-        _merge(threshold, ratio), "column string, value string, replacement string, freq bigint, ambiguous boolean")
-    return merged.where(~F.col("ambiguous")).drop("ambiguous")
+    freq: dict[str, dict[str, int]] = {}
+    for r in values.collect():
+        freq.setdefault(r["column"], {})[r["value"]] = r["freq"]
+    near: dict[tuple[str, str], set[str]] = {}
+    for r in similar_pairs(values.drop("freq"), threshold).collect():
+        near.setdefault((r["column"], r["value_a"]), set()).add(r["value_b"])
+        near.setdefault((r["column"], r["value_b"]), set()).add(r["value_a"])
+    rows = []
+    for column, counts in freq.items():
+        def commonest(members):
+            return sorted(members, key=lambda v: (-counts[v], v))  # noqa: B023
+        replaced: dict[str, str] = {}
+        for value in commonest(counts):
+            others = near.get((column, value))
+            if value in replaced or not others:
+                continue
+            best, second, *_ = group = commonest(others | {value})
+            if counts[second] / counts[best] < ratio:
+                replaced.update(dict.fromkeys(group[1:], best))
+        rows += [(column, v, best, counts[v]) for v, best in replaced.items()]
+    return local_table(df.sparkSession, rows, "column string, value string, replacement string, freq bigint")
 
 
 def fix_typos(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 94,
