@@ -143,7 +143,7 @@ def check_nulls(df: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
 def check_outliers(df: DataFrame, metrics: DataFrame | None = None, z: float = 3.0) -> DataFrame:
     """Values more than ``z`` population deviations from the mean, with IQR fences."""
     numeric = numeric_columns(df)
-    measures = ["rows", "nulls", "distinct_estimate", "mean", "std_pop"]
+    measures = ["rows", "nulls", "mean", "std_pop"]
     stats = (per_column(df, numeric, measures) if metrics is None else metrics).collect()
     stats = {r["column"]: r for r in stats if r["column"] in numeric
              and r["rows"] - r["nulls"] >= 4 and r["std_pop"]}
@@ -158,7 +158,7 @@ def check_outliers(df: DataFrame, metrics: DataFrame | None = None, z: float = 3
     hit = [c for c in stats if counted[c]]
     if not hit:
         return _empty(df)
-    fences = quantiles(df, hit, [0.25, 0.75], {c: stats[c]["distinct_estimate"] for c in hit})
+    fences = quantiles(df, hit, [0.25, 0.75])
     rows = []
     for c in hit:
         q1, q3 = fences[c]
@@ -221,11 +221,12 @@ def check_sparse_columns(df: DataFrame, metrics: DataFrame | None = None, thresh
 
 
 def check_constant_columns(df: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    """At most one distinct value. A sketch that has seen two values rules a column out; the
-    remaining candidates are compared exactly by their extremes."""
+    """At most one distinct value. A deviation, or a sketch that has seen two values, rules a
+    column out; the remaining candidates are compared exactly by their extremes."""
     columns = atomic_columns(df)
     if metrics is not None:
-        columns = [r["column"] for r in metrics.where("distinct_estimate <= 1").collect()]
+        varied = {r["column"] for r in metrics.where("std_pop > 0 or distinct_estimate > 1").collect()}
+        columns = [c for c in columns if c not in varied]
     m = per_column(df, columns, ["rows", "nulls", "constant"])
     m = m.where("constant").select("column", F.when(F.col("nulls") < F.col("rows"), 1).otherwise(0).alias("distinct"))
     return unpivot(m, ["distinct"], "constant_columns")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed
+from plumbline.functions.columns import atomic_columns, numeric_columns
 from plumbline.operators import checks
 from plumbline.operators.metrics import TEXT_MEASURES, per_column, text_profile
 from plumbline.session import local_table
@@ -97,8 +98,11 @@ def audit(df: DataFrame, corr_threshold: float = 0.95, as_of: str | None = None,
     table = checks.row_counts(df)
     counts = local_table(spark, table.collect(), table.schema)
     texts = text_profile(df, None, [m for m in TEXT_MEASURES if m not in ("date_share", "real_number_share")])
-    plain = per_column(df, None, ["rows", "nulls", "distinct_estimate", "mean", "std_pop", "boolean_pair"])
-    profile = plain.join(F.broadcast(texts.drop("position")), "column", "left")
+    plain = per_column(df, None, ["rows", "nulls", "mean", "std_pop", "boolean_pair"])
+    # Numbers need no sketch: their deviation already tells constant columns apart.
+    sketched = per_column(df, [c for c in atomic_columns(df) if c not in numeric_columns(df)], ["distinct_estimate"])
+    profile = (plain.join(F.broadcast(texts.drop("position")), "column", "left")
+               .join(F.broadcast(sketched.drop("position")), "column", "left"))
     metrics = local_table(spark, profile.collect(), profile.schema)
     estimates = {r["column"]: r["distinct_estimate"] for r in metrics.collect() if r["distinct_estimate"] is not None}
     parts = [
