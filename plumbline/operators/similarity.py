@@ -68,12 +68,18 @@ def similar_pairs(values: DataFrame, threshold: float, by: Sequence[str] = ("col
     def seg_start(length: Column, i: Column, parts: Column) -> Column:
         return F.floor(i * length / parts).cast("int")
 
-    base = values.select(*by, "value", F.length("value").alias("n"))
+    # A prefix common to all values of a column cannot tell them apart and does not change
+    # their distances; without it the segments of coded values ("Item#000123") stay selective.
+    ends = values.groupBy(*by).agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    shared = ends.select(*by, F.size(F.filter(
+        F.sequence(F.lit(0), F.least(F.length("a"), F.length("b"))),
+        lambda i: F.left("a", i) == F.left("b", i))).alias("skip")).withColumn("skip", F.col("skip") - 1)
+    base = values.join(shared, by).select(*by, "value", "skip", F.length("value").alias("n"))
     # The longer value of a pair: cut into edits + 1 segments.
     longer = (base.withColumn("parts", edits(F.col("n")) + 1)
               .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-              .withColumn("at", seg_start(F.col("n"), F.col("i"), F.col("parts")))
-              .withColumn("until", seg_start(F.col("n"), F.col("i") + 1, F.col("parts")))
+              .withColumn("at", seg_start(F.col("n") - F.col("skip"), F.col("i"), F.col("parts")) + F.col("skip"))
+              .withColumn("until", seg_start(F.col("n") - F.col("skip"), F.col("i") + 1, F.col("parts")) + F.col("skip"))
               .select(*by, F.col("value").alias("long_value"), F.col("n").alias("long_n"), "i",
                       F.expr("substring(value, at + 1, until - at)").alias("segment")))
     # The shorter value: every piece that could be such a segment of a longer one.
@@ -84,9 +90,10 @@ def similar_pairs(values: DataFrame, threshold: float, by: Sequence[str] = ("col
                .withColumn("gap", F.col("long_n") - F.col("n"))
                .where(F.col("gap") <= F.col("edits"))
                .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits"))))
-               .withColumn("at", seg_start(F.col("long_n"), F.col("i"), F.col("edits") + 1))
-               .withColumn("size", seg_start(F.col("long_n"), F.col("i") + 1, F.col("edits") + 1) - F.col("at"))
-               .withColumn("first", F.greatest(F.lit(0), F.col("at") - F.floor((F.col("edits") + F.col("gap")) / 2).cast("int")))
+               .withColumn("rest", F.col("long_n") - F.col("skip"))
+               .withColumn("at", seg_start(F.col("rest"), F.col("i"), F.col("edits") + 1) + F.col("skip"))
+               .withColumn("size", seg_start(F.col("rest"), F.col("i") + 1, F.col("edits") + 1) + F.col("skip") - F.col("at"))
+               .withColumn("first", F.greatest(F.col("skip"), F.col("at") - F.floor((F.col("edits") + F.col("gap")) / 2).cast("int")))
                .withColumn("last", F.least(F.col("n") - F.col("size"),
                                            F.col("at") + F.floor((F.col("edits") - F.col("gap")) / 2).cast("int")))
                .where(F.col("first") <= F.col("last"))

@@ -127,8 +127,9 @@ def lev(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("threshold", [50, 66, 85, 90, 94])
-def test_similar_pairs_miss_nothing(spark, threshold):
+@pytest.mark.parametrize("prefix", ["", "Item#00"])
+@pytest.mark.parametrize("threshold", [50, 85, 90, 94])
+def test_similar_pairs_miss_nothing(spark, threshold, prefix):
     words = set()
     while len(words) < 60:
         base = "".join(RNG.choice(list("abc"), RNG.integers(1, 24)))
@@ -139,7 +140,7 @@ def test_similar_pairs_miss_nothing(spark, threshold):
                 i = RNG.integers(0, len(t) + 1)
                 t[i:i + RNG.integers(0, 2)] = RNG.choice(list("abcd"), RNG.integers(0, 2)).tolist()
             words.add("".join(t))
-    words = sorted(words)
+    words = sorted(prefix + w for w in words)
     df = spark.createDataFrame([("c", w) for w in words], "column string, value string")
     got = {(r["value_a"], r["value_b"]) for r in similarity.similar_pairs(df, threshold).collect()}
     want = {(a, b) for a, b in itertools.combinations(words, 2)
