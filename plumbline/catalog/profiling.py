@@ -326,6 +326,8 @@ FILTERS = {
     "equals": ("==", "o_orderstatus", "F", "CAST(o_orderstatus AS STRING) = 'F'"),
     "not_equals": ("!=", "o_orderpriority", "5-LOW", "o_orderpriority IS DISTINCT FROM '5-LOW'"),
     "greater": (">", "o_totalprice", "250000", "o_totalprice > 250000"),
+    "less": ("<", "o_totalprice", "5000.5", "o_totalprice < 5000.5"),
+    "at_least": (">=", "o_orderkey", "700", "o_orderkey >= 700"),
     "at_most": ("<=", "o_custkey", "100", "o_custkey <= 100"),
     "contains": ("contains", "o_orderpriority", "h.gh|low", "regexp_matches(o_orderpriority, '(?i)h.gh|low')"),
 }

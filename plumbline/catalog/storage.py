@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.catalog.registry import frame, query, rounded, source, stamp
-from plumbline.catalog.audit import AS_OF
+from plumbline.catalog.audit import AS_OF, CUSTOMER_AUDIT
 from plumbline.functions.columns import normalise
 from plumbline.operators import clean, privacy
 from plumbline.plans import workflow
@@ -56,11 +56,12 @@ def _(spark, d):
     return rounded(normalise(frame(spark, d, "events").select("event_id", broken.alias("value"))))
 
 
-@query("save_report", None)
+@query("save_report", CUSTOMER_AUDIT + """
+SELECT check_name, category = 'A' AND found AND fix_key IS NOT NULL AND severity = 'HIGH' AS approved FROM summary""")
 def _(spark, d):
     report = workflow.audit_and_clean(frame(spark, d, "customer_messy"), "auto_high", order_by="c_custkey", as_of=AS_OF)
     written = workflow.write_report(report, shared_path(spark, "customer") + ".parquet")
-    return files.read_json(spark, written["findings"], lines=True)
+    return files.read_json(spark, written["plan"], lines=True).select(F.col("check").alias("check_name"), "approved")
 
 
 @query("save_dropped_duplicates", """
