@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog.registry import columns_of, findings, frame, query, rounded, source, stamp, union, with_table
+from plumbline.catalog.registry import columns_of, findings, frame, query, rounded, union, with_table
 from plumbline.functions import fixed
-from plumbline.operators import checks, correlation, privacy, score, similarity
+from plumbline.operators import checks, privacy, score, similarity
 from plumbline.operators.metrics import per_column
 
 AS_OF = "2000-06-15 00:00:00"

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog.audit import AS_OF, EMAIL_OK, PHONE_OK, TEST_ROW, TEXT, is_number, parsed_date
+from plumbline.catalog.audit import AS_OF, EMAIL_OK, PHONE_OK, TEST_ROW, is_number, parsed_date
 from plumbline.catalog.profiling import JUNK, MASK_SQL
-from plumbline.catalog.registry import columns_of, frame, query, rounded, source, stamp, union, with_table
+from plumbline.catalog.registry import columns_of, frame, query, rounded, source, stamp, with_table
 from plumbline.operators import clean, privacy, similarity, validate
 from plumbline.plans import workflow
 
@@ -447,7 +447,7 @@ PLAN = ["duplicates", "nulls", "string_quality", "sparse_columns", "email_format
         coalesce(phone, {mode_sql('phone')}) AS phone, note FROM t),
 s AS (SELECT c_custkey, {', '.join(f'{standard_sql(c)} AS {c}' for c in ('c_name', 'c_mktsegment', 'email', 'phone', 'note'))} FROM f)
 SELECT *, {EMAIL_OK.format(c='email')} AS email_valid, {' OR '.join(TEST_ROW.format(c=c) for c in ('c_name', 'email', 'phone', 'note'))} AS is_test_data
-FROM s""").replace("AS c_mktsegment,", "AS c_mktsegment,"))
+FROM s"""))
 def _(spark, d):
     df = frame(spark, d, "customer_messy").drop("c_nationkey", "c_acctbal")
     return workflow.apply_plan(df, PLAN, order_by="c_custkey").table

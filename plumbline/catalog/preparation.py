@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from plumbline.catalog.audit import is_number, parsed_date
+from plumbline.catalog.audit import parsed_date
 from plumbline.catalog.registry import frame, query, rounded, union, with_table
 from plumbline.operators import prep
 

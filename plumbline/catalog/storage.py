@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog.registry import frame, query, rounded, source, stamp
+from plumbline.catalog.registry import frame, query, rounded, stamp
 from plumbline.catalog.audit import AS_OF, CUSTOMER_AUDIT
 from plumbline.functions.columns import normalise
 from plumbline.operators import clean, privacy
@@ -26,7 +26,7 @@ def _(spark, d):
 @query("read_csv_inferred", ORDERS)
 def _(spark, d):
     path = files.save(frame(spark, d, "orders"), shared_path(spark, "orders") + ".csv")
-    out = files.read_table(spark, path)
+    out = files.read_csv(spark, path, multi_line=False)
     return rounded(out.withColumns({"o_orderkey": F.col("o_orderkey").cast("bigint"), "o_custkey": F.col("o_custkey").cast("bigint")}))
 
 

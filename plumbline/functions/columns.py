@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions import fixed
-
 
 def name(column: str) -> Column:
     """Reference a column by its literal name, whatever characters it holds."""

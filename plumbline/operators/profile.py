@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import fixed, text
 from plumbline.functions.columns import (
-    atomic_columns, name, numeric_columns, string_columns, temporal_columns, type_class, type_of)
+    atomic_columns, name, numeric_columns, string_columns, temporal_columns, type_of)
 from plumbline.operators import checks
 from plumbline.operators.clean import impute_choices
 from plumbline.operators.metrics import per_column, text_profile

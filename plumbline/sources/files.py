@@ -13,12 +13,14 @@ def _extension(path: str) -> str:
     return last.rsplit(".", 1)[-1].lower() if "." in last else ""
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+             multi_line: bool = True, **options) -> DataFrame:
     """CSV with a header row. Pass a schema in production: inferring one costs a second scan.
 
-    Quoted cells may hold line breaks and doubled quotes.
+    Quoted cells may hold line breaks and doubled quotes; the price is one task per file. Where
+    no cell holds a line break, ``multi_line=False`` splits large files over many tasks.
     """
-    reader = spark.read.options(header=True, multiLine=True, escape='"', mode="FAILFAST" if schema else "PERMISSIVE")
+    reader = spark.read.options(header=True, multiLine=multi_line, escape='"', mode="FAILFAST" if schema else "PERMISSIVE")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return normalise(reader.options(**options).csv(path))
 
