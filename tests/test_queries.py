@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from plumbline.catalog import REGISTRY
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def tables():
     return oracle.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("label", sorted(entry.queries()))
+@pytest.mark.parametrize("label", sorted(REGISTRY))
 def test_query(spark, tables, label):
     df = entry.queries()[label](spark, SF_DIR)
     sql = entry.oracle_sql().get(label)
