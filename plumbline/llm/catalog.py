@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
+import public_tokenizers
+
+from plumbline.llm import packing, wavelet
 from plumbline.llm.exact_dedup import exact_groups
+from plumbline.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +36,19 @@ ORACLES["op1_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, what the wavelet shards hold of it."""
+    path = wavelet.write_shards(table(spark, sf_dir, "documents"), shared_path(spark, "wavelet"), public_tokenizers.path(TOKENIZER))
+    return wavelet.document_digests(spark, path)
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in the packed sequences."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
