@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import packing, wavelet
+from plumbline.llm import packing, simhash, wavelet
 from plumbline.llm.exact_dedup import exact_groups
 from plumbline.session import shared_path
 
@@ -52,3 +52,10 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in the packed sequences."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the component it links to."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, budget=3).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
