@@ -8,7 +8,8 @@ that still share a whole prefix with another are carried on.
 
 A group is never gathered: a round counts ``(group, digit)`` with map-side combine, stores
 the counts that are not 1, and joins them back. Both sides of that join are plain stored
-tables, so a group that holds a third of all rows is split by the adaptive skew join.
+tables, so a group that holds a third of all rows is split by the adaptive skew join. The join
+is a merge at every size: what it joins grows with the data, so it is never broadcast.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import name
 from plumbline.llm.common import body, stored
 
-FIRST_DIGIT = 32   # bytes compared in the first round
+FIRST_DIGIT = 64   # bytes compared in the first round
 WIDER = 8          # each round compares so many times the bytes of the round before
 
 
@@ -61,7 +62,7 @@ def _first_round(rows: DataFrame) -> DataFrame:
     digit = F.substring("rest", 1, FIRST_DIGIT)
     shared = stored(rows.select(digit.alias("digit")).groupBy("digit").agg(F.count(F.lit(1)).alias("n"))
                     .where("n > 1").select("digit", F.monotonically_increasing_id().alias("next")), "digits")
-    joined = _cut(rows, FIRST_DIGIT).join(shared, "digit", "left")
+    joined = _cut(rows, FIRST_DIGIT).join(shared.hint("merge"), "digit", "left")
     alone = F.col("next").isNull()
     return stored(joined.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "text_sha256", "payload",
@@ -77,7 +78,7 @@ def _next_round(active: DataFrame, width: int) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last_id"),
         F.coalesce(F.max_by("row", "doc_id"), F.max("row")).alias("last_row"))
         .where("n > 1").withColumn("next", F.monotonically_increasing_id()), "digits")
-    joined = cut.join(shared, ["node", "digit"], "left")
+    joined = cut.join(shared.hint("merge"), ["node", "digit"], "left")
     alone = F.col("next").isNull()
     ended = ~alone & (F.length("digit") < width)
     going = ~alone & ~ended
