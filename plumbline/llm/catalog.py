@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import packing, simhash, wavelet
+from plumbline.llm import packing, secret_scan, simhash, wavelet
 from plumbline.llm.exact_dedup import exact_groups
 from plumbline.session import shared_path
 
@@ -59,3 +59,17 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the component it links to."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, budget=3).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what was found in it, the base kinds digested."""
+    found = secret_scan.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = [r.kind for r in secret_scan.BASE_RULES]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"].isin(kinds))
+    return found.select("doc_id", *[count(k) for k in kinds], F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"),
+                        secret_scan.spans_text(F.col("secrets")).alias("spans"))
