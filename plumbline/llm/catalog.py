@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import packing, secret_scan, simhash, wavelet
+from plumbline.llm import language, packing, secret_scan, simhash, wavelet
 from plumbline.llm.exact_dedup import exact_groups
 from plumbline.session import shared_path
 
@@ -73,3 +73,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("secrets", lambda s: s["kind"].isin(kinds))
     return found.select("doc_id", *[count(k) for k in kinds], F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"),
                         secret_scan.spans_text(F.col("secrets")).alias("spans"))
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its predicted language; learnt from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, ~language.held_out())
+    return language.with_language(docs, model).select(
+        "doc_id", language.held_out().alias("held_out"), "language.lang_pred", "language.score")
