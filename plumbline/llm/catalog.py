@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import language, packing, secret_scan, simhash, wavelet
+from plumbline.llm import language, packing, preference, secret_scan, sharding, simhash, wavelet
 from plumbline.llm.exact_dedup import exact_groups
 from plumbline.session import shared_path
 
@@ -82,3 +82,53 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs, ~language.held_out())
     return language.with_language(docs, model).select(
         "doc_id", language.held_out().alias("held_out"), "language.lang_pred", "language.score")
+
+
+@query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards of nearly equal bytes."""
+    text = F.coalesce("text", F.lit(""))
+    sized = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return sharding.shard(sized, 16, "doc_id", "size").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two consecutive conversations as a pair, the even one chosen."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.expr("conv_id div 2").alias("pair_id"), F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"),
+        "turn", "role", "text")
+    spans = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",") for c in ("chosen_mask", "rejected_mask")}
+    return preference.format_pairs(turns).withColumns(spans)
+
+
+ORACLES["op6_preference"] = """
+WITH turns AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations),
+same AS (
+  SELECT pair_id, pos, count(*) = 2 AND count(DISTINCT role) = 1 AND count(DISTINCT text) = 1 AS alike
+  FROM turns GROUP BY ALL),
+prefix AS (SELECT pair_id, coalesce(min(pos) FILTER (NOT alike), max(pos) + 1) AS n FROM same GROUP BY pair_id),
+parts AS (
+  SELECT t.pair_id, pos // 256 AS chunk, pos, role = 'assistant' AND pos >= n AS learnt,
+         CASE WHEN pos >= n THEN CASE side WHEN 0 THEN 'chosen' ELSE 'rejected' END WHEN side = 0 THEN 'prompt' END AS part,
+         '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' AS content
+  FROM turns t JOIN prefix USING (pair_id)),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(content) + 1) OVER (
+           PARTITION BY pair_id, chunk, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+  FROM parts WHERE part IS NOT NULL),
+spans AS (
+  SELECT *, CASE WHEN learnt THEN CAST(begins + length(head) AS BIGINT) || ':' || CAST(begins + length(head) + length(content) AS BIGINT) END AS span FROM placed)
+SELECT pair_id, chunk,
+  coalesce(string_agg(head || content || chr(10), '' ORDER BY pos) FILTER (part = 'prompt'), '') AS prompt,
+  coalesce(string_agg(head || content || chr(10), '' ORDER BY pos) FILTER (part = 'chosen'), '') AS chosen,
+  coalesce(string_agg(head || content || chr(10), '' ORDER BY pos) FILTER (part = 'rejected'), '') AS rejected,
+  coalesce(string_agg(span, ',' ORDER BY pos) FILTER (part = 'chosen'), '') AS chosen_mask,
+  coalesce(string_agg(span, ',' ORDER BY pos) FILTER (part = 'rejected'), '') AS rejected_mask,
+  count(*) FILTER (part = 'prompt') AS prompt_turns, count(*) FILTER (part = 'chosen') AS chosen_turns,
+  count(*) FILTER (part = 'rejected') AS rejected_turns
+FROM spans GROUP BY ALL"""
