@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import language, packing, preference, secret_scan, sharding, simhash, wavelet
+from plumbline.llm import embedding, language, packing, preference, secret_scan, sharding, simhash, wavelet
 from plumbline.llm.exact_dedup import exact_groups
 from plumbline.session import shared_path
 
@@ -132,3 +132,9 @@ SELECT pair_id, chunk,
   count(*) FILTER (part = 'prompt') AS prompt_turns, count(*) FILTER (part = 'chosen') AS chosen_turns,
   count(*) FILTER (part = 'rejected') AS rejected_turns
 FROM spans GROUP BY ALL"""
+
+
+@query
+def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links of cosine 0.98 or more within its label."""
+    return embedding.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.98)

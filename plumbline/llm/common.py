@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,24 @@ def once(key: Hashable, make: Callable[[], Any]) -> Any:
     return _kept[key]
 
 
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest index reachable from each of ``n`` by the links ``a - b``."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while True:  # shorten chains
+            shorter = new[new]
+            if np.array_equal(shorter, new):
+                break
+            new = shorter
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
 def _fixed_point(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
                            F.sum(F.xxhash64("v", "u").bitwiseAND(F.lit(0xFFFFFFFF)))).first())

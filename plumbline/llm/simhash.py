@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import name
-from plumbline.llm.common import body, components, stored
+from plumbline.llm.common import body, components, roots, stored
 
 BITS, HALF = 64, 32
 SEED = 42
@@ -83,24 +83,6 @@ def fingerprints(docs: DataFrame, width: int = 3, text_column: str = "text", ali
     return docs.withColumn(alias, of(body(text_column)))
 
 
-def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest index reachable from each of ``n`` by the links ``a - b``."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        while True:  # shorten chains
-            shorter = new[new]
-            if np.array_equal(shorter, new):
-                break
-            new = shorter
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def trie_links(values: np.ndarray, own: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions in sorted ``values`` (unsigned 64-bit) within ``budget`` bits, at least one ``own``.
 
@@ -154,7 +136,7 @@ def _node_links(table: pa.Table, budget: int) -> pa.Table:
     swapped = bool(table["trie"][0].as_py())
     root = np.arange(len(values))
     for a, b in trie_links(values, own, depth, budget):
-        root = _roots(np.concatenate([a, np.arange(len(values))]), np.concatenate([b, root]), len(values))
+        root = roots(np.concatenate([a, np.arange(len(values))]), np.concatenate([b, root]), len(values))
     linked = root != np.arange(len(values))
     plain = (values << np.uint64(HALF) | values >> np.uint64(HALF)) if swapped else values
     return pa.table({"value": pa.array(plain[linked].view("int64")), "root": pa.array(plain[root[linked]].view("int64"))})
