@@ -26,8 +26,7 @@ from plumbline.llm.common import body, stored
 from plumbline.llm.tokens import encoder, pieces_of
 
 CAPACITY = 4096
-BUCKET_ROWS = 50_000      # about so many pieces of one length are ranked in one task
-BUCKETS = 64              # least number of buckets a length is dealt to
+BUCKET_ROWS = 1_000       # about so many pieces of one length are ranked together
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -140,8 +139,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     rows = stored(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     lengths = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    buckets = max(BUCKETS, -(-max(lengths.values(), default=0) // BUCKET_ROWS))
-    salted = rows.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int"))
+    buckets = F.expr("array(" + ", ".join(f"{1 + lengths.get(n, 0) // BUCKET_ROWS}L" for n in range(1, capacity + 1)) + ")")
+    salted = rows.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.element_at(buckets, F.col("length").cast("int"))))
     counts = salted.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = stored(counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "bases")

@@ -2,8 +2,9 @@
 
 Words repeat, so the library is asked once per distinct white-space-delimited word: a batch is
 split and dictionary-encoded by Arrow, unseen words go to the library, and the ids of all words
-are laid out by one gather. This holds for tokenizers whose pre-tokenizer never lets a token
-cross ASCII white space and drops it, which ``test_tokens`` checks against whole texts.
+are laid out by one gather. This holds for tokenizers that ignore case, whose pre-tokenizer drops
+white space and parts letters from marks, and whose tokens mark word ends; ``test_tokens``
+checks it against whole texts.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from plumbline.llm.common import once
 
 KNOWN_WORDS = 1_000_000   # words one worker remembers; beyond it starts anew
 WORDS_AT_ONCE = 1_000_000
+MARKS = ".,;:!?"          # a run of these behind letters is one word of its own to the tokenizer
 TEXT_AT_ONCE = 8 << 20    # bytes of text laid out at once; one longer text is a batch of its own
 
 
@@ -29,8 +31,25 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self._tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self._ends = np.array([(self._tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self._known: dict[str, bytes] = {}
+        self._letters: dict[str, bytes] = {}
+
+    def _ask(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(got.ids, self.dtype) for got in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of letters only end at the next word-end token, so the library takes many in one text."""
+        for i in range(0, len(words), 256):
+            some = words[i:i + 256]
+            (ids,) = self._ask([" ".join(some)])
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not mark word ends")
+            raw, at = ids.tobytes(), (np.concatenate([[0], ends]) * ids.itemsize).tolist()
+            self._letters.update((w, raw[a:b]) for w, a, b in zip(some, at, at[1:]))
 
     def _words(self, words: list[str]) -> list[bytes]:
         known = self._known
@@ -38,10 +57,26 @@ class WordEncoder:
         if len(known) + len(new) > KNOWN_WORDS:
             known.clear()
             new = words
-        for i in range(0, len(new), 20_000):
-            some = new[i:i + 20_000]
-            for word, got in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[word] = np.array(got.ids, self.dtype).tobytes()
+        parted, others, marks = [], [], {}
+        for w in new:
+            core = w.rstrip(MARKS)
+            # Below U+0100 letters neither combine nor change length in lower case.
+            if core.isalpha() and (w.isascii() or max(w) < "\u0100"):
+                parted.append((w, core.lower(), w[len(core):]))
+                marks[w[len(core):]] = b""
+            else:
+                others.append(w)
+        letters = self._letters
+        if len(letters) + len(parted) > KNOWN_WORDS:
+            letters.clear()
+        self._learn_letters(list({core for _, core, _ in parted if core not in letters}))
+        for text, ids in zip(marks, self._ask(list(marks))):
+            marks[text] = ids.tobytes()
+        for w, core, tail in parted:
+            known[w] = letters[core] + marks[tail]
+        for i in range(0, len(others), 20_000):
+            some = others[i:i + 20_000]
+            known.update(zip(some, (ids.tobytes() for ids in self._ask(some))))
         return [known[w] for w in words]
 
     def _layout(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
