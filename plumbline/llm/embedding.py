@@ -30,6 +30,8 @@ ROUNDS = 3                # of signs and Hadamard transform per rotation
 ALTERNATIVES = 4          # axes considered per hash
 BLOCK = 4_000             # vectors of one bucket that one task compares with each other
 AT_ONCE = 512             # rows of a comparison at once
+LARGE = 64                # rows from which a unit is compared by itself
+PAIRS_AT_ONCE = 100_000   # pairs of smaller units compared at once
 SEED = 17
 UNIT = ("label", "dim", "table", "bucket", "low", "high")
 
@@ -112,39 +114,85 @@ def _dealt(classes: DataFrame) -> DataFrame:
         deal, f"label {label_type}, dim int, table int, bucket long, own boolean, class long, n long, codes binary, vector binary")
 
 
+def _changes(table: pa.Table) -> np.ndarray:
+    """Where a row belongs to another unit than the row before."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in UNIT:
+        codes = table[c].combine_chunks()
+        codes = (codes.dictionary_encode().indices if c == "label" else codes).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return new
+
+
+def _near_pairs(x: np.ndarray, own: np.ndarray, begin: np.ndarray, end: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one unit, the first at home, with a cosine of ``threshold`` or more. Those at
+    home come first in a unit, so every pair has one row before the other."""
+    size = end - begin
+    for k in np.flatnonzero(size >= LARGE).tolist():
+        unit = x[begin[k]:end[k]]
+        homes = int(own[begin[k]:end[k]].sum())
+        for at in range(0, homes, AT_ONCE):
+            i, j = np.nonzero(unit[at:min(homes, at + AT_ONCE)] @ unit.T >= threshold)
+            real = j > i + at
+            yield i[real] + at + begin[k], j[real] + begin[k]
+    last = np.repeat(np.where(size < LARGE, end, 0), size)
+    first = np.flatnonzero(own & (last > np.arange(len(x)) + 1))
+    for some in np.array_split(first, 1 + len(first) * LARGE // PAIRS_AT_ONCE):
+        count = last[some] - some - 1
+        i = np.repeat(some, count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+        yield i[near], j[near]
+
+
 def _links(table: pa.Table, threshold: float) -> pa.Table:
-    """Links found first in this unit: ``class, links, root``."""
-    t = table["table"][0].as_py()
-    own = table["own"].to_numpy(zero_copy_only=False).astype(bool)
-    order = np.argsort(~own, kind="stable")     # those at home first
-    own, homes, m = own[order], int(own.sum()), len(own)
-    ids, n = table["class"].to_numpy()[order], table["n"].to_numpy()[order]
-    mine, split = table["mine"].to_numpy()[order], table["low"][0].as_py() != table["high"][0].as_py()
-    x = np.frombuffer(b"".join(table["vector"].take(pa.array(order)).to_pylist()), "<f8").reshape(m, -1)
-    codes = np.frombuffer(b"".join(table["codes"].take(pa.array(order)).to_pylist()), "<i8").reshape(m, TABLES, PROBES)
-    links, root = np.zeros(m, np.int64), np.arange(m)
-    for at in range(0, homes, AT_ONCE):
-        i, j = np.nonzero(x[at:min(homes, at + AT_ONCE)] @ x.T >= threshold)
-        i += at
-        real = (j >= homes) | (i < j)           # two at home meet once
-        if split:
-            real &= mine[i] != mine[j]          # blocks meet themselves in a unit of their own
-        i, j = i[real], j[real]
-        if not len(i):
-            continue
-        a, b = codes[i], codes[j]
-        meets = (a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)
-        first = ~meets[:, :t].any(axis=1)
-        twice = (b[:, t, :1] == a[:, t]).any(axis=1) & ~own[j]   # they also meet where the other is at home
-        counted = first & (~twice | (ids[i] < ids[j]))
-        np.add.at(links, i[counted], n[j[counted]])
-        np.add.at(links, j[counted], n[i[counted]])
-        root = roots(np.concatenate([i, np.arange(m)]), np.concatenate([j, root]), m)
-    some = (links > 0) | (root != np.arange(m))
+    """Links found first in these whole units, which follow one another: ``class, links, root``."""
+    begin = np.flatnonzero(_changes(table))
+    end = np.append(begin[1:], table.num_rows)
+    own, ids, n, mine, t = (table[c].to_numpy() for c in ("own", "class", "n", "mine", "table"))
+    split = table["low"].to_numpy() != table["high"].to_numpy()
+    codes = np.frombuffer(b"".join(table["codes"].to_pylist()), "<i8").reshape(len(ids), TABLES, PROBES)
+    vectors, dims = table["vector"].to_pylist(), table["dim"].to_numpy()
+    links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for dim in np.unique(dims).tolist():  # lengths come one after the other within a label
+        kept = np.flatnonzero(dims == dim)
+        x = np.frombuffer(b"".join(vectors[k] for k in kept.tolist()), "<f8").reshape(-1, dim)
+        place = np.cumsum(dims == dim) - 1
+        units = dims[begin] == dim
+        for i, j in _near_pairs(x, own[kept], place[begin[units]], place[end[units] - 1] + 1, threshold):
+            i, j = kept[i], kept[j]
+            real = ~split[i] | (mine[i] != mine[j])   # blocks meet themselves in a unit of their own
+            i, j = i[real], j[real]
+            if not len(i):
+                continue
+            a, b, row = codes[i], codes[j], np.arange(len(i))
+            meets = (a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)
+            first = meets.argmax(axis=1) == t[i]
+            twice = (b[row, t[i], :1] == a[row, t[i]]).any(axis=1) & ~own[j]  # they also meet where the other is at home
+            counted = first & (~twice | (ids[i] < ids[j]))
+            np.add.at(links, i[counted], n[j[counted]])
+            np.add.at(links, j[counted], n[i[counted]])
+            root = roots(np.concatenate([i, np.arange(len(ids))]), np.concatenate([j, root]), len(ids))
+    some = (links > 0) | (root != np.arange(len(ids)))
     return pa.table({"class": pa.array(ids[some], pa.int64()), "links": pa.array(links[some], pa.int64()),
                      "root": pa.array(ids[root[some]], pa.int64())})
 
 
+def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The sorted rows in tables that end where a unit ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        last = int(np.flatnonzero(_changes(table))[-1]) if table.num_rows else 0
+        if last:
+            yield table.slice(0, last)
+            held = table.slice(last).combine_chunks().to_batches()
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 def usable(embedding: Column) -> Column:
     """Not null, not empty, all components finite, not all zero."""
     finite = F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -173,7 +221,14 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_colum
     mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     units = (units.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")}).drop("other", "blocks"))
-    found = stored(units.groupBy(*UNIT).applyInArrow(lambda t: _links(t, threshold), "class long, links long, root long"), "links")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_units(batches):
+            yield from _links(table, threshold).to_batches()
+
+    # Units are many and small: a task takes a run of them, whole, in order.
+    together = units.repartition(*UNIT).sortWithinPartitions(*UNIT, F.desc("own"))
+    found = stored(together.mapInArrow(compare, "class long, links long, root long"), "links")
     degree = found.groupBy("class").agg(F.sum("links").alias("links"))
     member = components(found, "class", "root").withColumnRenamed("node", "class")
     joined = stored(reduce(lambda a, b: a.join(b, "class", "left"), [degree, member], classes.drop("embedding", "label")).select(
