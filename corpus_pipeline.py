@@ -1,4 +1,13 @@
-"""Corpus preparation in stages; each takes what the one before it kept."""
+"""Corpus preparation in five stages; each takes what the one before it kept.
+
+1. language ID: documents without letters, and texts unlike any learnt language, go
+2. exact dedup: of equal texts the one with the largest id stays
+3. SimHash near-dedup: of each group of near-duplicates the one with the smallest id stays
+4. secret scans: found secrets are masked, ``n_chars`` follows
+5. packing: the pieces of all remaining documents in sequences of 4,096 tokens
+
+Every stage but the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +16,55 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import public_tokenizers  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
+from plumbline.llm import exact_dedup, language, packing, secret_scan, simhash  # noqa: E402
 from plumbline.llm.common import stored  # noqa: E402
-from plumbline.llm.exact_dedup import drop_exact_copies  # noqa: E402
+
+TOKENIZER = "word_bpe_49k.json"
+#: A text of at least so many characters whose phrases are this short on average is in no learnt language.
+FOREIGN_CHARS, FOREIGN_RATE = 100, 0.7
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled documents that are not held out; what has no language goes."""
+    model = language.fit(docs, ~language.held_out())
+    told = language.with_language(docs, model, alias="_language")
+    foreign = (F.length("text") >= FOREIGN_CHARS) & (F.col("_language.phrase_rate") >= FOREIGN_RATE)
+    return told.where((F.col("_language.lang_pred") != language.NONE) & ~foreign).drop("_language")
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of fingerprints within 3 bits."""
+    return simhash.drop_near_duplicates(docs, width=3, budget=3)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets masked; no document goes."""
+    masked = secret_scan.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest id."""
-    return drop_exact_copies(docs)
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the packed sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("exact dedup", exact_dedup)]
-#: No SQL: the stages cannot be expressed in it.
+STAGES = [("language ID", language_id), ("exact dedup", exact_copies), ("SimHash near-dedup", near_copies),
+          ("secret scans", secrets), ("packing", packed)]
+#: Cross-parsing, fingerprints, automata and the tokenizer cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for label, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), label.replace(" ", "-"))
