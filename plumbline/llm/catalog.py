@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import embedding, language, packing, preference, secret_scan, sharding, simhash, wavelet
+from plumbline.llm import embedding, language, packing, piece_lattice, preference, secret_scan, sharding, simhash, wavelet
 from plumbline.llm.exact_dedup import exact_groups
 from plumbline.session import shared_path
 
@@ -138,3 +138,12 @@ FROM spans GROUP BY ALL"""
 def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector with its links of cosine 0.98 or more within its label."""
     return embedding.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, and whether they decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = piece_lattice.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
+    found = piece_lattice.decode(piece_lattice.encode(docs, model), model, alias="decoded")
+    return found.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
