@@ -453,9 +453,31 @@ def _(spark, d):
     return workflow.apply_plan(df, PLAN, order_by="c_custkey").table
 
 
-@query("operations_log", None)
+@query("operations_log", """
+SELECT position, step, fix, status FROM (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS position,
+  unnest(['duplicates', 'nulls', 'string_quality', 'sparse_columns', 'email_format', 'test_data', 'typos']) AS step,
+  unnest(['remove_duplicates', 'smart_impute', 'standardize_strings', 'drop_sparse_columns', 'validate_emails', 'flag_test_data', 'auto_fix_typos']) AS fix,
+  'applied' AS status) WHERE (SELECT count(*) FROM customer) > 0""")
 def _(spark, d):
-    return workflow.apply_plan(frame(spark, d, "customer_messy"), PLAN, order_by="c_custkey").operations
+    log = workflow.apply_plan(frame(spark, d, "customer_messy"), PLAN, order_by="c_custkey").operations
+    return log.select("position", "step", "fix", "status")
+
+
+@query("skipped_fix", """
+SELECT count(*) AS rows, max(o_orderkey) AS last_key, 'column_names failed, email_format applied' AS log FROM orders""")
+def _(spark, d):
+    df = frame(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("Lead Time"), F.col("o_custkey").alias("lead-time"))
+    done = workflow.apply_plan(df, ["column_names", "date_formats", "email_format"])
+    log = done.operations.where("step <> 'date_formats'").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "step", "status"))), ", ").alias("log"), F.lit(1).alias("one"))
+    kept = done.table.agg(F.count(F.lit(1)).alias("rows"), F.max("o_orderkey").alias("last_key"), F.lit(1).alias("one"))
+    return kept.join(log, "one").drop("one")
+
+
+@query("month_first_dates", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS order_date FROM orders""")
+def _(spark, d):
+    df = frame(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("order_date"))
+    return rounded(clean.fix_date_formats(df))
 
 
 @query("guided_clean", with_table("orders_text", f"""
@@ -481,7 +503,12 @@ def _(spark, d):
     return workflow.diff(df, after).select("rows_removed", "cols_removed", "nulls_fixed", "duplicates_removed")
 
 
-@query("rescore", None)
+@query("rescore", with_table("lineitem_gaps", """
+, kept AS (SELECT count(*) AS n FROM (SELECT DISTINCT * EXCLUDE (l_shipdate) FROM t))
+SELECT (SELECT count(*) FROM t) AS rows_before, (SELECT n FROM kept) AS rows_after, CAST(0 AS BIGINT) AS nulls_after,
+       CAST(0 AS BIGINT) AS duplicates_after, (SELECT CAST(""" + " + ".join(f"(count(*) - count({c}))" for c in columns_of("lineitem_gaps"))
+       + """ AS BIGINT) FROM t) AS nulls_before, true AS better"""))
 def _(spark, d):
     report = workflow.audit_and_clean(frame(spark, d, "lineitem_gaps"), "auto_all", order_by="l_orderkey", as_of=AS_OF)
-    return report.summary
+    return report.summary.select("rows_before", "rows_after", "nulls_after", "duplicates_after", "nulls_before",
+                                 (F.col("health_after") > F.col("health_before")).alias("better"))

@@ -59,9 +59,13 @@ def _(spark, d):
     return rounded(profile.top_values(frame(spark, d, "part"), "p_name", 10))
 
 
-@query("sample_values", None)
+@query("sample_values", "SELECT least(8, count(DISTINCT p_name)) AS sampled, least(8, count(DISTINCT p_name)) AS present FROM part")
 def _(spark, d):
-    return profile.sample_values(frame(spark, d, "part"), "p_name", 8)
+    df = frame(spark, d, "part")
+    sample = profile.sample_values(df, "p_name", 8)
+    known = sample.join(df.select(F.col("p_name").alias("value")).distinct(), "value", "left_semi")
+    return sample.agg(F.countDistinct("value").alias("sampled"), F.lit(1).alias("one")).join(
+        known.agg(F.count(F.lit(1)).alias("present"), F.lit(1).alias("one")), "one").drop("one")
 
 
 @query("table_kpis", with_table("lineitem_gaps", f"""
@@ -121,9 +125,15 @@ def _(spark, d):
     return rounded(out.select("section", F.col("column").alias("column_name"), "metric", F.col("value").cast("double").alias("value")))
 
 
-@query("dataset_profile_samples", None)
+@query("dataset_profile_samples", union(
+    f"SELECT '{c}' AS column_name, least(5, count(DISTINCT {c})) AS sampled, least(5, count(DISTINCT {c})) AS present FROM part"
+    for c in ("p_name", "p_brand", "p_type")))
 def _(spark, d):
-    return profile.dataset_profile(frame(spark, d, "part")).where("section = 'samples'").withColumnRenamed("column", "column_name")
+    df = frame(spark, d, "part")
+    samples = profile.dataset_profile(df).where("section = 'samples'")
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in ("p_name", "p_brand", "p_type")]))).distinct()
+    return (samples.join(cells.withColumn("known", F.lit(1)), ["column", "value"], "left").groupBy(F.col("column").alias("column_name"))
+            .agg(F.countDistinct("value").alias("sampled"), F.count("known").alias("present")))
 
 
 @query("real_types", with_table("orders_text", union(
@@ -310,9 +320,13 @@ def _(spark, d):
     return rounded(profile.trend(frame(spark, d, "lineitem"), "l_quantity", "l_extendedprice"))
 
 
-@query("scatter_points", None)
+@query("scatter_points", "SELECT least(1000, count(*)) AS points, least(1000, count(*)) AS present FROM lineitem")
 def _(spark, d):
-    return profile.scatter_points(frame(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 1000)
+    df = frame(spark, d, "lineitem")
+    points = profile.scatter_points(df, "l_quantity", "l_extendedprice", 1000)
+    known = points.join(df.select("l_quantity", "l_extendedprice").distinct(), ["l_quantity", "l_extendedprice"], "left_semi")
+    return points.agg(F.count(F.lit(1)).alias("points"), F.lit(1).alias("one")).join(
+        known.agg(F.count(F.lit(1)).alias("present"), F.lit(1).alias("one")), "one").drop("one")
 
 
 # -- rows ---------------------------------------------------------------------------

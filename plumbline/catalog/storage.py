@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog.registry import frame, query, rounded, stamp
+from plumbline.catalog.registry import frame, query, rounded, stamp, with_table
 from plumbline.catalog.audit import AS_OF, CUSTOMER_AUDIT
+from plumbline.functions import fixed
 from plumbline.functions.columns import normalise
 from plumbline.operators import clean, privacy
 from plumbline.plans import workflow
@@ -50,6 +51,49 @@ def _(spark, d):
     return rounded(files.read_table(spark, path))
 
 
+# Cells that a file may lose: padded, empty, null, quoted, over several lines.
+DOCUMENT_CELLS = ("CASE WHEN doc_id % 7 = 0 THEN '  ' || text || ' ' WHEN doc_id % 7 = 1 THEN '' WHEN doc_id % 7 = 2 THEN NULL "
+                  "WHEN doc_id % 7 = 3 THEN '\"' || text || '\", \\ ' || lang WHEN doc_id % 7 = 4 THEN lang || chr(10) || text ELSE text END")
+DIGESTS = "SELECT doc_id, lang, source, n_chars, md5(cell) AS digest, length(cell) AS size FROM"
+
+
+def _digests(df):
+    return df.select("doc_id", "lang", "source", "n_chars", F.md5("cell").alias("digest"), F.length("cell").cast("bigint").alias("size"))
+
+
+def _round_trips(kind: str) -> None:
+    options = {"na_values": ()} if kind == "csv" else {}
+
+    @query(f"roundtrip_{kind}_documents", f"{DIGESTS} (SELECT *, {DOCUMENT_CELLS.replace(chr(92) * 2, chr(92))} AS cell FROM documents)")
+    def _(spark, d):
+        df = frame(spark, d, "documents").withColumn("cell", F.expr(DOCUMENT_CELLS)).drop("text")
+        path = files.save(df, shared_path(spark, "documents") + f".{kind}")
+        return _digests(files.read_table(spark, path, df.schema, **options))
+
+    @query(f"roundtrip_{kind}_customers", with_table("customer_messy", "SELECT * REPLACE (round(c_acctbal, 4) AS c_acctbal) FROM t"))
+    def _(spark, d):
+        df = frame(spark, d, "customer_messy")
+        path = files.save(df, shared_path(spark, "customers") + f".{kind}")
+        return rounded(files.read_table(spark, path, df.schema, **options)).withColumn("c_nationkey", F.col("c_nationkey").cast("bigint"))
+
+
+for _kind in ("csv", "json", "parquet"):
+    _round_trips(_kind)
+
+
+@query("read_csv_na", """
+SELECT count(*) FILTER (o_orderkey % 3 = 0) AS missing_priority, count(*) FILTER (o_orderkey % 5 = 0) AS missing_total,
+       round(sum(o_totalprice) FILTER (o_orderkey % 5 > 0), 2) AS total FROM orders""")
+def _(spark, d):
+    markers = F.element_at(F.array(*[F.lit(v) for v in fixed.NA_VALUES]), (F.col("o_orderkey") % len(fixed.NA_VALUES) + 1).cast("int"))
+    df = frame(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, markers).otherwise(F.col("o_orderpriority")).alias("priority"),
+        F.when(F.col("o_orderkey") % 5 == 0, markers).otherwise(F.col("o_totalprice").cast("string")).alias("total"))
+    back = files.read_table(spark, files.save(df, shared_path(spark, "orders") + ".csv"), multi_line=False)
+    return back.agg(F.count_if(F.col("priority").isNull()).alias("missing_priority"), F.count_if(F.col("total").isNull()).alias("missing_total"),
+                    F.round(F.sum("total"), 2).alias("total"))
+
+
 @query("read_normalised", "SELECT event_id, round(CASE WHEN event_id % 5 > 0 THEN value END, 4) AS value FROM events")
 def _(spark, d):
     broken = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
@@ -76,3 +120,14 @@ def _(spark, d):
 def _(spark, d):
     df = privacy.protect(frame(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), hash=["c_name"])
     return files.read_csv(spark, files.save(df, shared_path(spark, "customer") + ".csv"), df.schema)
+
+
+@query("run_without_order", "SELECT 2 * count(*) AS rows_before, count(*) AS rows_after, count(*) AS dropped FROM orders")
+def _(spark, d):
+    df = frame(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    path = files.save(df.unionAll(df), shared_path(spark, "orders") + ".parquet")
+    out = shared_path(spark, "cleaned")
+    report = workflow.run(spark, path, out + ".json", mode="auto_high")
+    trail = files.read_table(spark, out + "_dropped_duplicates.json").agg(F.count(F.lit(1)).alias("dropped"), F.lit(1).alias("one"))
+    kept = files.read_table(spark, out + ".json").agg(F.count(F.lit(1)).alias("rows_after"), F.lit(1).alias("one"))
+    return report.summary.select("rows_before", F.lit(1).alias("one")).join(kept, "one").join(trail, "one").drop("one")

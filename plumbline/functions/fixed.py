@@ -64,6 +64,13 @@ IMPACT_CLASSES = [
 DATE_FORMATS = ["yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy",
                 "dd MMM yyyy", "MMM dd, yyyy"]
 
+# Day first and month first: a column is read in one of the two orders only.
+DATE_ORDERS = ["dd/MM/yyyy", "MM/dd/yyyy"]
+
+# Cells of a CSV file that mean "missing".
+NA_VALUES = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+             "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 # The 17 scored checks, in reporting order:
 # (check, label, category, fix, HIGH weight, MEDIUM weight)
 CHECKS = [

@@ -9,11 +9,12 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import fixed
+from plumbline.functions.columns import name, type_of
 
 
 def strip(c: Column) -> Column:
@@ -57,14 +58,37 @@ def _shape(date_format: str) -> str:
     return "^" + "".join(widths.get(a + b, r".+") if a else "\\" + other for a, b, other in parts) + "$"
 
 
+def may_hold_dates(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def date_formats(df: DataFrame, columns: Sequence[str], formats: Sequence[str] | None = None) -> dict[str, list[str]]:
+    """The formats to try on each text column: of day-first and month-first only the one that
+    parses more cells, day-first if both parse as many. One aggregate; a stream keeps all formats."""
+    formats = list(fixed.DATE_FORMATS if formats is None else formats)
+    orders = [f for f in fixed.DATE_ORDERS if f in formats]
+    texts = [c for c in columns if isinstance(type_of(df, c), T.StringType)]
+    if len(orders) < 2 or not texts or df.isStreaming:
+        return {c: formats for c in texts}
+
+    def fits(c: str, order: str) -> Column:
+        cell = name(c)
+        return F.count(F.when(cell.rlike(_shape(order)), F.try_to_timestamp(cell, F.lit(order))))
+
+    row = df.agg(*[F.array(*[fits(c, o) for o in orders]).alias(f"c{i}") for i, c in enumerate(texts)]).first()
+    best = {c: orders[row[i].index(max(row[i]))] for i, c in enumerate(texts)}
+    return {c: [f for f in formats if f not in orders or f == best[c]] for c in texts}
+
+
 def parse_timestamp(c: Column, dtype: T.DataType, formats: Sequence[str] | None = None) -> Column:
     """ISO forms first, then each format in turn; null when none parses.
 
     A failed attempt costs an exception inside the JVM, so a format is only tried on
-    texts of its shape.
+    texts of its shape. Only texts, dates and timestamps can be dates: for other types,
+    numbers among them, the result is null.
     """
     if not isinstance(dtype, T.StringType):
-        return c.try_cast("timestamp_ntz")
+        return c.cast("timestamp_ntz") if may_hold_dates(dtype) else F.lit(None).cast("timestamp_ntz")
     formats = fixed.DATE_FORMATS if formats is None else formats
     iso = c.try_cast("timestamp_ntz")
     if not formats:

@@ -22,7 +22,7 @@ from plumbline.operators.quantiles import quantiles
 from plumbline.session import local_table
 
 FINDINGS = "check string, column string, metric string, value double"
-LONG_TEXT = 64  # characters; longer keys travel as a digest
+SKIPPED = "skipped"  # the metric of a column that a check has not looked at; it is no issue
 
 
 def _empty(df: DataFrame) -> DataFrame:
@@ -63,8 +63,8 @@ def _flags(metrics: DataFrame, check: str, flags: dict[str, Column]) -> DataFram
 def row_keys(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
     """Grouping keys that are equal exactly when the rows are equal.
 
-    Long text is replaced by its SHA-256 digest, so that a whole-row shuffle moves at
-    most ~65 bytes per text cell; nested values are compared through their JSON form.
+    Text is replaced by its SHA-256 digest, so that a whole-row shuffle moves 32 bytes per
+    text cell; nested values are compared through their JSON form.
     """
     keys = []
     for c in df.columns if columns is None else columns:
@@ -74,7 +74,7 @@ def row_keys(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
             key = F.when(name(c).isNotNull(), key)
             dtype = T.StringType()
         if isinstance(dtype, T.StringType):
-            key = F.when(F.length(key) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(key, 256))).otherwise(key)
+            key = F.unhex(F.sha2(key, 256))
         keys.append(key)
     return keys
 
@@ -189,13 +189,21 @@ def check_string_quality(df: DataFrame, metrics: DataFrame | None = None) -> Dat
         "sql_breaking": F.col("sql_breaking"), "html_tags": F.col("html_tags"), "inconsistent_casing": mixed})
 
 
+def date_columns(df: DataFrame) -> list[str]:
+    """Date-named columns of a type that can hold dates; ``lead_time INT`` is a number."""
+    return [c for c in columns_named(atomic_columns(df), fixed.DATE_WORDS) if text.may_hold_dates(type_of(df, c))]
+
+
 def check_date_formats(df: DataFrame, as_of: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """Unparseable and future values of the date-named columns; ``as_of`` fixes "now"."""
-    columns = columns_named(atomic_columns(df), fixed.DATE_WORDS) if columns is None else columns
+    columns = date_columns(df) if columns is None else columns
+    formats = text.date_formats(df, columns)
     now = F.current_timestamp().cast("timestamp_ntz") if as_of is None else F.lit(as_of).cast("timestamp_ntz")
-    m = per_column(df, columns, {
-        "unparseable": ("bigint", lambda c, t: F.count_if(c.isNotNull() & text.parse_timestamp(c, t).isNull())),
-        "future_dates": ("bigint", lambda c, t: F.count_if(text.parse_timestamp(c, t) > now))})
+    parsed = {c: text.parse_timestamp(name(c), type_of(df, c), formats.get(c)) for c in columns}
+    dated = df.select(*[F.struct(name(c).isNotNull().alias("given"), p.alias("ts")).alias(c) for c, p in parsed.items()])
+    m = per_column(dated, columns, {
+        "unparseable": ("bigint", lambda c, t: F.count_if(c["given"] & c["ts"].isNull())),
+        "future_dates": ("bigint", lambda c, t: F.count_if(c["ts"] > now))})
     m = m.where((F.col("unparseable") > 0) | (F.col("future_dates") > 0))
     return unpivot(m, ["unparseable", "future_dates"], "date_formats")
 
@@ -258,13 +266,16 @@ def check_phone_format(df: DataFrame) -> DataFrame:
     return _format_check(df, "phone_format", fixed.PHONE_WORDS, fixed.PHONE_PATTERN)
 
 
-def check_typos(df: DataFrame, threshold: float = 85, limit: int = similarity.AUDIT_LIMIT,
+def check_typos(df: DataFrame, threshold: float = 85, limit: int | None = None,
                 columns: list[str] | None = None, estimates: dict[str, int] | None = None) -> DataFrame:
-    """Per column: values that have a near-duplicate, and the near-duplicate pairs."""
-    pairs = similarity.typo_pairs(df, columns, threshold, limit, estimates)
+    """Per column: values that have a near-duplicate, and the near-duplicate pairs. A column of more
+    than ``limit`` distinct values is not compared, and named by a ``skipped`` finding."""
+    values, wide = similarity.limited_values(df, columns, limit, estimates)
+    pairs = similarity.similar_pairs(values.drop("freq"), threshold)
     ends = pairs.select("column", F.explode(F.array("value_a", "value_b")).alias("value"), F.lit(0.5).alias("half"))
     m = ends.groupBy("column").agg(F.countDistinct("value").alias("similar_values"), F.sum("half").alias("similar_pairs"))
-    return unpivot(m, ["similar_values", "similar_pairs"], "typos")
+    skipped = local_table(df.sparkSession, [("typos", c, SKIPPED, 1.0) for c in wide], FINDINGS)
+    return unpivot(m, ["similar_values", "similar_pairs"], "typos").unionByName(skipped)
 
 
 def check_pii(df: DataFrame, match: str = "substring") -> DataFrame:

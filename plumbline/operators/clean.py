@@ -22,7 +22,7 @@ from plumbline.operators import checks, ordering
 from plumbline.operators.correlation import high_pairs
 from plumbline.operators.metrics import only_boolean_words, per_column, text_profile
 from plumbline.operators.quantiles import quantiles
-from plumbline.session import local_table
+from plumbline.session import local_table, materialize
 
 
 # -- rows -----------------------------------------------------------------------
@@ -36,6 +36,14 @@ def _dedup_keys(df: DataFrame, subset: Sequence[str] | None, exclude_temporal: b
     return [c for c in df.columns if c not in dated] or df.columns
 
 
+_NUMBER = "_row_number"
+
+
+def _content(df: DataFrame) -> list[Column]:
+    """The row's cells as something that can be compared: maps cannot."""
+    return [F.to_json(F.struct(name(c))).alias(c) if isinstance(type_of(df, c), T.MapType) else name(c) for c in df.columns]
+
+
 def _grouped(df: DataFrame, subset: Sequence[str], order_by, keep: str | bool) -> DataFrame:
     """One row per group of equal keys: ``n`` rows, and the kept row.
 
@@ -43,14 +51,10 @@ def _grouped(df: DataFrame, subset: Sequence[str], order_by, keep: str | bool) -
     holds a third of the table is reduced before the shuffle and never sorted in one task.
     """
     order = [order_by] if isinstance(order_by, (str, Column)) else list(order_by or [])
-    if not order and keep in ("first", "last") and len(subset) < len(df.columns):
-        raise ValueError("keep='first' or 'last' needs order_by: tables have no order of their own")
     keys = checks.row_keys(df, list(subset))
     rank = [name(o).alias(f"o{i}") if isinstance(o, str) else o.alias(f"o{i}") for i, o in enumerate(order)]
     # Ties on the order key are settled by the row's content; maps cannot be compared.
-    content = [F.to_json(F.struct(name(c))).alias(c) if isinstance(type_of(df, c), T.MapType) else name(c)
-               for c in df.columns]
-    rank.append(F.struct(*content).alias("o_row"))
+    rank.append(F.struct(*_content(df)).alias("o_row"))
     pick = F.max_by if keep == "last" else F.min_by
     row = F.struct(*[name(c) for c in df.columns])
     return (df.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
@@ -61,7 +65,8 @@ def remove_duplicates(df: DataFrame, subset: Sequence[str] | None = None, keep:
                       order_by=None, exclude_temporal: bool = True) -> DataFrame:
     """Keep the first, the last or (``keep=False``) none of the rows that agree on ``subset``.
 
-    The default subset is every column that is not a date or timestamp; nulls are equal.
+    The default subset is every column that is not a date or timestamp; nulls are equal. Tables
+    have no order of their own: without ``order_by`` rows are ordered by their content.
     """
     subset = _dedup_keys(df, subset, exclude_temporal)
     if keep == "first" and order_by is None and len(subset) == len(df.columns):
@@ -92,6 +97,26 @@ def dropped_duplicates(df: DataFrame, row_id: str, subset: Sequence[str] | None
     return joined.select(*[tagged["`" + c.replace("`", "``") + "`"] for c in df.columns], kept["kept_id"])
 
 
+def duplicate_trail(df: DataFrame, order_by=None, exclude_temporal: bool = True) -> DataFrame:
+    """The rows that ``remove_duplicates(keep='first', order_by=order_by)`` drops, all columns.
+
+    Rows get a number in one written copy of the table, so that of rows equal in every column all
+    but one are named; AQE splits a hot group's side of the join.
+    """
+    numbered = materialize(df.withColumn(_NUMBER, F.monotonically_increasing_id()), "numbered")
+    order = [order_by] if isinstance(order_by, (str, Column)) else list(order_by or [])
+    subset = _dedup_keys(df, None, exclude_temporal)
+    keys = [k.alias(f"k{i}") for i, k in enumerate(checks.row_keys(df, subset))]
+    names = [f"k{i}" for i in range(len(keys))]
+    rank = F.struct(*[name(o) if isinstance(o, str) else o for o in order], *_content(df), name(_NUMBER))
+    kept = (numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min_by(name(_NUMBER), rank).alias("kept"))
+            .where("n > 1").select(F.xxhash64(*names).alias("h"), *names, "kept"))
+    tagged = numbered.select("*", *keys).withColumn("h", F.xxhash64(*names))
+    same = reduce(lambda a, b: a & b, [tagged[k].eqNullSafe(kept[k]) for k in names], tagged["h"] == kept["h"])
+    dropped = tagged.join(kept, same & (tagged[_NUMBER] != kept["kept"]))
+    return dropped.select(*[tagged["`" + c.replace("`", "``") + "`"] for c in df.columns])
+
+
 def drop_empty_rows(df: DataFrame) -> DataFrame:
     """Whitespace-only text becomes null everywhere, then rows without any value go."""
     blanked = df.withColumns({
@@ -217,9 +242,9 @@ def handle_nulls(df: DataFrame, strategy: str = "median", fill_value=None, colum
 def impute_choices(df: DataFrame, skew_threshold: float = 1.0, columns: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column with gaps: mean, median, skewness and which of the two to use."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    stats = [r for r in per_column(df, columns, ["rows", "nulls", "distinct_estimate", "mean", "skewness"]).collect()
+    stats = [r for r in per_column(df, columns, ["rows", "nulls", "mean", "skewness"]).collect()
              if 0 < r["nulls"] < r["rows"]]
-    medians = quantiles(df, [r["column"] for r in stats], [0.5], {r["column"]: r["distinct_estimate"] for r in stats})
+    medians = quantiles(df, [r["column"] for r in stats], [0.5])
     rows = []
     for r in stats:
         use_mean = r["skewness"] is not None and abs(r["skewness"]) <= skew_threshold
@@ -294,6 +319,8 @@ def enforce_dtypes(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
 def cast_report(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
     """``(column, failures, adopted)``: cells each asked cast would lose."""
     asked = [c for c in schema if c in df.columns]
+    if not asked:
+        return local_table(df.sparkSession, [], "column string, failures bigint, adopted boolean")
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.count_if(
         name(c).isNotNull() & name(c).try_cast(schema[c]).isNull()).alias("failures")) for c in asked])
     return (df.agg(entries.alias("e")).select(F.inline("e"))
@@ -311,10 +338,15 @@ def fix_numeric_strings(df: DataFrame, columns: Sequence[str] | None = None, min
 
 def fix_date_formats(df: DataFrame, columns: Sequence[str] | None = None,
                      formats: Sequence[str] | None = None) -> DataFrame:
-    """Date-named columns become timestamps; cells no format parses become null."""
-    columns = columns_named(atomic_columns(df), fixed.DATE_WORDS) if columns is None else list(columns)
+    """Date-named columns become timestamps; cells no format parses become null.
+
+    A column is read in one order of day and month, the one that parses more cells. Columns that
+    cannot hold dates, such as numbers, stay as they are.
+    """
+    columns = checks.date_columns(df) if columns is None else [c for c in columns if text.may_hold_dates(type_of(df, c))]
+    chosen = text.date_formats(df, columns, formats)
     return df.withColumns({
-        c: text.parse_timestamp(name(c), type_of(df, c), formats) for c in columns}) if columns else df
+        c: text.parse_timestamp(name(c), type_of(df, c), chosen.get(c, formats)) for c in columns}) if columns else df
 
 
 def convert_booleans(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

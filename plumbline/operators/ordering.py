@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import name
+from plumbline.functions.columns import name, type_of
 from plumbline.session import materialize
 
 _SLICE, _HASH, _TIE, _POS, _OFFSET = "_slice", "_hash", "_tie", "_pos", "_offset"
@@ -29,11 +29,15 @@ def _as_columns(order_by: str | Column | Sequence[str | Column]) -> list[Column]
     return [name(k) if isinstance(k, str) else k for k in keys]
 
 
+def _comparable(df: DataFrame, column: str) -> Column:
+    return F.to_json(F.struct(name(column))) if "map<" in type_of(df, column).simpleString() else name(column)
+
+
 def _sliced(df: DataFrame, order_by) -> DataFrame:
     """``df`` with a slice number, a position inside the slice and the slice's row offset."""
     order = _as_columns(order_by)
     total = [*order, F.col(_HASH), F.col(_TIE)]
-    ranged = (df.withColumns({_HASH: F.xxhash64(*[name(c) for c in df.columns]), _TIE: F.rand(7)})
+    ranged = (df.withColumns({_HASH: F.xxhash64(*[_comparable(df, c) for c in df.columns]), _TIE: F.rand(7)})
               .repartitionByRange(*total)
               .withColumn(_SLICE, F.spark_partition_id()))
     ranged = materialize(ranged, "slices")

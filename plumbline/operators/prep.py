@@ -12,12 +12,11 @@ from plumbline.functions.columns import columns_named, name, numeric_columns, st
 from plumbline.operators.clean import text_number_columns
 from plumbline.operators.metrics import per_column
 from plumbline.operators.ordering import dense_index
+from plumbline.operators.profile import distinct_counts
 from plumbline.operators.quantiles import quantiles
 from plumbline.operators.similarity import value_counts
 from plumbline.session import local_table
 
-ONE_HOT_LIMIT = 200
-SUGGESTIONS_SHOWN = 12
 
 
 # -- scaling ----------------------------------------------------------------------
@@ -60,9 +59,10 @@ def _counts(df: DataFrame, column: str) -> DataFrame:
     return df.where(name(column).isNotNull()).groupBy(name(column)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def encode_categoricals(df: DataFrame, method: str = "label", columns: Sequence[str] | None = None) -> DataFrame:
+def encode_categoricals(df: DataFrame, method: str = "label", columns: Sequence[str] | None = None,
+                        limit: int | None = None) -> DataFrame:
     """``label``: rank of the value, null stays null. ``frequency``: share of the non-null rows.
-    ``onehot``: one boolean per value, the source column goes."""
+    ``onehot``: one boolean per value, the source column goes; a ``limit`` refuses columns of more values."""
     columns = string_columns(df) if columns is None else list(columns)
     for c in columns:
         type_of(df, c)
@@ -77,18 +77,19 @@ def encode_categoricals(df: DataFrame, method: str = "label", columns: Sequence[
             df = _lookup(df, c, counts.withColumn("share", F.col("n") / F.lit(total)), "share", c)
         return df
     if method == "onehot":
-        return _one_hot(df, columns)
+        return _one_hot(df, columns, limit)
     raise ValueError(f"unknown method {method!r}")
 
 
-def _one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    values: dict[str, list[str]] = {c: [] for c in columns}
+def _one_hot(df: DataFrame, columns: Sequence[str], limit: int | None) -> DataFrame:
     counted = value_counts(df, columns).select("column", "value")
-    for r in counted.orderBy("column", "value").limit(ONE_HOT_LIMIT * len(columns) + 1).collect():
+    if limit is not None:
+        wide = counted.groupBy("column").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).collect()
+        if wide:
+            raise ValueError(f"more than {limit} distinct values; use label or frequency encoding: {[r['column'] for r in wide]}")
+    values: dict[str, list[str]] = {c: [] for c in columns}
+    for r in counted.orderBy("column", "value").toLocalIterator():  # one output column each
         values[r["column"]].append(r["value"])
-    wide = [c for c, v in values.items() if len(v) > ONE_HOT_LIMIT]
-    if wide or sum(map(len, values.values())) > ONE_HOT_LIMIT * len(columns):
-        raise ValueError(f"more than {ONE_HOT_LIMIT} distinct values; use label or frequency encoding: {wide or columns}")
     kept = [name(c) for c in df.columns if c not in columns]
     flags = [F.coalesce(name(c).cast("string") == v, F.lit(False)).alias(f"{c}_{v}")
              for c in columns for v in values[c]]
@@ -98,9 +99,11 @@ def _one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # -- dates ---------------------------------------------------------------------------
 
 def add_datetime_features(df: DataFrame, column: str) -> DataFrame:
-    """Parse the column and add year, month, day, weekday name and quarter."""
-    df = df.withColumn(column, text.parse_timestamp(name(column), type_of(df, column)))
-    c = name(column)
+    """Parse the column and add year, month, day, weekday name and quarter; all null for a column
+    that cannot hold dates, such as a number, which stays as it is."""
+    c = _timestamp(df, column)
+    if text.may_hold_dates(type_of(df, column)):
+        df, c = df.withColumn(column, c), name(column)
     return df.withColumns({
         f"{column}_year": F.year(c), f"{column}_month": F.month(c), f"{column}_day": F.dayofmonth(c),
         f"{column}_weekday": F.date_format(c, "EEEE"), f"{column}_quarter": F.quarter(c)})
@@ -109,21 +112,22 @@ def add_datetime_features(df: DataFrame, column: str) -> DataFrame:
 # -- derived features -----------------------------------------------------------------
 
 def suggest_features(df: DataFrame) -> DataFrame:
-    """``(position, feature, kind, source)``: features worth deriving, from names, types and
-    cardinality. The first twelve are the ones shown to a user."""
+    """``(position, feature, kind, source)``: features worth deriving, from names, types and cardinality."""
     numeric = set(numeric_columns(df)) | set(text_number_columns(df))
     numbers = [c for c in df.columns if c in numeric]
     texts = [c for c in string_columns(df) if c not in numeric]
     rows: list[tuple[str, str, str]] = []
     for c in columns_named(df.columns, fixed.FEATURE_DATE_WORDS):
+        if not text.may_hold_dates(type_of(df, c)):
+            continue
         rows += [(f"{c}_{part}", "date", c) for part in ("year", "month", "is_weekend", "quarter")]
     prices, quantities = columns_named(numbers, fixed.PRICE_WORDS), columns_named(numbers, fixed.QUANTITY_WORDS)
     if prices and quantities:
         rows += [("avg_unit_price", "math", f"{prices[0]},{quantities[0]}"), ("total_value_flag", "math", prices[0])]
     if len(numbers) >= 2:
         rows.append((f"{numbers[0]}_to_{numbers[1]}_ratio", "math", f"{numbers[0]},{numbers[1]}"))
-    distinct = _exact_distinct(df, texts[:4], 30)
-    for c in texts[:4]:
+    distinct = {r["column"]: r["distinct_values"] for r in distinct_counts(df, texts).collect()}
+    for c in texts:
         if 2 <= distinct[c] <= 30:
             rows.append((f"{c}_encoded", "category", c))
         if distinct[c] <= 10:
@@ -131,18 +135,8 @@ def suggest_features(df: DataFrame) -> DataFrame:
     return local_table(df.sparkSession, [(i, *r) for i, r in enumerate(rows)], "position int, feature string, kind string, source string")
 
 
-def _exact_distinct(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int]:
-    """Distinct counts: the sketch where it is far above the limit, else exact."""
-    found = {r["column"]: r["distinct_estimate"] for r in per_column(df, columns, ["distinct_estimate"]).collect()}
-    near = [c for c, n in found.items() if n <= 2 * limit]
-    if near:
-        exact = value_counts(df, near).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-        found.update({c: 0 for c in near} | {r["column"]: r["n"] for r in exact.collect()})
-    return found
-
-
 def _timestamp(df: DataFrame, column: str) -> Column:
-    return text.parse_timestamp(name(column), type_of(df, column))
+    return text.parse_timestamp(name(column), type_of(df, column), text.date_formats(df, [column]).get(column))
 
 
 def add_date_parts(df: DataFrame, column: str, parts: Sequence[str] = ("year", "month", "quarter", "is_weekend")) -> DataFrame:

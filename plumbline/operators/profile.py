@@ -112,10 +112,10 @@ def profile_column(df: DataFrame, column: str) -> DataFrame:
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column: fill rate, min, max, mean, median, std, skew, excess kurtosis, Q1, Q3, IQR."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    measures = ["rows", "nulls", "distinct_estimate", "min", "max", "mean", "std", "skewness", "kurtosis"]
+    measures = ["rows", "nulls", "min", "max", "mean", "std", "skewness", "kurtosis"]
     profile = per_column(df, columns, measures)
     stats = profile.collect()
-    q = quantiles(df, columns, [0.25, 0.5, 0.75], {r["column"]: r["distinct_estimate"] for r in stats})
+    q = quantiles(df, columns, [0.25, 0.5, 0.75])
     quartiles = local_table(df.sparkSession, [(c, *v) for c, v in q.items()],
                                                 "column string, q1 double, median double, q3 double")
     stats = local_table(df.sparkSession, stats, profile.schema)
@@ -148,6 +148,8 @@ def outlier_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """Per numeric column: min, max, mean, std, IQR and the values outside the 1.5 IQR fences."""
     columns = numeric_columns(df) if columns is None else list(columns)
     q = {c: v for c, v in quantiles(df, columns, [0.25, 0.75]).items() if v[0] is not None}
+    if not q:
+        return local_table(df.sparkSession, [], "column string, min double, max double, mean double, std double, iqr double, outliers bigint")
 
     def outside(column: str):
         q1, q3 = q[column]
@@ -161,8 +163,8 @@ def outlier_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
 
 
-def column_stats(df: DataFrame, limit: int = 20) -> DataFrame:
-    """Type, nulls, distinct values, mean and std of the first ``limit`` columns."""
+def column_stats(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Type, nulls, distinct values, mean and std of all columns, or of the first ``limit``."""
     columns = df.columns[:limit]
     kinds = local_table(df.sparkSession, [(c, type_of(df, c).simpleString()) for c in columns], "column string, dtype string")
     stats = per_column(df, columns, ["nulls", "mean", "std"])
@@ -174,7 +176,7 @@ def column_stats(df: DataFrame, limit: int = 20) -> DataFrame:
 def dataset_profile(df: DataFrame) -> DataFrame:
     """Compact description ``(section, column, metric, value)``: shape, null shares, cardinality of
     text columns, range, mean and skew of numbers, and sample values."""
-    nums, texts = numeric_columns(df)[:15], string_columns(df)
+    nums, texts = numeric_columns(df), string_columns(df)
     stats = per_column(df, df.columns, ["rows", "nulls", "min", "max", "mean", "skewness"])
 
     def section(table: DataFrame, label: str, values: dict[str, Column]) -> DataFrame:
@@ -184,14 +186,14 @@ def dataset_profile(df: DataFrame) -> DataFrame:
     null_pct = {"null_pct": _pct(F.col("nulls"), F.col("rows"), 1)}
     shape = stats.limit(1).select(F.lit(None).cast("string").alias("column"), "rows")
     out = section(shape, "shape", {"rows": F.col("rows"), "cols": F.lit(len(df.columns))})
-    out = out.unionAll(section(stats.where(F.col("position") < 30), "nulls", null_pct))
-    out = out.unionAll(section(distinct_counts(df, texts[:15]), "cardinality", {"distinct": F.col("distinct_values")})) if texts else out
+    out = out.unionAll(section(stats, "nulls", null_pct))
+    out = out.unionAll(section(distinct_counts(df, texts), "cardinality", {"distinct": F.col("distinct_values")})) if texts else out
     out = out.unionAll(section(stats.where(F.col("column").isin(nums)), "numbers", {
         "min": F.round("min", 4), "max": F.round("max", 4), "mean": F.round("mean", 4), "skew": F.round("skewness", 3)}))
     if texts:
         seeded = F.xxhash64("value", F.lit(1))
         rank = F.row_number().over(Window.partitionBy("column").orderBy(seeded, "value"))
-        samples = value_counts(df, texts[:8]).withColumn("rank", rank).where("rank <= 5")
+        samples = value_counts(df, texts).withColumn("rank", rank).where("rank <= 5")
         out = out.unionAll(samples.select(F.lit("samples").alias("section"), "column",
                                           F.concat(F.lit("sample_"), F.col("rank").cast("string")).alias("metric"), "value"))
     return out
@@ -229,7 +231,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
     bounds = df.agg(F.min(name(column)).cast("double").alias("lo"), F.max(name(column)).cast("double").alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     if lo is None:
-        return local_table(df.sparkSession, [], "bin bigint, low double, high double, count bigint")
+        group = f"`group` {type_of(df, by).simpleString()}, " if by else ""
+        return local_table(df.sparkSession, [], group + "bin bigint, low double, high double, count bigint")
     width = (hi - lo) / bins or 1.0
     bucket = F.least(F.floor((name(column).cast("double") - lo) / width), F.lit(bins - 1))
     keys = ([name(by).alias("group")] if by else []) + [bucket.alias("bin")]

@@ -1,123 +1,55 @@
 """Exact quantiles that never hold a whole column, or a whole group, in one task.
 
-``percentile`` interpolates as wanted but buffers every distinct value of its group.
-That is fine up to ``EXACT_LIMIT`` distinct values. Beyond it, sketches bracket the
-wanted ranks and each further scan narrows the bracket, until what lies inside is
-small enough to be counted exactly. No value is sampled or dropped: the rows below
-the bracket are counted, the rows inside are ranked.
+Equal values collapse to one row with a count, combined map-side. Those rows are ordered in one
+range partitioning over all columns or groups, each learns how many rows come before it, and the
+rows that hold the wanted ranks are picked. A value, column or group of any share of the table is
+spread over many tasks, and the path is the same for every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import name
-from plumbline.operators.metrics import distinct_estimates
+from plumbline.operators.ordering import running_counts
 from plumbline.session import materialize
 
-# Distinct values that one group may buffer in one task.
-EXACT_LIMIT = 1_000_000
-# Quantile steps one sketch reports, and its accuracy (a tenth of a step).
-GRID = 400
-ACCURACY = 10 * GRID
 
-
-def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-              distinct: dict[str, int] | None = None, limit: int = EXACT_LIMIT) -> dict[str, list[float | None]]:
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of numeric columns, as plain numbers."""
     if not columns:
         return {}
-    if distinct is None:
-        distinct = distinct_estimates(df, columns)
-    found: dict[str, list[float | None]] = {}
-    small = [c for c in columns if distinct[c] <= limit]
-    if small:
-        row = df.agg(*[F.percentile(name(c).cast("double"), [float(p) for p in probs]).alias(c)
-                       for c in small]).first()
-        found.update({c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in small})
-    large = [c for c in columns if c not in small]
-    if large:
-        cells = df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column"), name(c).cast("double").alias("value")) for c in large])))
-        rows = _narrowed(cells.where(F.col("value").isNotNull()), ["column"], "value", probs, limit).collect()
-        found.update({r["column"]: [r[f"q{i}"] for i in range(len(probs))] for r in rows})
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), name(c).cast("double").alias("value")) for c in columns])))
+    found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    for r in _ranked(cells, probs).collect():
+        found[r["column"]] = [r[f"q{i}"] for i in range(len(probs))]
     return found
 
 
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                      limit: int = EXACT_LIMIT) -> DataFrame:
-    """Exact quantiles ``q0, q1, ...`` of ``value`` for every group of ``keys``."""
-    rows = df.select(*[name(k) for k in keys], name(value).cast("double").alias(value)).where(name(value).isNotNull())
-    large = (rows.groupBy(*[name(k) for k in keys]).agg(F.approx_count_distinct(name(value)).alias("_distinct"))
-             .where(F.col("_distinct") > limit).drop("_distinct"))
-    direct = [F.percentile(name(value), [float(p) for p in probs]).alias("_q")]
-    spread = [F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))]
-    if large.isEmpty():
-        return rows.groupBy(*[name(k) for k in keys]).agg(*direct).select(*[name(k) for k in keys], *spread)
-    large = materialize(large, "large-groups")  # at most rows / limit groups
-    small_rows = _join(rows, large, keys, "left_anti")
-    large_rows = _join(rows, large, keys, "left_semi")
-    exact = small_rows.groupBy(*[name(k) for k in keys]).agg(*direct).select(*[name(k) for k in keys], *spread)
-    return exact.unionByName(_narrowed(large_rows, keys, value, probs, limit))
-
-
-def _join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Null-safe join on ``keys``; AQE broadcasts the small side by its real size."""
-    on = None
-    for k in keys:
-        same = rows[_quoted(k)].eqNullSafe(table[_quoted(k)])
-        on = same if on is None else on & same
-    joined = rows.join(table, on, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*[table[_quoted(k)] for k in keys])
-
-
-def _quoted(column: str) -> str:
-    return "`" + column.replace("`", "``") + "`"
-
-
-def _narrowed(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], limit: int) -> DataFrame:
-    """Quantiles of groups too large to buffer, by repeated bracketing."""
-    v: Column = name(value)
-    group = [name(k) for k in keys]
-    targets = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p")) for i, p in enumerate(probs)]))
-    state = (rows.groupBy(*group).agg(F.count(v).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-             .select(*group, "_n", "_lo", "_hi", targets.alias("_t")).select("*", "_t._i", "_t._p").drop("_t"))
-    state = materialize(state, "brackets")
-    inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
-    width = None
-    while True:
-        seen = _join(rows, state, keys, "inner").groupBy(*group, "_i", "_p", "_n", "_lo", "_hi").agg(
-            F.count_if(v < F.col("_lo")).alias("_below"),
-            F.count_if(inside).alias("_in"),
-            F.approx_count_distinct(F.when(inside, v)).alias("_distinct"),
-            F.percentile_approx(F.when(inside, v), [j / GRID for j in range(GRID + 1)], ACCURACY).alias("_grid"))
-        seen = materialize(seen, "brackets")
-        widest = seen.agg(F.max("_distinct")).first()[0]
-        if widest <= limit or (width is not None and widest >= width):
-            break
-        width = widest
-        position = (F.col("_n") - 1) * F.col("_p")
-        first = F.greatest(F.floor((F.floor(position) - F.col("_below")) / F.col("_in") * GRID) - 2, F.lit(0))
-        last = F.least(F.ceil((F.ceil(position) + 1 - F.col("_below")) / F.col("_in") * GRID) + 2, F.lit(GRID))
-        state = seen.select(
-            *group, "_i", "_p", "_n",
-            F.when(first == 0, F.col("_lo")).otherwise(F.get("_grid", first.cast("int"))).alias("_lo"),
-            F.when(last == GRID, F.col("_hi")).otherwise(F.get("_grid", last.cast("int"))).alias("_hi"))
-        state = materialize(state, "brackets")
-    # Rank the few distinct values left inside each bracket.
-    bounds = seen.select(*group, "_i", "_p", "_n", "_lo", "_hi", "_below")
-    counted = (_join(rows, bounds, keys, "inner").where(inside)
-               .groupBy(*group, "_i", "_p", "_n", "_below", v.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*group, "_i").orderBy("_v"))
-    position = (F.col("_n") - 1) * F.col("_p")
-    lower = F.min(F.when(F.col("_upto") > F.floor(position), F.col("_v")))
-    upper = F.min(F.when(F.col("_upto") > F.ceil(position), F.col("_v")))
-    values = (counted.withColumn("_upto", upto).groupBy(*group, "_i", "_p", "_n")
-              .agg(lower.alias("_a"), upper.alias("_b"))
-              .withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * (position - F.floor(position))))
-    return values.groupBy(*group).agg(*[
-        F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))])
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles ``q0, q1, ...`` of ``value`` for every group of ``keys``; null is a group."""
+    cells = df.select(F.struct(*[name(k) for k in keys]).alias("column"), name(value).cast("double").alias("value"))
+    return _ranked(cells, probs).select("column.*", *[f"q{i}" for i in range(len(probs))])
+
+
+def _ranked(cells: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """``column, q0, q1, ...`` of ``(column, value)`` cells; nulls do not count."""
+    counts = cells.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_counts(counts)
+    ends = materialize(placed.withColumn("until", F.col("before") + F.col("n")), "ranks")
+    totals = ends.groupBy("column").agg(F.max("until").alias("total"))
+    picked = []
+    for i, p in enumerate(probs):
+        position = (F.col("total") - 1) * float(p)
+        for end, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+            picked.append(F.max(F.when((F.col("before") <= rank) & (F.col("until") > rank), F.col("value"))).alias(f"{end}{i}"))
+    found = ends.join(totals, "column").groupBy("column", "total").agg(*picked)
+    spread = []
+    for i, p in enumerate(probs):
+        position = (F.col("total") - 1) * float(p)
+        spread.append((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (position - F.floor(position))).alias(f"q{i}"))
+    return found.select("column", *spread)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed
 from plumbline.functions.columns import atomic_columns, numeric_columns
-from plumbline.operators import checks
+from plumbline.operators import checks, similarity
 from plumbline.operators.metrics import TEXT_MEASURES, per_column, text_profile
 from plumbline.session import local_table
 
@@ -27,7 +27,7 @@ def check_totals(findings: DataFrame) -> DataFrame:
     summed = reduce(lambda a, b: a | b, [(F.col("check") == k) & (F.col("metric") == m) for k, m in _SUMMED.items()])
     counted = ~F.col("check").isin(list(_SUMMED)) & (F.col("check") != "high_correlation")
     # One row per column and metric: one partition, no shuffle.
-    return findings.coalesce(1).groupBy("check").agg(
+    return findings.where(F.col("metric") != checks.SKIPPED).coalesce(1).groupBy("check").agg(
         F.when(F.first("check").isin(list(_SUMMED)), F.coalesce(F.sum(F.when(summed, F.col("value"))), F.lit(0.0)))
         .when(F.first("check") == "high_correlation", F.count(F.lit(1)))
         .otherwise(F.countDistinct(F.when(counted, F.col("column")))).cast("bigint").alias("total"),
@@ -88,7 +88,8 @@ class Audit:
     corr_threshold: float
 
 
-def audit(df: DataFrame, corr_threshold: float = 0.95, as_of: str | None = None, typo_threshold: float = 85) -> Audit:
+def audit(df: DataFrame, corr_threshold: float = 0.95, as_of: str | None = None, typo_threshold: float = 85,
+          typo_limit: int | None = similarity.AUDIT_LIMIT) -> Audit:
     """Run all 17 checks in a fixed number of scans, whatever the number of columns.
 
     The per-column metrics are kept as a small local table (one row per column), so most
@@ -121,7 +122,7 @@ def audit(df: DataFrame, corr_threshold: float = 0.95, as_of: str | None = None,
         checks.check_email_format(df),
         checks.check_phone_format(df),
         checks.check_test_data(df, counts),
-        checks.check_typos(df, typo_threshold, estimates=estimates),
+        checks.check_typos(df, typo_threshold, typo_limit, estimates=estimates),
         checks.check_pii(df),
     ]
     # Independent small results: overlap their jobs. One row per column and metric in all.
@@ -174,12 +175,15 @@ def _position(columns: list[str], column: str) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in columns]), F.col(column))
 
 
-def insights(findings: DataFrame, columns: list[str]) -> DataFrame:
+def insights(findings: DataFrame, columns: list[str], outliers: int | None = None, pairs: int | None = None) -> DataFrame:
     """Plain recommendations, most severe first: ``(severity, rule, column, value, impact)``.
 
-    ``columns`` is the schema order: the first three outlier columns and the first
-    correlated pair are reported.
+    All outlier columns and correlated pairs are reported, or the first ``outliers`` and ``pairs``
+    in the order of ``columns``, the schema.
     """
+    def first(rows: DataFrame, n: int | None, *order: Column) -> DataFrame:
+        return rows if n is None else rows.orderBy(*order).limit(n)
+
     f = findings
     value = F.col("value")
 
@@ -202,12 +206,11 @@ def insights(findings: DataFrame, columns: list[str]) -> DataFrame:
         hit = f.where(is_(check, metric)).agg(F.count(F.lit(1)).cast("double").alias("value")).where(value > 0)
         parts.append(hit.select(F.lit(level).alias("severity"), F.lit(label).alias("rule"),
                                 F.lit(None).cast("string").alias("column"), "value", F.lit(impact).alias("impact")))
-    # Findings hold one row per column and metric: these top-k sorts are tiny.
-    outliers = f.where(is_("outliers", "zscore_outliers")).orderBy(_position(columns, "column")).limit(3)
-    parts.append(outliers.select(F.lit("MEDIUM").alias("severity"), F.lit("outliers").alias("rule"), "column",
+    far = first(f.where(is_("outliers", "zscore_outliers")), outliers, _position(columns, "column"))
+    parts.append(far.select(F.lit("MEDIUM").alias("severity"), F.lit("outliers").alias("rule"), "column",
                                  "value", F.lit("anomalies").alias("impact")))
-    pair = (f.where(F.col("check") == "high_correlation")
-            .orderBy(_position(columns, "column"), _position(columns, "metric")).limit(1))
+    pair = first(f.where(F.col("check") == "high_correlation"), pairs,
+                 _position(columns, "column"), _position(columns, "metric"))
     parts.append(pair.select(F.lit("LOW").alias("severity"), F.lit("correlated").alias("rule"),
                              F.concat_ws(" ~ ", "column", "metric").alias("column"), "value",
                              F.lit("multicollinearity").alias("impact")))
@@ -220,13 +223,14 @@ def insights(findings: DataFrame, columns: list[str]) -> DataFrame:
     return found.unionByName(none).orderBy(rank, "rule", "column")
 
 
-def digest(findings: DataFrame, summary: DataFrame, columns: list[str], worst: int = 5) -> DataFrame:
-    """Compact report: per check its total, its affected columns, the emptiest columns and first pairs."""
+def digest(findings: DataFrame, summary: DataFrame, columns: list[str], worst: int | None = None) -> DataFrame:
+    """Compact report: per check its total, its affected columns, the emptiest columns and the pairs,
+    all or the first ``worst``."""
     detail = findings.where(((F.col("check") == "nulls") & (F.col("metric") == "null_pct"))
                             | (F.col("check") == "high_correlation"))
     first = F.when(F.col("check") == "nulls", -F.col("value")).otherwise(_position(columns, "column"))
     entry = F.struct(first.alias("first"), _position(columns, "metric").alias("second"), "column")
-    top = (detail.groupBy("check").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, worst).alias("t"))
+    top = (detail.groupBy("check").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, worst or 2**31 - 1).alias("t"))
         .select("check", F.array_join(F.transform("t", lambda t: t["column"]), ",").alias("worst")))
     return summary.join(top, "check", "left").select(
         "check", "label", "category", "found", "severity", "total", "columns", F.coalesce("worst", F.lit("")).alias("worst"))

@@ -1,27 +1,25 @@
 """Near-duplicate values: which distinct values of a column are almost the same text.
 
-Similarity is ``100 * (1 - levenshtein / longer length)`` on distinct values. Pairs are
-found by an equi-join on text segments, not by comparing all values with all others: a
-pair within ``d`` edits must share at least one of ``d + 1`` segments of the longer
-value, at a nearby position (the partition argument of segment-based similarity joins).
-The join returns a superset of the similar pairs; the exact distance then decides.
+Similarity is ``100 * (1 - levenshtein / longer length)`` on distinct values. Pairs are found by an
+equi-join on short pieces of text, not by comparing all values with all others: one edit touches at
+most ``q`` of a text's overlapping pieces of length ``q``, so of a pair within ``d`` edits both hold
+a common piece among their ``q * d + 1`` rarest. Each value sends only those, a number that grows
+with its length. The join returns a superset of the similar pairs; the exact distance then decides.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import name, string_columns
 from plumbline.operators.metrics import distinct_estimates
-from plumbline.session import local_table
+from plumbline.session import local_table, materialize
 
-AUDIT_LIMIT = 200  # distinct values per column that the audit compares
-FIX_LIMIT = 50     # distinct values per column that the fix may merge
+AUDIT_LIMIT = 200  # distinct values per column that a whole audit compares; it names the columns it skips
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -32,21 +30,26 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("freq")))
 
 
-def limited_values(df: DataFrame, columns: Sequence[str] | None, limit: int,
-                   estimates: dict[str, int] | None = None) -> DataFrame:
-    """Value counts of the columns with 2 to ``limit`` distinct values.
+def limited_values(df: DataFrame, columns: Sequence[str] | None, limit: int | None,
+                   estimates: dict[str, int] | None = None) -> tuple[DataFrame, list[str]]:
+    """Value counts of the columns with at least two distinct values, and the columns left out
+    because they have more than ``limit`` (no limit: none).
 
-    A sketch rules out the columns far beyond the limit before anything is grouped, so
-    what is collected is bounded by the schema: about ``2 * limit`` rows a column. The
-    exact count then decides. One partition holds it, so pairing needs no shuffle.
+    A sketch rules out the columns far beyond the limit before anything is grouped; the exact count
+    then decides.
     """
     columns = string_columns(df) if columns is None else list(columns)
-    estimates = distinct_estimates(df, columns) if estimates is None else estimates
-    near = [c for c in columns if 1 <= estimates.get(c, 0) <= 2 * limit]
-    rows = value_counts(df, near).collect() if near else []
-    sizes = Counter(r["column"] for r in rows)
-    kept = [r for r in rows if 2 <= sizes[r["column"]] <= limit]
-    return local_table(df.sparkSession, kept, "column string, value string, freq bigint").coalesce(1)
+    if limit is not None:
+        estimates = distinct_estimates(df, columns) if estimates is None else estimates
+        near = [c for c in columns if estimates.get(c, 0) <= 2 * limit]
+    else:
+        near = columns
+    counts = value_counts(df, near) if near else local_table(df.sparkSession, [], "column string, value string, freq bigint")
+    counts = materialize(counts, "values") if near else counts
+    sizes = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wide = [c for c in columns if c not in near or limit is not None and sizes.get(c, 0) > limit]
+    kept = [c for c in near if sizes.get(c, 0) >= 2 and c not in wide]
+    return counts.where(F.col("column").isin(kept)), wide
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -55,59 +58,46 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def similar_pairs(values: DataFrame, threshold: float, by: Sequence[str] = ("column",)) -> DataFrame:
-    """Pairs ``value_a < value_b`` of distinct values with similarity >= threshold.
+    """Pairs ``value_a < value_b`` of distinct values with similarity >= ``threshold``, which is above 0.
 
     ``values`` holds the ``by`` columns and ``value``, one row per distinct value.
     """
-    by = list(by)
-    slack = 100 - threshold
-
-    def edits(length: Column) -> Column:  # most edits a pair of this longer length may need
-        return F.floor(length * slack / 100 + F.lit(1e-9)).cast("int")
-
-    def seg_start(length: Column, i: Column, parts: Column) -> Column:
-        return F.floor(i * length / parts).cast("int")
-
-    # A prefix common to all values of a column cannot tell them apart and does not change
-    # their distances; without it the segments of coded values ("Item#000123") stay selective.
-    ends = values.groupBy(*by).agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    shared = ends.select(*by, F.size(F.filter(
-        F.sequence(F.lit(0), F.least(F.length("a"), F.length("b"))),
-        lambda i: F.left("a", i) == F.left("b", i))).alias("skip")).withColumn("skip", F.col("skip") - 1)
-    base = values.join(shared, by).select(*by, "value", "skip", F.length("value").alias("n"))
-    # The longer value of a pair: cut into edits + 1 segments.
-    longer = (base.withColumn("parts", edits(F.col("n")) + 1)
-              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-              .withColumn("at", seg_start(F.col("n") - F.col("skip"), F.col("i"), F.col("parts")) + F.col("skip"))
-              .withColumn("until", seg_start(F.col("n") - F.col("skip"), F.col("i") + 1, F.col("parts")) + F.col("skip"))
-              .select(*by, F.col("value").alias("long_value"), F.col("n").alias("long_n"), "i",
-                      F.expr("substring(value, at + 1, until - at)").alias("segment")))
-    # The shorter value: every piece that could be such a segment of a longer one.
-    most = F.when(F.lit(slack) >= 100, F.lit(2**30)).otherwise(
-        F.floor(F.col("n") * 100 / F.lit(max(threshold, 1e-9)) + F.lit(1e-9))).cast("int")
-    shorter = (base.withColumn("long_n", F.explode(F.sequence(F.col("n"), F.greatest(most, F.col("n")))))
-               .withColumn("edits", edits(F.col("long_n")))
-               .withColumn("gap", F.col("long_n") - F.col("n"))
-               .where(F.col("gap") <= F.col("edits"))
-               .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits"))))
-               .withColumn("rest", F.col("long_n") - F.col("skip"))
-               .withColumn("at", seg_start(F.col("rest"), F.col("i"), F.col("edits") + 1) + F.col("skip"))
-               .withColumn("size", seg_start(F.col("rest"), F.col("i") + 1, F.col("edits") + 1) + F.col("skip") - F.col("at"))
-               .withColumn("first", F.greatest(F.col("skip"), F.col("at") - F.floor((F.col("edits") + F.col("gap")) / 2).cast("int")))
-               .withColumn("last", F.least(F.col("n") - F.col("size"),
-                                           F.col("at") + F.floor((F.col("edits") - F.col("gap")) / 2).cast("int")))
-               .where(F.col("first") <= F.col("last"))
-               .withColumn("from", F.explode(F.sequence("first", "last")))
-               .select(*by, F.col("value").alias("short_value"), "long_n", "i",
-                       F.expr("substring(value, from + 1, size)").alias("segment"))
-               .distinct())
-    candidates = (shorter.join(longer, [*by, "long_n", "i", "segment"])
-                  .where(F.col("short_value") != F.col("long_value"))
-                  .select(*by, F.least("short_value", "long_value").alias("value_a"),
-                          F.greatest("short_value", "long_value").alias("value_b"))
-                  .distinct())
-    return (candidates.withColumn("similarity", similarity(F.col("value_a"), F.col("value_b")))
-            .where(F.col("similarity") >= threshold - 1e-9))
+    by, slack = list(by), 100 - threshold
+    if threshold <= 0:
+        raise ValueError("every pair is similar at a threshold of 0")
+    # With pieces of two characters every value of a pair that may differ has enough of them.
+    q = 2 if threshold >= 75 else 1
+
+    def edits(length: Column, of: float) -> Column:
+        return F.floor(length * slack / of + F.lit(1e-9)).cast("int")
+
+    # Most edits to a partner that may be longer; values that allow none have no partner.
+    named = materialize(values.select(*by, "value").withColumns({
+        "id": F.monotonically_increasing_id(), "n": F.length("value")})
+        .withColumn("edits", edits(F.col("n"), threshold)).where("edits > 0"), "named-values")
+    at = F.sequence(F.lit(1), F.col("n") - (q - 1))
+    pieces = (named.where(F.col("n") >= q)
+              .select(*by, "id", "n", "edits", F.posexplode(F.transform(at, lambda i: F.substring("value", i, F.lit(q)))).alias("at", "piece")))
+    same = Window.partitionBy("id", "piece").orderBy("at")
+    pieces = pieces.withColumn("nth", F.row_number().over(same)).drop("at")  # a repeated piece counts as often
+    common = pieces.groupBy(*by, "piece", "nth").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+    rarest = Window.partitionBy("id").orderBy(F.coalesce("freq", F.lit(1)), "piece", "nth")
+    sent = (pieces.join(common, [*by, "piece", "nth"], "left").withColumn("rank", F.row_number().over(rarest))
+            .where((F.col("rank") <= F.col("edits") * q + 1) & F.col("freq").isNotNull()).select(*by, "id", "n", "piece", "nth"))
+    other = sent.select(*by, F.col("id").alias("id_b"), F.col("n").alias("n_b"), "piece", "nth")
+    met = (sent.withColumnRenamed("id", "id_a").join(other, [*by, "piece", "nth"])
+           .where((F.col("id_a") < F.col("id_b"))
+                  & (F.abs(F.col("n") - F.col("n_b")) <= edits(F.greatest("n", "n_b"), 100)))
+           .select("id_a", "id_b").distinct())
+    texts = named.select(*by, "id", "value")
+    both = (met.join(texts.select(*by, F.col("id").alias("id_a"), F.col("value").alias("x")), "id_a")
+            .join(texts.select(F.col("id").alias("id_b"), F.col("value").alias("y")), "id_b"))
+    longest = F.greatest(F.length("x"), F.length("y"))
+    # The distance is given up, as -1, once it exceeds what the threshold allows.
+    close = both.withColumn("distance", F.expr(
+        f"levenshtein(x, y, cast(floor(greatest(length(x), length(y)) * {slack} / 100 + 1e-9) as int))")).where("distance >= 0")
+    return close.select(*by, F.least("x", "y").alias("value_a"), F.greatest("x", "y").alias("value_b"),
+                        (100.0 * (1 - F.col("distance") / longest)).alias("similarity"))
 
 
 def similar_values(df: DataFrame, column: str, threshold: float = 90) -> DataFrame:
@@ -121,25 +111,27 @@ def similar_values(df: DataFrame, column: str, threshold: float = 90) -> DataFra
 
 
 def typo_pairs(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 85,
-               limit: int = AUDIT_LIMIT, estimates: dict[str, int] | None = None) -> DataFrame:
-    """Similar pairs in every string column with 2 to ``limit`` distinct values."""
-    return similar_pairs(limited_values(df, columns, limit, estimates).drop("freq"), threshold)
+               limit: int | None = None) -> DataFrame:
+    """Similar pairs in every string column, or in those of at most ``limit`` distinct values."""
+    return similar_pairs(limited_values(df, columns, limit)[0].drop("freq"), threshold)
 
 
 def typo_corrections(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 94,
-                     ratio: float = 0.80, limit: int = FIX_LIMIT) -> DataFrame:
+                     ratio: float = 0.80, limit: int | None = None) -> DataFrame:
     """``(column, value, replacement, freq)`` for rare spellings of a clearly more frequent value.
 
     Most frequent values go first. A group whose two most frequent members are within
-    ``ratio`` of each other is left alone, and so is a column beyond ``limit`` distinct
-    values; what the driver walks through is therefore at most ``limit`` values a column.
+    ``ratio`` of each other is left alone, and so is a column beyond ``limit`` distinct values.
+    The driver walks through the values that have a similar one, not through the others.
     """
-    values = limited_values(df, columns, limit)
+    values, _ = limited_values(df, columns, limit)
+    pairs = materialize(similar_pairs(values.drop("freq"), threshold), "similar")
+    ends = pairs.select("column", F.explode(F.array("value_a", "value_b")).alias("value")).distinct()
     freq: dict[str, dict[str, int]] = {}
-    for r in values.collect():
+    for r in values.join(ends, ["column", "value"]).collect():
         freq.setdefault(r["column"], {})[r["value"]] = r["freq"]
     near: dict[tuple[str, str], set[str]] = {}
-    for r in similar_pairs(values.drop("freq"), threshold).collect():
+    for r in pairs.collect():
         near.setdefault((r["column"], r["value_a"]), set()).add(r["value_b"])
         near.setdefault((r["column"], r["value_b"]), set()).add(r["value_a"])
     rows = []
@@ -159,9 +151,9 @@ def typo_corrections(df: DataFrame, columns: Sequence[str] | None = None, thresh
 
 
 def fix_typos(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 94,
-              ratio: float = 0.80) -> DataFrame:
-    """Replace rare spellings by the frequent one; the map holds at most 50 values a column."""
-    rows = typo_corrections(df, columns, threshold, ratio).collect()
+              ratio: float = 0.80, limit: int | None = None) -> DataFrame:
+    """Replace rare spellings by the frequent one."""
+    rows = typo_corrections(df, columns, threshold, ratio, limit).collect()
     by_column: dict[str, dict[str, str]] = {}
     for r in rows:
         by_column.setdefault(r["column"], {})[r["value"]] = r["replacement"]

@@ -54,15 +54,10 @@ def _kinds(df: DataFrame) -> Column:
 
 
 def primary_key(df: DataFrame) -> str | None:
-    """First key-named column, in schema order, with neither nulls nor repeated values.
-
-    A sketch and the null counts rule out most candidates in one scan; only the rest are
-    counted exactly.
-    """
+    """First key-named column, in schema order, with neither nulls nor repeated values."""
     candidates = columns_named(df.columns, fixed.KEY_WORDS)
-    stats = per_column(df, candidates, ["rows", "nulls", "distinct_estimate"]).collect()
-    likely = [r["column"] for r in stats if not r["nulls"] and (r["distinct_estimate"] or 0) >= 0.8 * r["rows"]]
-    likely = [c for c in candidates if c in likely]
+    stats = per_column(df, candidates, ["nulls"]).collect()
+    likely = [c for c in candidates if not next(r["nulls"] for r in stats if r["column"] == c)]
     for c in likely:
         counted = df.groupBy(name(c)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most")).first()
         if counted["most"] is None or counted["most"] == 1:

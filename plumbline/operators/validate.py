@@ -42,8 +42,11 @@ def validate_ranges(df: DataFrame, rules: Mapping[str, tuple]) -> DataFrame:
 
 
 def validate_no_future_dates(df: DataFrame, column: str, as_of: str | None = None) -> DataFrame:
-    """Parse the column and add ``<column>_is_future``; ``as_of`` fixes "now"."""
-    parsed = text.parse_timestamp(name(column), type_of(df, column))
+    """Parse the column and add ``<column>_is_future``; ``as_of`` fixes "now". A column that cannot hold
+    dates, such as a number, stays as it is and is never in the future."""
+    if not text.may_hold_dates(type_of(df, column)):
+        return df.withColumn(f"{column}_is_future", F.lit(False))
+    parsed = text.parse_timestamp(name(column), type_of(df, column), text.date_formats(df, [column]).get(column))
     now = F.current_timestamp().cast("timestamp_ntz") if as_of is None else F.lit(as_of).cast("timestamp_ntz")
     return (df.withColumn(column, parsed)
             .withColumn(f"{column}_is_future", F.coalesce(name(column) > now, F.lit(False))))

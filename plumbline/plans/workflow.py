@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,9 @@ from plumbline.operators import clean, prep, profile, score, similarity, validat
 from plumbline.session import local_table, materialize
 from plumbline.sources import files
 
+# Distinct values of a column up to which an automatic plan merges spellings; beyond, values are
+# names or codes that differ on purpose. ``similarity.fix_typos`` itself has no limit.
+PLAN_TYPO_VALUES = 50
 OPERATIONS = "position int, step string, fix string, status string, detail string"
 
 
@@ -40,7 +44,7 @@ def _fixes(skew_threshold: float, corr_threshold: float, order_by) -> dict[str,
         "email_format": validate.validate_emails,
         "phone_format": validate.validate_phones,
         "test_data": validate.flag_test_data,
-        "typos": similarity.fix_typos,
+        "typos": partial(similarity.fix_typos, limit=PLAN_TYPO_VALUES),
     }
 
 
@@ -71,7 +75,7 @@ def apply_plan(df: DataFrame, approved: Iterable[str], skew_threshold: float = 1
             gone = [c for c in before if c not in df.columns]
             new = [c for c in df.columns if c not in before]
             log.append((len(log), step, fix, "applied", f"columns dropped {gone}, added {new}" if gone or new else ""))
-        except ValueError as problem:
+        except (ValueError, AnalysisException) as problem:
             log.append((len(log), step, fix, "failed", str(problem)))
     return Cleaned(df, local_table(df.sparkSession, log, OPERATIONS))
 
@@ -101,9 +105,22 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select(*[(F.col(f"{c}_before") - F.col(f"{c}_after")).alias(a) for a, c in change.items()], *both.columns)
 
 
+def _sides(before: score.Audit, after: score.Audit) -> DataFrame:
+    """What :func:`diff` reports, read from two audits that have counted it already."""
+    spark, sides = before.findings.sparkSession, []
+    for audit in (before, after):
+        found = {(r["check"], r["metric"]): r["v"] for r in audit.findings.groupBy("check", "metric").agg(F.sum("value").alias("v")).collect()}
+        sides.append([audit.rows, len(audit.columns), int(found.get(("nulls", "null_count"), 0)), int(found.get(("duplicates", "count"), 0))])
+    names = ["rows", "cols", "nulls", "duplicates"]
+    schema = [*[f"{c}_removed" if c != "nulls" else "nulls_fixed" for c in names], *[f"{c}_before" for c in names], *[f"{c}_after" for c in names]]
+    row = [*[a - b for a, b in zip(*sides)], *sides[0], *sides[1]]
+    return local_table(spark, [tuple(row)], ", ".join(f"{c} bigint" for c in schema))
+
+
 @dataclass(frozen=True)
 class Report:
-    """``summary`` is one row; ``before`` and ``after`` are the two audits."""
+    """``summary`` is one row; ``before`` and ``after`` are the two audits; ``trail`` holds the rows
+    that went as duplicates."""
 
     table: DataFrame
     summary: DataFrame
@@ -111,36 +128,49 @@ class Report:
     after: score.Audit
     plan: DataFrame
     operations: DataFrame
+    trail: DataFrame
 
 
 def audit_and_clean(df: DataFrame, mode: str = "auto_all", corr_threshold: float = 0.95, skew_threshold: float = 1.0,
                     order_by=None, as_of: str | None = None) -> Report:
-    """Audit, approve by ``mode``, clean, audit again with the same thresholds, compare."""
+    """Audit, approve by ``mode``, clean, audit again with the same thresholds, compare.
+
+    The cleaned table is written once; the second audit and the report read that.
+    """
     df = normalise(df)
     before = score.audit(df, corr_threshold, as_of)
     plan = score.fix_plan(before.summary, mode)
-    cleaned = apply_plan(df, score.approved_checks(plan), skew_threshold, before.corr_threshold, order_by)
-    after = score.audit(cleaned.table, before.corr_threshold, as_of)
-    summary = diff(df, cleaned.table).withColumns({
+    approved = score.approved_checks(plan)
+    cleaned = apply_plan(df, approved, skew_threshold, before.corr_threshold, order_by)
+    trail = clean.duplicate_trail(df, order_by) if "duplicates" in approved else df.limit(0)
+    table = materialize(cleaned.table, "cleaned") if cleaned.table.columns else cleaned.table
+    after = score.audit(table, before.corr_threshold, as_of)
+    summary = _sides(before, after).withColumns({
         "health_before": F.lit(before.health_score), "health_after": F.lit(after.health_score),
         "improvement": F.lit(after.health_score - before.health_score),
         "grade_before": F.lit(before.health_grade), "grade_after": F.lit(after.health_grade)})
-    return Report(cleaned.table, summary, before, after, plan, cleaned.operations)
+    return Report(table, summary, before, after, plan, cleaned.operations, trail)
 
 
 def write_report(report: Report, path: str) -> dict[str, str]:
-    """Write the cleaned table and, beside it, summary, findings, plan and operations as JSON."""
+    """Write the cleaned table and, beside it as JSON, summary, the findings before and after, the plan,
+    the operations, those that failed, and the rows dropped as duplicates."""
     stem = path.rsplit(".", 1)[0]
     written = {"table": files.save(report.table, path)}
     for label, table in (("summary", report.summary), ("findings", report.before.findings),
-                         ("plan", report.plan), ("operations", report.operations)):
+                         ("findings_after", report.after.findings), ("plan", report.plan),
+                         ("operations", report.operations), ("errors", report.operations.where("status = 'failed'")),
+                         ("dropped_duplicates", report.trail)):
         written[label] = files.save(table, f"{stem}_{label}.json")
     return written
 
 
 def run(spark, path_in: str, path_out: str, mode: str = "auto_all", corr_threshold: float = 0.95,
-        skew_threshold: float = 1.0, order_by=None, schema=None) -> Report:
-    """Read one file, audit and clean it, write the result and its report."""
-    report = audit_and_clean(files.read_table(spark, path_in, schema), mode, corr_threshold, skew_threshold, order_by)
+        skew_threshold: float = 1.0, order_by=None, schema=None, read_options: Mapping | None = None) -> Report:
+    """Read one file, audit and clean it, write the result and its report.
+
+    ``read_options`` go to the reader: ``{"multi_line": False}`` lets large CSV files split.
+    """
+    report = audit_and_clean(files.read_table(spark, path_in, schema, **(read_options or {})), mode, corr_threshold, skew_threshold, order_by)
     write_report(report, path_out)
     return report

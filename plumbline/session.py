@@ -41,8 +41,9 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("launch the session with spark.checkpoint.dir set to a folder shared by all executors")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="plumbline-")
     return _local_folder

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import normalise
+from plumbline.functions import fixed
+from plumbline.functions.columns import name, normalise
 
 
 def _extension(path: str) -> str:
@@ -13,21 +17,57 @@ def _extension(path: str) -> str:
     return last.rsplit(".", 1)[-1].lower() if "." in last else ""
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             multi_line: bool = True, **options) -> DataFrame:
+# No cell holds this: it keeps an empty cell (missing) apart from a quoted empty text.
+_NO_CELL = "\u0001missing"
+_INTEGER = r"^\s*[+-]?\d+\s*$"
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True,
+             na_values: Sequence[str] = tuple(fixed.NA_VALUES), **options) -> DataFrame:
     """CSV with a header row. Pass a schema in production: inferring one costs a second scan.
 
-    Quoted cells may hold line breaks and doubled quotes; the price is one task per file. Where
-    no cell holds a line break, ``multi_line=False`` splits large files over many tasks.
+    Cells equal to one of ``na_values`` are missing, and so are empty ones; a quoted empty text is
+    an empty text, and edge whitespace belongs to the cell. With a schema, a cell that does not fit
+    its type is an error. Quoted cells may hold line breaks and doubled quotes; the price is one
+    task per file. Where no cell holds a line break, ``multi_line=False`` splits large files.
     """
-    reader = spark.read.options(header=True, multiLine=multi_line, escape='"', mode="FAILFAST" if schema else "PERMISSIVE")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return normalise(reader.options(**options).csv(path))
+    settings = {"header": True, "multiLine": multi_line, "escape": '"', "ignoreLeadingWhiteSpace": False,
+                "ignoreTrailingWhiteSpace": False, "nullValue": _NO_CELL, "emptyValue": "", **options}
+    cells = spark.read.options(**settings).csv(path)
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if struct is not None:
+        if len(cells.columns) != len(struct):
+            raise ValueError(f"{path}: {len(cells.columns)} columns, the schema has {len(struct)}")
+        cells = cells.toDF(*struct.names)
+    if na_values:
+        cells = cells.select(*[F.when(~name(c).isin(list(na_values)), name(c)).alias(c) for c in cells.columns])
+    kinds = _kinds(cells) if struct is None else {f.name: f.dataType for f in struct}
+    return normalise(cells.select(*[name(c).cast(kinds[c]).alias(c) for c in cells.columns]))
+
+
+def _kinds(cells: DataFrame) -> dict[str, str]:
+    """The narrowest of whole number, number, boolean, timestamp and text that all cells of a column fit."""
+    def fits(c: str) -> dict[str, Column]:
+        cell = name(c)
+        return {"bigint": cell.rlike(_INTEGER) & cell.try_cast("bigint").isNotNull(),
+                "double": cell.rlike(fixed.NUMBER_PATTERN) & cell.try_cast("double").isNotNull(),
+                "boolean": F.lower(cell).isin("true", "false"), "timestamp_ntz": cell.try_cast("timestamp_ntz").isNotNull()}
+
+    if not cells.columns:
+        return {}
+    tests = [F.struct(*[F.coalesce(F.every(F.when(name(c).isNotNull(), ok)), F.lit(False)).alias(kind) for kind, ok in fits(c).items()]).alias(f"c{i}")
+             for i, c in enumerate(cells.columns)]
+    row = cells.agg(*tests).first()
+    return {c: next((kind for kind, ok in row[i].asDict().items() if ok), "string") for i, c in enumerate(cells.columns)}
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-              lines: bool = False, **options) -> DataFrame:
-    """An array of records, or with ``lines`` one record per line (which splits over tasks)."""
+              lines: bool | None = None, **options) -> DataFrame:
+    """One record per line (which splits over tasks), or with ``lines=False`` files that hold one
+    array of records or one record over several lines. Unless said, the first line tells."""
+    if lines is None:
+        first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+        lines = not first or not (first[0][0].lstrip().startswith("[") or first[0][0].strip() == "{")
     reader = spark.read.options(multiLine=not lines, **options)
     return normalise((reader.schema(schema) if schema is not None else reader).json(path))
 
@@ -38,22 +78,23 @@ def read_parquet(spark: SparkSession, path: str, nan_as_null: bool = True) -> Da
     return normalise(df) if nan_as_null else df
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read by extension: csv, json, jsonl, parquet. Anything else is refused."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
+    """Read by extension: csv, json, jsonl, parquet, each with its reader's options. Anything else is refused."""
     kind = _extension(path)
     if kind == "csv":
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, **options)
     if kind in ("json", "jsonl"):
-        return read_json(spark, path, schema, lines=kind == "jsonl")
+        return read_json(spark, path, schema, **({"lines": True} if kind == "jsonl" else {}) | options)
     if kind == "parquet":
-        return read_parquet(spark, path)
+        return read_parquet(spark, path, **options)
     raise ValueError(f"unsupported file type {kind!r}: {path}")
 
 
 def save(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Write a directory of part files by extension; an unknown extension means CSV.
 
-    JSON is written one record per line, which reads back in parallel.
+    JSON is written one record per line, which reads back in parallel. CSV keeps edge whitespace,
+    and writes an empty text quoted and a missing cell empty.
     """
     writer = df.write.mode(mode)
     kind = _extension(path)
@@ -62,5 +103,5 @@ def save(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     elif kind in ("json", "jsonl"):
         writer.option("ignoreNullFields", False).json(path)
     else:
-        writer.options(header=True, escape='"').csv(path)
+        writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return path
