@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import name, numeric_columns
 from plumbline.operators.metrics import per_column
-from plumbline.operators.ordering import average_ranks, dense_index
+from plumbline.operators.ordering import average_ranks, running_counts
 from plumbline.session import local_table, materialize
 
 PAIRS_PER_PASS = 400
@@ -70,6 +71,46 @@ def _rank_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _pair_correlations(numbers, columns, {c: (n + 1) / 2 for c in columns}, {c: float(n) for c in columns})
 
 
+def _points(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(i, x, y, w)``: how many rows hold both values of pair ``i``, for all pairs at once."""
+    parts = []
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        entries = F.array(*[F.struct(F.lit(i).alias("i"), name(a).cast("double").alias("x"), name(b).cast("double").alias("y"))
+                            for i, (a, b) in enumerate(pairs[start:start + PAIRS_PER_PASS], start)])
+        parts.append(df.select(F.inline(entries)).where(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    cells = reduce(DataFrame.unionAll, parts)
+    return materialize(cells.groupBy("i", "x", "y").agg(F.count(F.lit(1)).alias("w")), "points")
+
+
+def _sides(points: DataFrame) -> DataFrame:
+    """``(column, value, n)`` of both sides of every pair; ``column`` is the pair and the side."""
+    both = F.array(*[F.struct(F.struct("i", F.lit(side).alias("side")).alias("column"), F.col(side).alias("value"), F.col("w").alias("n"))
+                     for side in ("x", "y")])
+    return points.select(F.inline(both)).groupBy("column", "value").agg(F.sum("n").alias("n"))
+
+
+def _looked_up(points: DataFrame, values: DataFrame, found: str) -> DataFrame:
+    """``points`` with ``found`` of each side's value, as ``<found>_x`` and ``<found>_y``."""
+    for side in ("x", "y"):
+        of_side = values.where(F.col("column.side") == side).select(
+            F.col("column.i").alias("i"), F.col("value").alias(side), F.col(found).alias(f"{found}_{side}"))
+        points = points.join(of_side, ["i", side])
+    return points
+
+
+def _pair_rank_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Each pair ranked on the rows where both its cells are present; all pairs in the same jobs."""
+    points = _points(df, pairs)
+    placed = materialize(running_counts(_sides(points)).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2), "ranks")
+    sizes = points.groupBy("i").agg(F.sum("w").alias("m"))
+    ranked = _looked_up(points, placed, "rank").join(F.broadcast(sizes), "i")  # one row a pair
+    x, y = [(F.col(f"rank_{side}") - (F.col("m") + 1) / 2) / F.col("m") for side in ("x", "y")]
+    sums = ranked.groupBy("i").agg(F.sum(F.col("w") * x * x).alias("xx"), F.sum(F.col("w") * y * y).alias("yy"), F.sum(F.col("w") * x * y).alias("xy"))
+    r = F.when((F.col("xx") > 1e-12) & (F.col("yy") > 1e-12), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
+    names = local_table(df.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, col_a string, col_b string")
+    return names.join(F.broadcast(sums), "i", "left").select("col_a", "col_b", r.alias("r"))
+
+
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson on average ranks. Columns without nulls are ranked once; a pair with nulls is
     ranked on the rows where both cells are present."""
@@ -80,14 +121,12 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     out = local_table(df.sparkSession, [], PAIRS)
     if len(full) > 1:
         out = out.unionAll(_rank_correlations(df, full))
-    for a, b in combinations(columns, 2):
-        if a in holes or b in holes:
-            out = out.unionAll(_rank_correlations(df.select(name(a), name(b)).na.drop(), [a, b]))
-    return out
+    gappy = [(a, b) for a, b in combinations(columns, 2) if a in holes or b in holes]
+    return out.unionAll(_pair_rank_correlations(df, gappy)) if gappy else out
 
 
-def _kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """tau-b of one pair without comparing row pairs.
+def kendall_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """tau-b of every pair without comparing row pairs; all pairs in the same jobs.
 
     Values become dense codes written in base 4. Two points that differ in both codes
     first differ at one digit of each; there they share a cell (digit levels, code
@@ -95,23 +134,23 @@ def _kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     every discordant pair exactly once. The table is a plain grouped sum with map-side
     combine, over rows x digits of a x digits of b.
     """
-    points = materialize(df.where(name(a).isNotNull() & name(b).isNotNull())
-                         .groupBy(name(a).cast("double").alias("x"), name(b).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("w")), "points")
-    codes = materialize(dense_index(points, ["x", "y"]), "codes")
-    xs = codes.where("column = 'x'").select(F.col("value").alias("_x"), F.col("code").alias("cx"))
-    ys = codes.where("column = 'y'").select(F.col("value").alias("_y"), F.col("code").alias("cy"))
-    top = {r["column"]: r["m"] for r in codes.groupBy("column").agg(F.max("code").alias("m")).collect()}
+    columns = numeric_columns(df) if columns is None else list(columns)
+    pairs = list(combinations(columns, 2))
+    if not pairs:
+        return local_table(df.sparkSession, [], PAIRS)
+    points = _points(df, pairs)
+    sides = materialize(_sides(points), "sides")
+    codes = materialize(running_counts(sides.select("column", "value", F.lit(1).alias("n")), "code").drop("n"), "codes")
+    top = {r["side"]: r["m"] for r in codes.groupBy(F.col("column.side").alias("side")).agg(F.max("code").alias("m")).collect()}
     levels = [max(1, math.ceil(math.log(top.get(side, 0) + 1, 4))) for side in ("x", "y")]
-    coded = (points.join(xs, F.col("x") == F.col("_x")).join(ys, F.col("y") == F.col("_y"))
-             .select("w", "cx", "cy"))
-    cells = (coded.withColumn("lx", F.explode(F.sequence(F.lit(0), F.lit(levels[0] - 1))))
+    cells = (_looked_up(points, codes, "code").withColumn("lx", F.explode(F.sequence(F.lit(0), F.lit(levels[0] - 1))))
              .withColumn("ly", F.explode(F.sequence(F.lit(0), F.lit(levels[1] - 1))))
-             .select("lx", "ly", "w",
-                     F.expr("cx div cast(power(4, lx + 1) as bigint)").alias("px"),
-                     F.expr("cy div cast(power(4, ly + 1) as bigint)").alias("py"),
-                     F.expr("cx div cast(power(4, lx) as bigint) % 4").alias("dx"),
-                     F.expr("cy div cast(power(4, ly) as bigint) % 4").alias("dy")))
-    table = cells.groupBy("lx", "ly", "px", "py").agg(*[
+             .select("i", "lx", "ly", "w",
+                     F.expr("code_x div cast(power(4, lx + 1) as bigint)").alias("px"),
+                     F.expr("code_y div cast(power(4, ly + 1) as bigint)").alias("py"),
+                     F.expr("code_x div cast(power(4, lx) as bigint) % 4").alias("dx"),
+                     F.expr("code_y div cast(power(4, ly) as bigint) % 4").alias("dy")))
+    table = cells.groupBy("i", "lx", "ly", "px", "py").agg(*[
         F.sum(F.when((F.col("dx") == i) & (F.col("dy") == j), F.col("w")).otherwise(0))
         .cast("decimal(19,0)").alias(f"c{i}{j}") for i in range(4) for j in range(4)])
 
@@ -125,32 +164,18 @@ def _kendall(df: DataFrame, a: str, b: str) -> DataFrame:
                     total = total + (F.col(f"c{i}{j}") * sum(rest[1:], rest[0])).cast("decimal(38,0)")
         return total
 
-    pairs = table.agg(F.sum(crossing(True)).cast("double").alias("concordant"),
-                      F.sum(crossing(False)).cast("double").alias("discordant"))
-
-    def tied(column: str, alias: str) -> DataFrame:
-        w = F.col("w").cast("decimal(19,0)")
-        return (points.groupBy(column).agg(F.sum("w").alias("w"))
-                .agg((F.sum((w * (w - 1)).cast("decimal(38,0)")) / 2).cast("double").alias(alias),
-                     F.sum("w").cast("double").alias("n")))
-
-    tx, ty = tied("x", "tx"), tied("y", "ty").drop("n")
-    # Three one-row tables, joined on a constant.
-    one = F.lit(1).alias("_one")
-    joined = (pairs.select("*", one).join(tx.select("*", one), "_one").join(ty.select("*", one), "_one"))
+    crossed = table.groupBy("i").agg(F.sum(crossing(True)).cast("double").alias("concordant"),
+                                     F.sum(crossing(False)).cast("double").alias("discordant"))
+    n = F.col("n").cast("decimal(19,0)")
+    tied = sides.groupBy(F.col("column.i").alias("i")).agg(*[
+        (F.sum(F.when(F.col("column.side") == side, (n * (n - 1)).cast("decimal(38,0)"))) / 2).cast("double").alias(f"t{side}")
+        for side in ("x", "y")], F.sum(F.when(F.col("column.side") == "x", F.col("n"))).cast("double").alias("n"))
     n0 = F.col("n") * (F.col("n") - 1) / 2
     spread = F.sqrt(n0 - F.col("tx")) * F.sqrt(n0 - F.col("ty"))
-    return joined.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                         F.try_divide(F.col("concordant") - F.col("discordant"),
-                                      F.nullif(spread, F.lit(0.0))).alias("r"))
-
-
-def kendall_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    columns = numeric_columns(df) if columns is None else list(columns)
-    out = local_table(df.sparkSession, [], PAIRS)
-    for a, b in combinations(columns, 2):
-        out = out.unionAll(_kendall(df, a, b))
-    return out
+    names = local_table(df.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, col_a string, col_b string")
+    # One row a pair.
+    return names.join(F.broadcast(crossed), "i", "left").join(F.broadcast(tied), "i", "left").select(
+        "col_a", "col_b", F.try_divide(F.col("concordant") - F.col("discordant"), F.nullif(spread, F.lit(0.0))).alias("r"))
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
