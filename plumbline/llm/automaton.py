@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -193,6 +194,11 @@ class Automaton:
     first_accept: int
     dead: int
 
+    @cached_property
+    def lists(self) -> tuple[list[int], list[int], int]:
+        """The arrays as plain lists, which are faster for one byte at a time."""
+        return self.next.tolist(), self.class_of.tolist(), self.first_accept * self.classes
+
 
 def compile_patterns(patterns: Sequence[tuple[str, bool]], anywhere: bool) -> Automaton:
     """The minimal automaton of all ``(pattern, ignore_case)``; with ``anywhere`` a match may begin at any byte."""
@@ -294,7 +300,7 @@ def accepting(auto: Automaton, stream: bytes | bytearray) -> tuple[np.ndarray, n
 def longest(auto: Automaton, text: bytes, at: int) -> tuple[int, list[int]]:
     """End of the longest match that begins at ``at`` (-1: none), and all ends on the way."""
     state, dead, ends = auto.start * auto.classes, auto.dead * auto.classes, []
-    table, class_of, first = _lists(auto)
+    table, class_of, first = auto.lists
     if auto.accepts[auto.start]:
         ends.append(at)
     for i in range(at, len(text)):
@@ -304,14 +310,3 @@ def longest(auto: Automaton, text: bytes, at: int) -> tuple[int, list[int]]:
         if state >= first:
             ends.append(i + 1)
     return (ends[-1] if ends else -1), ends
-
-
-_as_lists: dict[int, tuple] = {}
-
-
-def _lists(auto: Automaton) -> tuple[list[int], list[int], int]:
-    """The arrays as plain lists, which are faster for one byte at a time."""
-    got = _as_lists.get(id(auto))
-    if got is None or got[0] is not auto:
-        got = _as_lists[id(auto)] = (auto, (auto.next.tolist(), auto.class_of.tolist(), auto.first_accept * auto.classes))
-    return got[1]

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import name
-from plumbline.llm.common import once
 
 SAMPLE_ROWS = 200         # labelled rows learnt from, per language
 SAMPLE_CHARS = 24_000     # characters of sample text, the same for every language
@@ -200,12 +199,11 @@ def with_language(docs: DataFrame, model: LanguageModel, text_column: str = "tex
     per symbol: near 1 for text unlike any sample.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    key = ("language", id(shared), id(model))
 
     @F.pandas_udf("lang_pred string, score double, phrase_rate double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        own = once(key, lambda: shared.value)
-        return pd.DataFrame(own.predict([t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "score", "phrase_rate"])
+        own = shared.value.predict([t if isinstance(t, str) else None for t in texts])
+        return pd.DataFrame(own, columns=["lang_pred", "score", "phrase_rate"])
 
     return docs.withColumn(alias, predict(name(text_column).cast("string")))
 

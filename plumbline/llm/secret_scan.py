@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import name
 from plumbline.llm import automaton
 from plumbline.llm.automaton import Automaton, compile_patterns
-from plumbline.llm.common import body, once
+from plumbline.llm.common import body
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 STREAM = 8 << 20          # bytes scanned at once; one longer text is a stream of its own
@@ -144,8 +144,7 @@ def secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, text_column: str = "
 
     @F.pandas_udf(SPANS)
     def find(texts: pd.Series) -> pd.Series:
-        scanner = once(("secrets", shared.id if hasattr(shared, "id") else id(shared)), lambda: shared.value)
-        return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in scanner.scan(texts.tolist())],
+        return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in shared.value.scan(texts.tolist())],
                          index=texts.index, dtype=object)
 
     return docs.withColumn(alias, find(body(text_column)))

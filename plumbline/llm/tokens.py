@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from plumbline.llm.common import once
 
-KNOWN_WORDS = 1_000_000   # words one worker remembers; beyond it starts anew
+KNOWN_WORDS = 600_000     # words one worker remembers; beyond it starts anew
 WORDS_AT_ONCE = 1_000_000
 MARKS = ".,;:!?"          # a run of these behind letters is one word of its own to the tokenizer
 TEXT_AT_ONCE = 8 << 20    # bytes of text laid out at once; one longer text is a batch of its own
