@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import name
@@ -36,44 +36,47 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     struct of the ``carry`` columns (none by default), so other columns may have any name. The
     digest is a column of the result; it decides nothing. An empty table gives no rows.
     """
-    payload = F.struct(*[name(c) for c in carry]) if carry else F.lit(None).cast("struct<none:int>")
-    whole = body(text_column).cast("binary")
-    rows = docs.select(name(id_column).alias("doc_id"), F.sha2(whole, 256).alias("text_sha256"),
-                       payload.alias("payload"), whole.alias("rest"))
-    open_rows, results = _first_round(rows), []
+    others = [c for c in carry or [] if c != text_column]
+    with_text = len(others) < len(carry or [])
+    rows = docs.select(
+        name(id_column).alias("doc_id"), F.sha2(body(text_column), 256).alias("text_sha256"), name(text_column).cast("string").alias("body"),
+        (F.struct(*[name(c) for c in others]) if others else F.lit(None).cast("struct<none:int>")).alias("others"))
+    open_rows, results = _first_round(rows, with_text), []
     results.append(_done(open_rows))
-    width = FIRST_DIGIT
+    begin, width = FIRST_DIGIT, FIRST_DIGIT
     while True:
         active = open_rows.where("state = 'open'")
         if active.isEmpty():
             break
         width *= WIDER
-        open_rows = _next_round(active, width)
+        open_rows = _next_round(active, begin, width, with_text)
+        begin += width
         results.append(_done(open_rows))
-    return reduce(DataFrame.unionByName, results)
+    # The text is carried once; it goes back among the other columns.
+    payload = F.struct(*[F.col("body").alias(c) if c == text_column else F.col("others")[c].alias(c) for c in carry]) if carry else F.col("others")
+    return reduce(DataFrame.unionByName, results).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", payload.alias("payload"))
 
 
-def _cut(rows: DataFrame, width: int) -> DataFrame:
-    return rows.withColumns({"digit": F.substring("rest", 1, width), "rest": F.substring("rest", width + 1, 2**31 - 1)})
+def _digit(begin: int, width: int) -> Column:
+    return F.substring(F.coalesce("body", F.lit("")).cast("binary"), begin + 1, width)
 
 
-def _first_round(rows: DataFrame) -> DataFrame:
+def _first_round(rows: DataFrame, with_text: bool) -> DataFrame:
     """Counts only: nothing but first bytes is shuffled to find the groups worth carrying on."""
-    digit = F.substring("rest", 1, FIRST_DIGIT)
-    shared = stored(rows.select(digit.alias("digit")).groupBy("digit").agg(F.count(F.lit(1)).alias("n"))
+    shared = stored(rows.select(_digit(0, FIRST_DIGIT).alias("digit")).groupBy("digit").agg(F.count(F.lit(1)).alias("n"))
                     .where("n > 1").select("digit", F.monotonically_increasing_id().alias("next")), "digits")
-    joined = _cut(rows, FIRST_DIGIT).join(shared.hint("merge"), "digit", "left")
+    joined = rows.withColumn("digit", _digit(0, FIRST_DIGIT)).join(shared.hint("merge"), "digit", "left")
     alone = F.col("next").isNull()
     return stored(joined.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "text_sha256", "payload",
-        F.col("next").alias("node"), F.when(~alone, F.col("rest")).alias("rest"),
+        F.monotonically_increasing_id().alias("row"), "doc_id", "text_sha256", "others",
+        (F.col("body") if with_text else F.when(~alone, F.col("body"))).alias("body"), F.col("next").alias("node"),
         F.when(alone, F.col("doc_id")).alias("keep_id"), F.when(alone, F.lit(1)).cast("long").alias("group_size"),
         F.when(alone, F.lit(True)).alias("kept"),
         F.when(alone, F.lit("done")).otherwise(F.lit("open")).alias("state")), "radix", "state")
 
 
-def _next_round(active: DataFrame, width: int) -> DataFrame:
-    cut = _cut(active.drop("keep_id", "group_size", "kept", "state"), width)
+def _next_round(active: DataFrame, begin: int, width: int, with_text: bool) -> DataFrame:
+    cut = active.drop("keep_id", "group_size", "kept", "state").withColumn("digit", _digit(begin, width))
     shared = stored(cut.groupBy("node", "digit").agg(
         F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last_id"),
         F.coalesce(F.max_by("row", "doc_id"), F.max("row")).alias("last_row"))
@@ -83,8 +86,8 @@ def _next_round(active: DataFrame, width: int) -> DataFrame:
     ended = ~alone & (F.length("digit") < width)
     going = ~alone & ~ended
     return stored(joined.select(
-        "row", "doc_id", "text_sha256", "payload", F.when(going, F.col("next")).alias("node"),
-        F.when(going, F.col("rest")).alias("rest"),
+        "row", "doc_id", "text_sha256", "others", (F.col("body") if with_text else F.when(going, F.col("body"))).alias("body"),
+        F.when(going, F.col("next")).alias("node"),
         F.when(alone, F.col("doc_id")).when(ended, F.col("last_id")).alias("keep_id"),
         F.when(alone, F.lit(1)).when(ended, F.col("n")).cast("long").alias("group_size"),
         F.when(alone, F.lit(True)).when(ended, F.col("row") == F.col("last_row")).alias("kept"),
@@ -92,7 +95,7 @@ def _next_round(active: DataFrame, width: int) -> DataFrame:
 
 
 def _done(rows: DataFrame) -> DataFrame:
-    return rows.where("state = 'done'").select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "payload")
+    return rows.where("state = 'done'").select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "others", "body")
 
 
 def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

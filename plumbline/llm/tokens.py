@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from plumbline.llm.common import once
 
-KNOWN_WORDS = 600_000     # words one worker remembers; beyond it starts anew
+KNOWN_WORDS = 1_000_000   # words one task remembers; beyond it starts anew
 WORDS_AT_ONCE = 1_000_000
 MARKS = ".,;:!?"          # a run of these behind letters is one word of its own to the tokenizer
 TEXT_AT_ONCE = 8 << 20    # bytes of text laid out at once; one longer text is a batch of its own
@@ -37,6 +37,10 @@ class WordEncoder:
         self._known: dict[str, bytes] = {}
         self._letters: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop the words; a task calls it at its end, so that an idle worker stays small."""
+        self._known, self._letters = {}, {}
+
     def _ask(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(got.ids, self.dtype) for got in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
