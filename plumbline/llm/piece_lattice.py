@@ -14,7 +14,7 @@ those words come back to the block and are laid out as the ids of its texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,7 @@ from plumbline.session import local_table
 SPACE = "\u2581"
 FOLDED = 64               # words of up to so many characters are folded in SQL, longer ones by the same rule in Python
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+WORDS_PER_TASK = 20_000
 UNKNOWN_PENALTY = 10.0    # a character without a piece scores so much below the worst piece
 
 
@@ -69,38 +70,74 @@ class PieceModel:
         return frozenset(p[i:i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1))
 
 
-def _parts(word: str, touching: frozenset[str]) -> list[str]:
-    cuts = [0, *[i for i in range(1, len(word)) if word[i - 1:i + 1] not in touching], len(word)]
-    return [word[a:b] for a, b in zip(cuts, cuts[1:])]
-
-
-def _coded(batch: pa.RecordBatch, touching: frozenset[str]) -> tuple[list[str], list[bytes]]:
-    """The distinct words of a block, and per text the numbers of its words."""
-    index: dict[str, int] = {}
-    texts = batch["text"]
-    odd = pc.or_(pc.match_substring_regex(texts, "  |^ | $"), pc.match_substring(texts, SPACE)).to_numpy(zero_copy_only=False)
-    split = pc.split_pattern(texts, " ")
+class _Touching:
+    """Which characters stand side by side in some piece."""
+
+    def __init__(self, model: PieceModel):
+        pairs = [(ord(p[0]), ord(p[1])) for p in model.touching()]
+        self.codes = np.unique(np.array([x << 21 | y for x, y in pairs], np.int64))
+        self.ascii = np.zeros((128, 128), bool)
+        for x, y in pairs:
+            if x < 128 and y < 128:
+                self.ascii[x, y] = True
+
+    def cuts(self, text: str) -> np.ndarray:
+        """Positions in ``text`` between characters that never touch."""
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        x, y = code[:-1], code[1:]
+        plain = (x < 128) & (y < 128)
+        met = self.ascii[np.where(plain, x, 0), np.where(plain, y, 0)] & plain
+        other = np.flatnonzero(~plain)
+        if len(other) and len(self.codes):
+            pair = x[other] << 21 | y[other]
+            met[other] = self.codes[np.minimum(np.searchsorted(self.codes, pair), len(self.codes) - 1)] == pair
+        return np.flatnonzero(~met) + 1
+
+
+def _split(units: list[str], touching: _Touching) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all units in order, and how many each unit has."""
+    text = "".join(units)
+    begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))])
+    mark = np.zeros(len(text) + 1, bool)
+    mark[begin] = True
+    mark[touching.cuts(text)] = True
+    at = np.flatnonzero(mark)
+    ends = at.tolist()
+    words = pa.array([text[a:b] for a, b in zip(ends, ends[1:])], pa.string()).dictionary_encode()
+    return words, np.diff((np.cumsum(mark) - 1)[begin])
+
+
+def _coded(texts: pa.Array, touching: _Touching) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a block, the numbers of its words in order, and how many each text has."""
+    odd = pc.or_(pc.match_substring_regex(texts, "  |^ | $"), pc.match_substring(texts, SPACE))
+    split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+    offsets = np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()
     units = split.values.dictionary_encode()
-    told = [[index.setdefault(p, len(index)) for p in _parts(SPACE + u, touching)] for u in units.dictionary.to_pylist()]
-    sizes = np.fromiter(map(len, told), np.int64, len(told))
-    flat = np.array([c for codes in told for c in codes], np.int32)
-    unit = units.indices.to_numpy(zero_copy_only=False)
-    length = sizes[unit]
-    begin = (np.cumsum(sizes) - sizes)[unit] - (np.cumsum(length) - length)
-    codes = flat[np.repeat(begin, length) + np.arange(int(length.sum()))]
-    bounds = np.concatenate([[0], np.cumsum(length)])[np.asarray(split.offsets, np.int64) - split.offsets[0].as_py()]
-    pack = zstandard.ZstdCompressor(level=3).compress
-    out = []
+    plain = [SPACE + u for u in units.dictionary.to_pylist()]
+    # Runs of spaces belong to the word behind them.
+    spaced = {k: WORD.findall(SPACE + texts[k].as_py().replace(" ", SPACE)) for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+    words, size = _split(plain + [u for own in spaced.values() for u in own], touching)
+    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    first = np.cumsum(size) - size
+    unit = units.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    length = size[unit]
     empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    for k, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
-        own = codes[a:b]
-        if empty[k]:
-            own = codes[:0]
-        elif odd[k]:  # runs of spaces belong to the word behind them
-            words = WORD.findall(SPACE + texts[k].as_py().replace(" ", SPACE))
-            own = np.array([index.setdefault(p, len(index)) for w in words for p in _parts(w, touching)], np.int32)
-        out.append(pack(own.astype("<i4").reshape(-1, 1).view("u1").T.tobytes()))  # byte planes compress better
-    return list(index), out
+    unused = np.repeat(empty | odd.to_numpy(zero_copy_only=False), np.diff(offsets))
+    length[unused] = 0
+    codes = code[np.repeat(first[unit] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+    bounds = np.concatenate([[0], np.cumsum(length)])[offsets]
+    if not spaced:
+        return words.dictionary, codes, np.diff(bounds)
+    parts, at = [codes[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())], len(plain)
+    for k, own in spaced.items():
+        until = at + len(own)
+        parts[k] = code[first[at]:first[until - 1] + size[until - 1]]
+        at = until
+    return words.dictionary, np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(codes.astype("<i4").reshape(-1, 1).view("u1").T.tobytes())  # byte planes compress better
 
 
 def _uncoded(packed: bytes) -> np.ndarray:
@@ -108,26 +145,29 @@ def _uncoded(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
 
 
-BLOCK_ROW = "block long, row int, doc_id long, codes binary, n int, word string"
+BLOCK_ROW = "block long, doc_ids array<long>, sizes array<long>, codes binary, n int, word string"
 
 
-def _blocks(docs: DataFrame, touching: frozenset[str]) -> DataFrame:
-    """Rows of texts (``row, doc_id, codes``) and rows of words (``n, word``) of every block."""
+def _blocks(docs: DataFrame, model: PieceModel) -> DataFrame:
+    """Per block one row of its texts (``doc_ids, sizes, codes``) and one for each of its words (``n, word``)."""
+    touching = _Touching(model)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
         for seq, batch in enumerate(pieces_of(batches, "text")):
-            words, codes = _coded(batch, touching)
-            n, m = len(codes), len(words)
-            columns = [pa.array([base + seq] * (n + m), pa.int64()), pa.array([*range(n), *[None] * m], pa.int32()),
-                       pa.array(batch["doc_id"].to_pylist() + [None] * m, pa.int64()), pa.array(codes + [None] * m, pa.binary()),
-                       pa.array([None] * n + list(range(m)), pa.int32()), pa.array([None] * n + words, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "row", "doc_id", "codes", "n", "word"])
+            words, codes, sizes = _coded(batch["text"], touching)
+            m = len(words)
+            columns = [pa.array([base + seq] * (1 + m), pa.int64()), pa.array([batch["doc_id"].to_pylist()] + [None] * m, pa.list_(pa.int64())),
+                       pa.array([sizes.tolist()] + [None] * m, pa.list_(pa.int64())), pa.array([_packed(codes)] + [None] * m, pa.binary()),
+                       pa.concat_arrays([pa.nulls(1, pa.int32()), pa.array(np.arange(m), pa.int32())]),
+                       pa.concat_arrays([pa.nulls(1, pa.string()), words.cast(pa.string())])]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "sizes", "codes", "n", "word"])
 
     return docs.mapInArrow(deal, BLOCK_ROW)
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """``word, edges`` for each distinct word: ``(order, a, b, id)`` of every piece in it, best first.
+    """``w, word, edges`` for each distinct ``w, word``: ``(order, a, b, id)`` of every piece in it, best first.
 
     A character without a piece has an edge with a null id.
     """
@@ -140,21 +180,28 @@ def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
              .withColumn("piece", F.substring("word", F.col("a") + 1, F.col("size"))))
     edges = (spans.join(F.broadcast(pieces), "piece", "left")  # bounded by the vocabulary
              .where(F.col("id").isNotNull() | (F.col("size") == 1)))
-    return edges.groupBy("word").agg(F.array_sort(F.collect_list(F.struct(
+    # A number is cheaper to group by than the word it stands for; words are partitioned by it.
+    return edges.groupBy("w", "word").agg(F.array_sort(F.collect_list(F.struct(
         (-F.coalesce("score", F.lit(worst))).alias("order"), "a", (F.col("a") + F.col("size")).alias("b"), "id"))).alias("edges"))
 
 
+def _first(found: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the first element, null without one; ``found`` is evaluated once."""
+    return F.get(F.transform(F.slice(found, 1, 1), then), F.lit(0))
+
+
 def _merged(edges: Column, n: Column) -> Column:
     """Bounds of the tokens after all merges: each step applies the best edge made of two tokens."""
     def step(bounds: Column, _: Column) -> Column:
         def joins(e: Column) -> Column:
-            at = F.array_position(bounds, e["a"])
-            return (at > 0) & (F.get(bounds, at.cast("int") + 1) == e["b"])
+            at = F.array_position(bounds, e["a"]).cast("int")
+            return (at > 0) & (F.get(bounds, at + 1) == e["b"])
 
-        best = F.get(F.filter(edges, joins), F.lit(0))
-        return F.when(best.isNull(), bounds).otherwise(F.filter(bounds, lambda x: (x <= best["a"]) | (x >= best["b"])))
+        merged = _first(F.filter(edges, joins), lambda e: F.filter(bounds, lambda x: (x <= e["a"]) | (x >= e["b"])))
+        return F.coalesce(merged, bounds)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.sequence(F.lit(0), n), step)
+    steps = F.filter(F.sequence(F.lit(1), n), lambda k: (k < n) & (k <= F.size(edges)))
+    return F.aggregate(steps, F.sequence(F.lit(0), n), step)
 
 
 def _viterbi(edges: Column, n: Column) -> Column:
@@ -173,23 +220,31 @@ def _viterbi(edges: Column, n: Column) -> Column:
 
 def _ids(edges: Column, bounds: Column, word: Column, byte_id: int) -> Column:
     """The ids between neighbouring bounds; a character without a piece gives its bytes."""
-    def of(b: Column, k: Column) -> Column:
-        a = F.get(bounds, k - 1)
-        found = F.get(F.filter(edges, lambda e: (e["a"] == a) & (e["b"] == b)), F.lit(0))["id"]
+    def spelt(a: Column) -> Column:
         raw = F.hex(F.substring(word, a + 1, F.lit(1)))
-        spelt = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: (
+        return F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: (
             F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int") + byte_id))
-        return F.when(k == 0, F.array().cast("array<int>")).when(found.isNull(), spelt).otherwise(F.array(found))
+
+    def of(b: Column, k: Column) -> Column:
+        a = F.get(bounds, k - 1)
+        own = _first(F.filter(edges, lambda e: (e["a"] == a) & (e["b"] == b)), lambda e: F.when(
+            e["id"].isNull(), spelt(a)).otherwise(F.array(e["id"])))
+        return F.when(k == 0, F.array().cast("array<int>")).otherwise(own)
 
     return F.flatten(F.transform(bounds, of))
 
 
 def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
-    """``word, ids`` of distinct words, which must hold no cut."""
+    """``word, ids`` of distinct words, which must hold no cut; ``w`` tells them apart."""
     short = words.where(F.length("word") <= FOLDED)
     n = F.length("word")
-    fold = _merged if model.kind == "bpe" else _viterbi
-    folded = lattice(short, model).withColumn("bounds", fold(F.col("edges"), n)).select(
+    found = lattice(short, model)
+    if model.kind == "bpe":
+        merges = found.withColumn("merges", F.filter("edges", lambda e: e["b"] - e["a"] > 1))
+        folded = merges.withColumn("bounds", _merged(F.col("merges"), n))
+    else:
+        folded = found.withColumn("bounds", _viterbi(F.col("edges"), n))
+    folded = folded.select(
         "word", _ids(F.col("edges"), F.col("bounds"), F.col("word"), model.byte_id).alias("ids"))
     long = words.where(F.length("word") > FOLDED)
 
@@ -251,12 +306,14 @@ def encode(docs: DataFrame, model: PieceModel, id_column: str = "doc_id", text_c
     A null or empty text has no ids; null ids of documents stay null; other columns are not read.
     Ids must be integers. The ids are those of the model's own library.
     """
-    blocks = stored(_blocks(docs.select(name(id_column).cast("long").alias("doc_id"), body(text_column).alias("text")),
-                            model.touching()), "blocks")
+    blocks = stored(_blocks(docs.select(name(id_column).cast("long").alias("doc_id"), body(text_column).alias("text")), model), "blocks")
     words = blocks.where(F.col("word").isNotNull()).select("block", "n", "word")
-    told = stored(encode_words(words.select("word").distinct(), model), "word-ids")
+    distinct = stored(words.select("word").distinct().withColumn("w", F.monotonically_increasing_id()), "words")
+    # A word becomes many substrings: small partitions, and all edges of a word stay in its own.
+    spread = distinct.repartition(1 + distinct.count() // WORDS_PER_TASK, "w")
+    told = stored(encode_words(spread, model), "word-ids")
     known = words.join(told, "word").select(F.col("block").alias("home"), "n", "ids")
-    texts = blocks.where(F.col("row").isNotNull()).select("block", "doc_id", "codes")
+    texts = blocks.where(F.col("codes").isNotNull()).select("block", "doc_ids", "sizes", "codes")
 
     def lay_out(own: pa.Table, dictionary: pa.Table) -> pa.Table:
         number = dictionary["n"].to_numpy()
@@ -264,12 +321,13 @@ def encode(docs: DataFrame, model: PieceModel, id_column: str = "doc_id", text_c
         offsets, flat = np.asarray(lists.offsets, np.int64), lists.values.to_numpy(zero_copy_only=False)
         begin, size = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         begin[number], size[number] = offsets[:-1], np.diff(offsets)
-        codes = [_uncoded(c) for c in own["codes"].to_pylist()]
-        word = np.concatenate([*codes, np.empty(0, np.int32)])
+        word = _uncoded(own["codes"][0].as_py())
         length = size[word]
         ids = flat[np.repeat(begin[word] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
-        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum([0] + [len(c) for c in codes])]
-        return pa.table({"doc_id": own["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))})
+        counts = np.concatenate([[0], np.cumsum(own["sizes"][0].as_py())]).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(length)])[counts]
+        return pa.table({"doc_id": pa.array(own["doc_ids"][0].as_py(), pa.int64()),
+                         "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))})
 
     return texts.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(lay_out, "doc_id long, ids array<int>")
 
