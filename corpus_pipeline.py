@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from plumbline.llm import exact_dedup, language, packing, secret_scan, simhash  # noqa: E402
-from plumbline.llm.common import stored  # noqa: E402
+from plumbline.llm.common import stored, unused  # noqa: E402
 
 TOKENIZER = "word_bpe_49k.json"
 #: A text of at least so many characters whose phrases are this short on average is in no learnt language.
@@ -31,9 +31,10 @@ FOREIGN_CHARS, FOREIGN_RATE = 100, 0.7
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents that are not held out; what has no language goes."""
     model = language.fit(docs, ~language.held_out())
-    told = language.with_language(docs, model, alias="_language")
-    foreign = (F.length("text") >= FOREIGN_CHARS) & (F.col("_language.phrase_rate") >= FOREIGN_RATE)
-    return told.where((F.col("_language.lang_pred") != language.NONE) & ~foreign).drop("_language")
+    found = unused(docs, "_language")
+    told = language.with_language(docs, model, alias=found)
+    foreign = (F.length("text") >= FOREIGN_CHARS) & (F.col(found)["phrase_rate"] >= FOREIGN_RATE)
+    return told.where((F.col(found)["lang_pred"] != language.NONE) & ~foreign).drop(found)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

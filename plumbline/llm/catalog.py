@@ -94,6 +94,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+ORACLES["op5_sharding"] = """
+WITH steps AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z:
+         CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+sized AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS pairs FROM documents),
+coded AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(pairs, lambda p: CAST('0x' || p AS BIGINT))),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM sized, steps),
+placed AS (SELECT *, CAST(least(15, floor((sum(size) OVER (ORDER BY doc_id) - size) * 16 / sum(size) OVER ())) AS INTEGER) AS shard FROM coded)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed"""
+
+
 @query
 def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every two consecutive conversations as a pair, the even one chosen."""
@@ -147,3 +158,26 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_lattice.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
     found = piece_lattice.decode(piece_lattice.encode(docs, model), model, alias="decoded")
     return found.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# Matches and what lies between them alternate, so the lengths of both give the positions.
+ORACLES["op3_secret_scan"] = r"""
+WITH rules(ord, kind, pattern, least) AS (VALUES
+  (0, 'assign', '((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)', 6),
+  (1, 'access', '(AKIA)([A-Z0-9]+)', 16), (2, 'hex', '()([0-9a-f]{24,})', 24),
+  (3, 'github', '(gh[pousr]_)([A-Za-z0-9]+)', 36), (4, 'private_key', '(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)()', 0)),
+cut AS (
+  SELECT doc_id, r.*, regexp_split_to_array(coalesce(text, ''), pattern) AS gaps, regexp_extract_all(coalesce(text, ''), pattern) AS hits
+  FROM documents, rules r),
+numbered AS (SELECT *, unnest(range(len(hits))) AS i FROM cut),
+placed AS (
+  SELECT doc_id, ord, kind, hits[i + 1] AS hit, pattern, least,
+         list_sum(list_transform(gaps[1:i + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i], lambda h: length(h))), 0) AS begins
+  FROM numbered),
+spans AS (
+  SELECT doc_id, ord, kind, begins, kind || ':' || CAST(begins AS BIGINT) || ':' || CAST(begins + length(hit) AS BIGINT) AS span
+  FROM placed WHERE length(regexp_extract(hit, pattern, 2)) >= least)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+       count(*) FILTER (kind = 'hex') AS n_hex, sha256(coalesce(string_agg(span, ',' ORDER BY begins, ord) FILTER (ord < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY begins, ord), '') AS spans
+FROM documents d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""

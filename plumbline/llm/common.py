@@ -28,6 +28,13 @@ def body(column: str) -> Column:
     return F.coalesce(name(column).cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, column: str) -> str:
+    """``column``, or a longer name if ``df`` has one of that name."""
+    while column in df.columns:
+        column += "_"
+    return column
+
+
 def once(key: Hashable, make: Callable[[], Any]) -> Any:
     """A value made once in a Python worker and kept for its later tasks."""
     if key not in _kept:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import name
 from plumbline.llm import automaton
 from plumbline.llm.automaton import Automaton, compile_patterns
-from plumbline.llm.common import body
+from plumbline.llm.common import body, unused
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 STREAM = 8 << 20          # bytes scanned at once; one longer text is a stream of its own
@@ -157,8 +157,9 @@ def spans_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, text_column: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span, overlapping ones as one, replaced by ``mask``. Null texts stay null."""
-    found = secrets(docs, rules, text_column, "_secrets")
-    merged = F.aggregate("_secrets", F.array().cast("array<struct<start:long,end:long>>"), lambda done, s: F.when(
+    spans = unused(docs, "_secrets")
+    found = secrets(docs, rules, text_column, spans)
+    merged = F.aggregate(spans, F.array().cast("array<struct<start:long,end:long>>"), lambda done, s: F.when(
         (F.size(done) > 0) & (s["start"] < F.element_at(done, -1)["end"]),
         F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
             F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))))
@@ -167,4 +168,4 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, text_column: str = "t
     cleaned = F.aggregate(merged, F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), lambda acc, s: F.struct(
         F.concat(acc["text"], text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask)).alias("text"),
         s["end"].alias("at")), lambda acc: F.concat(acc["text"], text.substr((acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text_column, F.when(F.size("_secrets") > 0, cleaned).otherwise(text)).select(*[name(c) for c in docs.columns])
+    return found.withColumn(text_column, F.when(F.size(spans) > 0, cleaned).otherwise(text)).select(*[name(c) for c in docs.columns])

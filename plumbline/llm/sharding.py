@@ -70,11 +70,14 @@ def shard(records: DataFrame, shards: int, key_column: str, size_column: str, ra
     Records follow ascending key, which must be an integer; null keys come first, rows with one key
     in no fixed order. A record is in the shard in whose equal share of all bytes it begins, so
     shards differ by less than two records. A null or negative size counts as 0; if all are 0,
-    records count instead. Fewer records than shards leave some empty; no records, no rows.
+    records count instead. Fewer records than shards leave some empty; no records, no rows. Columns
+    ``shard`` and ``slot`` of the input are replaced.
     """
-    rows = stored(records.withColumns({
-        "_row": F.monotonically_increasing_id(), "_key": name(key_column).cast("long"),
-        "_size": F.greatest(F.coalesce(name(size_column).cast("long"), F.lit(0)), F.lit(0))}), "records")
+    kept = [c for c in records.columns if c not in ("shard", "slot")]
+    rows = stored(records.select(
+        F.struct(*[name(c) for c in kept]).alias("record"), F.monotonically_increasing_id().alias("_row"),
+        name(key_column).cast("long").alias("_key"),
+        F.greatest(F.coalesce(name(size_column).cast("long"), F.lit(0)), F.lit(0)).alias("_size")), "records")
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     if not total:
         rows, total = rows.withColumn("_size", F.lit(1).cast("long")), n
@@ -91,10 +94,10 @@ def shard(records: DataFrame, shards: int, key_column: str, size_column: str, ra
     begins = F.element_at(_numbers(bytes_before), F.col("_range") + 1) + F.sum("_size").over(before) - F.col("_size")
     index = F.element_at(_numbers(rows_before), F.col("_range") + 1) + F.row_number().over(before) - 1
     share = F.least(F.floor(begins.cast("decimal(38,0)") * shards / F.lit(max(total, 1))), F.lit(shards - 1)).cast("int")
-    placed = stored(ranged.select(*[name(c) for c in records.columns], share.alias("shard"), index.alias("_index")), "placed")
+    placed = stored(ranged.select("record", share.alias("shard"), index.alias("_index")), "placed")
     first = {r["shard"]: r["first"] for r in placed.groupBy("shard").agg(F.min("_index").alias("first")).collect()}
     starts = _numbers([first.get(k, 0) for k in range(shards)])
-    return placed.withColumn("slot", F.col("_index") - F.element_at(starts, F.col("shard") + 1)).drop("_index")
+    return placed.select("record.*", "shard", (F.col("_index") - F.element_at(starts, F.col("shard") + 1)).alias("slot"))
 
 
 def _splitters(rows: DataFrame, n: int, total: int, ranges: int) -> tuple[list[Key], dict[int, tuple[int, int, int]]]:

@@ -27,7 +27,7 @@ def test_shards(spark, seed, n, range_rows, monkeypatch):
         monkeypatch.setattr(sharding, "DRAWN", 1)  # a poor draw leaves overfull ranges
     rng = random.Random(seed)
     rows = [(k, 5000 if rng.random() < 0.02 else rng.randint(1, 9)) for k in rng.sample(range(10 * n + 1), n)]
-    frame = spark.createDataFrame([(k, s, k) for k, s in rows], "key long, size long, shard_before long").repartition(4)
+    frame = spark.createDataFrame([(k, s, k) for k, s in rows], "key long, size long, slot long").repartition(4)
     got = sharding.shard(frame, 4, "key", "size", range_rows).collect()
     by = defaultdict(list)
     for r in got:
@@ -109,6 +109,6 @@ def test_pairs(spark, chunk):
     assert format_pairs(frame.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("label", ["op1_exact_dedup", "op6_preference"])
+@pytest.mark.parametrize("label", sorted(catalog.ORACLES))
 def test_queries_with_sql(spark, label):
     assert oracle.compare(catalog.QUERIES[label](spark, SMALL), oracle.connect(SMALL), catalog.ORACLES[label]) is None
