@@ -53,7 +53,8 @@ def _(spark, d):
 
 # Cells that a file may lose: padded, empty, null, quoted, over several lines.
 DOCUMENT_CELLS = ("CASE WHEN doc_id % 7 = 0 THEN '  ' || text || ' ' WHEN doc_id % 7 = 1 THEN '' WHEN doc_id % 7 = 2 THEN NULL "
-                  "WHEN doc_id % 7 = 3 THEN '\"' || text || '\", \\ ' || lang WHEN doc_id % 7 = 4 THEN lang || chr(10) || text ELSE text END")
+                  "WHEN doc_id % 7 = 3 THEN chr(34) || text || chr(34) || ', ' || chr(92) || ' ' || lang "
+                  "WHEN doc_id % 7 = 4 THEN lang || chr(10) || text ELSE text END")
 DIGESTS = "SELECT doc_id, lang, source, n_chars, md5(cell) AS digest, length(cell) AS size FROM"
 
 
@@ -64,7 +65,7 @@ def _digests(df):
 def _round_trips(kind: str) -> None:
     options = {"na_values": ()} if kind == "csv" else {}
 
-    @query(f"roundtrip_{kind}_documents", f"{DIGESTS} (SELECT *, {DOCUMENT_CELLS.replace(chr(92) * 2, chr(92))} AS cell FROM documents)")
+    @query(f"roundtrip_{kind}_documents", f"{DIGESTS} (SELECT *, {DOCUMENT_CELLS} AS cell FROM documents)")
     def _(spark, d):
         df = frame(spark, d, "documents").withColumn("cell", F.expr(DOCUMENT_CELLS)).drop("text")
         path = files.save(df, shared_path(spark, "documents") + f".{kind}")
