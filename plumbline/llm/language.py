@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import name
@@ -169,16 +169,15 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, learn: Column, text_column: str = "text", lang_column: str = "lang") -> LanguageModel:
-    """Learn from the rows where ``learn`` holds: ``SAMPLE_ROWS`` different texts per language, those
-    with the smallest hash. Rows without language or text, and those with no letter, teach nothing.
+    """Learn from the rows where ``learn`` holds: up to ``SAMPLE_ROWS`` different texts per language,
+    the one with the smallest hash in each class of hashes. Rows without language or text, and those with no letter, teach nothing.
     More than ``LANGUAGES`` languages are an error.
     """
     rows = docs.where(learn & name(lang_column).isNotNull() & name(text_column).rlike(r"\p{L}")).select(
         name(lang_column).cast("string").alias("lang"), F.xxhash64(name(text_column)).alias("hash"),
         F.left(name(text_column), F.lit(ROW_CHARS)).alias("text"))
-    first = Window.partitionBy("lang").orderBy("hash")
-    picked = (rows.select("lang", "hash").distinct().withColumn("n", F.row_number().over(first))
-              .where(F.col("n") <= SAMPLE_ROWS).drop("n"))
+    # The smallest hash of each of SAMPLE_ROWS classes of hashes: different texts, combined map-side.
+    picked = rows.groupBy("lang", F.pmod("hash", F.lit(SAMPLE_ROWS)).alias("class")).agg(F.min("hash").alias("hash")).drop("class")
     # At most SAMPLE_ROWS rows per language; copies of a picked text are one group, combined map-side.
     some = rows.join(F.broadcast(picked), ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text"))
     samples: dict[str, list[str]] = {}
