@@ -34,6 +34,7 @@ SPACE = "\u2581"
 FOLDED = 64               # words of up to so many characters are folded in SQL, longer ones by the same rule in Python
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 WORDS_PER_TASK = 20_000
+BLOCK_TEXT = 32 << 20     # bytes of text per block; larger blocks repeat fewer words
 UNKNOWN_PENALTY = 10.0    # a character without a piece scores so much below the worst piece
 
 
@@ -154,7 +155,7 @@ def _blocks(docs: DataFrame, model: PieceModel) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
-        for seq, batch in enumerate(pieces_of(batches, "text")):
+        for seq, batch in enumerate(pieces_of(batches, "text", BLOCK_TEXT)):
             words, codes, sizes = _coded(batch["text"], touching)
             m = len(words)
             columns = [pa.array([base + seq] * (1 + m), pa.int64()), pa.array([batch["doc_id"].to_pylist()] + [None] * m, pa.list_(pa.int64())),
@@ -191,17 +192,27 @@ def _first(found: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _merged(edges: Column, n: Column) -> Column:
-    """Bounds of the tokens after all merges: each step applies the best edge made of two tokens."""
-    def step(bounds: Column, _: Column) -> Column:
+    """Bounds of the tokens after all merges: each step applies the best edge made of two tokens.
+
+    Edges that cross the applied one or lie in it can never be applied again and go; once none can
+    be applied all go, so the steps that are left cost nothing.
+    """
+    def step(acc: Column, _: Column) -> Column:
+        bounds = acc["bounds"]
+
         def joins(e: Column) -> Column:
             at = F.array_position(bounds, e["a"]).cast("int")
             return (at > 0) & (F.get(bounds, at + 1) == e["b"])
 
-        merged = _first(F.filter(edges, joins), lambda e: F.filter(bounds, lambda x: (x <= e["a"]) | (x >= e["b"])))
-        return F.coalesce(merged, bounds)
+        merged = _first(F.filter(acc["edges"], joins), lambda e: F.struct(
+            F.filter(bounds, lambda x: (x <= e["a"]) | (x >= e["b"])).alias("bounds"),
+            F.filter(acc["edges"], lambda o: (o["b"] <= e["a"]) | (o["a"] >= e["b"])
+                     | ((o["a"] <= e["a"]) & (o["b"] >= e["b"]) & (o["b"] - o["a"] > e["b"] - e["a"]))).alias("edges")))
+        return F.coalesce(merged, F.struct(bounds.alias("bounds"), F.slice(acc["edges"], 1, 0).alias("edges")))
 
     steps = F.filter(F.sequence(F.lit(1), n), lambda k: (k < n) & (k <= F.size(edges)))
-    return F.aggregate(steps, F.sequence(F.lit(0), n), step)
+    start = F.struct(F.sequence(F.lit(0), n).alias("bounds"), edges.alias("edges"))
+    return F.aggregate(steps, start, step, lambda acc: acc["bounds"])
 
 
 def _viterbi(edges: Column, n: Column) -> Column:

@@ -112,13 +112,14 @@ def encoder(path: str) -> WordEncoder:
     return once(("tokenizer", path), lambda: WordEncoder(path))
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], text_column: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds at most ``TEXT_AT_ONCE`` bytes of text, or one row."""
+def pieces_of(batches: Iterator[pa.RecordBatch], text_column: str, at_once: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds at most ``at_once`` (or ``TEXT_AT_ONCE``) bytes of text, or one row."""
+    at_once = TEXT_AT_ONCE if at_once is None else at_once
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch[text_column]), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             before = int(size[at - 1]) if at else 0
-            until = max(at + 1, int(np.searchsorted(size, before + TEXT_AT_ONCE, "right")))
+            until = max(at + 1, int(np.searchsorted(size, before + at_once, "right")))
             yield batch.slice(at, until - at)
             at = until
