@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import fixed, text
 from plumbline.functions.columns import (
-    atomic_columns, columns_named, name, numeric_columns, snake_name, string_columns, temporal_columns,
+    atomic_columns, name, numeric_columns, snake_name, string_columns, temporal_columns,
     type_class, type_of)
 from plumbline.operators import checks, ordering
 from plumbline.operators.correlation import high_pairs
