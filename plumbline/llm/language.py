@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import name
 
 SAMPLE_ROWS = 200         # labelled rows learnt from, per language
-SAMPLE_CHARS = 24_000     # characters of sample text, the same for every language
+SAMPLE_CHARS = 24_000     # most characters of sample text, per language
+EVEN = 7 / 8              # samples this near in length are made equally long
 ROW_CHARS = 1_000         # characters one row may give to the sample
 LANGUAGES = 200           # most languages that can be learnt
 BLOCK = 1024              # bytes parsed in one go; each block begins a new phrase
 STREAM = 4 << 20          # bytes parsed at once
 NONE = "und"
 PAD, SPACE = 0, 1
+ALPHABET = 1 + 26 + 128   # symbols there are: the space, letters, bytes of other scripts
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -73,30 +75,44 @@ def _suffix_automaton(sequence: list[int]) -> list[dict[int, int]]:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``steps[state * width + symbol]`` holds four times the next row plus the phrases that end."""
+    """``steps[state * width + symbol]`` holds four times the next row plus the phrases that end.
+
+    ``weights`` holds what a phrase found in a language's sample counts, and ``known`` which symbols
+    the sample has: see :meth:`costs`.
+    """
 
     languages: tuple[str, ...]
     table: np.ndarray
     width: int
     starts: np.ndarray
     steps: np.ndarray
+    weights: np.ndarray
+    known: np.ndarray
 
     @classmethod
     def of(cls, samples: dict[str, str]) -> LanguageModel:
-        """Samples are cut to the shortest, so that no language gains by a longer one."""
+        """Every language keeps its own sample, whatever the others have.
+
+        Samples nearly as long as each other are made equally long, so that their counts compare as
+        they are: one loses at most an eighth. Other lengths are evened out by :meth:`costs`.
+        """
         raw = {k: _normal_bytes(v) for k, v in sorted(samples.items())}
         plain = np.full(256, SPACE, np.int64)
         plain[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = np.arange(2, 2 + 26 + 128)
         coded = {k: _symbols(v, plain) for k, v in raw.items()}
-        size = min((len(v) for v in coded.values()), default=0)
-        used = np.unique(np.concatenate([[SPACE], *[v[:size] for v in coded.values()]]))
+        lengths = [len(v) for v in coded.values()]
+        coded = {k: v[:min(n for n in lengths if n >= EVEN * len(v))] for k, v in coded.items()}
+        used = np.unique(np.concatenate([[SPACE], *coded.values()]))
         # Bytes in no sample share one symbol, which no phrase can hold.
         rank = np.zeros(2 + 26 + 128, np.int64) + len(used) + 1
         rank[used] = np.arange(1, len(used) + 1)
         table, width = rank[plain].astype(np.uint8), len(used) + 2
+        bits = np.log([len(v) + ALPHABET for v in coded.values()])
         rows, starts = [], []
-        for v in coded.values():
-            moves = _suffix_automaton(rank[v[:size]].tolist())
+        known = np.zeros((len(coded), width), bool)
+        for own, v in zip(known, coded.values()):
+            own[rank[v]] = True
+            moves = _suffix_automaton(rank[v].tolist())
             base = sum(map(len, rows))
             step = np.full((len(moves), width), -1, np.int64)
             for s, move in enumerate(moves):
@@ -112,7 +128,8 @@ class LanguageModel:
         steps = np.concatenate(rows) if rows else np.zeros((0, width), np.int64)
         if steps.size and steps.max() >= 1 << 31:
             raise ValueError("the samples are too long for one array")
-        return cls(tuple(raw), table, width, np.array(starts, np.int64), steps.reshape(-1).astype(np.int32))
+        return cls(tuple(raw), table, width, np.array(starts, np.int64), steps.reshape(-1).astype(np.int32),
+                   bits / bits.max(initial=1), known)
 
     def phrases(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases per text and language, and symbols per text."""
@@ -143,6 +160,20 @@ class LanguageModel:
         np.add.at(total, owner[order], ended.T)
         return total, sizes
 
+    def costs(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases per text and language as if all samples were as long as the longest, and symbols per text.
+
+        To name a place in a sample or a symbol takes the logarithm of their number, so a phrase found in
+        a shorter sample counts less, by that ratio. A symbol that is not in the sample is a phrase
+        by itself and counts one in every language.
+        """
+        counts, sizes = self.phrases(texts)
+        if (self.weights == 1).all():
+            return counts, sizes
+        held = np.stack([np.bincount(_symbols(t, self.table), minlength=self.width) for t in texts])
+        strange = held @ ~self.known.T
+        return strange + (counts - strange) * self.weights, sizes
+
     def predict(self, texts: Sequence[str | None]) -> list[tuple[str, float, float]]:
         """``(language, score, phrases per symbol)``: see :func:`with_language`."""
         out: list[tuple[str, float, float]] = []
@@ -161,7 +192,7 @@ class LanguageModel:
         read = [t for t in texts if t is not None]
         if not read:
             return [(NONE, 0.0, 1.0)] * len(texts)
-        counts, sizes = self.phrases(read)
+        counts, sizes = self.costs(read)
         least = counts.min(axis=1)
         share = 1 / np.exp(np.maximum(least[:, None] - counts, -700)).sum(axis=1)
         found = zip([self.languages[b] for b in counts.argmin(axis=1)], share.tolist(), (least / sizes).tolist())
@@ -191,7 +222,8 @@ def fit(docs: DataFrame, learn: Column, text_column: str = "text", lang_column:
 def with_language(docs: DataFrame, model: LanguageModel, text_column: str = "text", alias: str = "language") -> DataFrame:
     """``docs`` with ``alias``: a struct of ``lang_pred``, ``score`` and ``phrase_rate``.
 
-    Nothing but the whole text is read. ``lang_pred`` is the language with the fewest phrases, the
+    Nothing but the whole text is read. Phrases count as in :meth:`LanguageModel.costs`: one each where
+    all samples are equally long. ``lang_pred`` is the language with the fewest phrases, the
     first by name if several tie; ``und`` where the text is null or has no letter, or nothing was
     learnt. ``score`` is the share of ``exp(-phrases)`` that the winner holds (0 for ``und``, at
     least one part in the number of languages otherwise). ``phrase_rate`` is the winner's phrases

@@ -80,3 +80,39 @@ def test_held_out_accuracy(spark):
     tried = [r for r in rows if r.held_out]
     assert 0.25 < len(tried) / len(rows) < 0.42
     assert sum(r.lang_pred == lang[r.doc_id] for r in tried) / len(tried) > 0.97
+
+
+def long_samples():
+    import pyarrow.parquet as pq
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()
+    out, tried = {}, []
+    for d in docs:
+        if not d["lang"] or not d["text"] or not language.LETTER.search(d["text"]):
+            continue
+        if d["doc_id"] % 2:
+            out[d["lang"]] = (out.get(d["lang"], "") + "\n" + d["text"][:language.ROW_CHARS])[:language.SAMPLE_CHARS]
+        else:
+            tried.append((d["lang"], d["text"]))
+    return out, tried
+
+
+@pytest.mark.parametrize("rare", ["ok", "ok then, all is well and nothing more", "x" * 3000])
+def test_a_label_with_little_text_takes_nothing_from_the_others(rare):
+    samples, tried = long_samples()
+    samples = dict(samples, aa=rare)
+    alone = LanguageModel.of({k: v for k, v in samples.items() if k != "aa"})
+    model = LanguageModel.of(samples)
+    texts = [t.lower().encode() for _, t in tried[:50]]
+    at = [model.languages.index(k) for k in alone.languages]
+    assert (model.phrases(texts)[0][:, at] == alone.phrases(texts)[0]).all()
+    got = model.predict([t for _, t in tried])
+    assert sum(g[0] == k for g, (k, _) in zip(got, tried)) / len(tried) > 0.97
+    assert all(g[2] < 0.7 for g, (_, t) in zip(got, tried) if len(t) >= 100)
+    assert model.predict(["ok"])[0][0] == "aa" or rare[0] == "x"
+
+
+def test_a_strange_symbol_counts_the_same_in_every_language():
+    model = LanguageModel.of({"big": "the cat sat on the mat " * 50, "tiny": "ok"})
+    assert [g[0] for g in model.predict(["日本語", "the mat", "ok"])] == ["big", "big", "tiny"]
+    counts, sizes = model.costs(["日本語".encode()])
+    assert counts.tolist() == [[sizes[0]] * 2]

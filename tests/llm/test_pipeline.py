@@ -106,3 +106,11 @@ def test_packing(steps):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_a_rare_label_drops_no_document(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    free = next(i for i in range(20_000, 20_100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    docs = docs.unionByName(spark.createDataFrame([(free, "ok", "xx", "s", 2)], COLUMNS))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect() if r.text and language.LETTER.search(r.text)}
