@@ -413,6 +413,17 @@ def _(spark, d):
     return similarity.fix_typos(frame(spark, d, "customer_messy"), ["c_mktsegment"], 70).select("c_custkey", "c_mktsegment")
 
 
+@query("fix_typos_names", with_table("orders_names", """
+, f AS (SELECT c_name AS v, count(*) AS n FROM t GROUP BY 1),
+p AS (SELECT a.v AS value, b.v AS other, b.n FROM f a JOIN f b ON a.v <> b.v
+      AND 100.0 * (1 - levenshtein(a.v, b.v) / CAST(greatest(length(a.v), length(b.v)) AS DOUBLE)) >= 94),
+m AS (SELECT value, arg_max(other, n) AS replacement, max(n) AS best FROM p GROUP BY 1)
+SELECT o_orderkey, coalesce(CASE WHEN f.n < 0.8 * m.best THEN m.replacement END, c_name) AS c_name
+FROM t LEFT JOIN m ON m.value = c_name LEFT JOIN f ON f.v = c_name"""))
+def _(spark, d):
+    return similarity.fix_typos(frame(spark, d, "orders_names"), ["c_name"])
+
+
 # -- privacy ----------------------------------------------------------------------
 
 @query("mask_pii", with_table("customer_messy", f"SELECT c_custkey, {MASK_SQL.format(c='email')} AS email, {MASK_SQL.format(c='phone')} AS phone FROM t"))

@@ -68,6 +68,9 @@ DIRTY = {
     "orders_blank": Dirty("orders", {}, {
         "priority": "CASE WHEN o_orderkey % 40 = 0 THEN '  ' ELSE o_orderpriority END",
         "price": "CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE o_totalprice END"}, kept=("o_orderkey",)),
+    "orders_names": Dirty("orders", {}, {
+        "c_name": "'Customer ' || substring(md5(CAST(o_custkey AS STRING)), 1, 16) || CASE WHEN o_orderkey % 41 = 0 THEN 'x' ELSE '' END"},
+        kept=("o_orderkey",)),
     "orders_broken": Dirty("orders", {
         "o_custkey": "CASE WHEN o_orderkey % 101 = 0 THEN o_custkey + 10000000 ELSE o_custkey END"},
         kept=("o_orderkey", "o_custkey")),

@@ -10,7 +10,6 @@ with its length. The join returns a superset of the similar pairs; the exact dis
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,48 +115,81 @@ def typo_pairs(df: DataFrame, columns: Sequence[str] | None = None, threshold: f
     return similar_pairs(limited_values(df, columns, limit)[0].drop("freq"), threshold)
 
 
+def _most_frequent_first(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The nodes that come up when all are taken in order and each one taken rules out its later neighbours.
+
+    ``nodes(column, value)`` are distinct; ``links(column, value, earlier)`` hold the neighbours before a
+    value. A round takes every node with no earlier neighbour left and rules out what links to
+    it, so the rounds follow the longest chain of neighbours; each is written to the shared folder.
+    """
+    key, taken = ["column", "value"], None
+    nodes, links = materialize(nodes, "open-values"), materialize(links, "open-links")
+    while not links.isEmpty():
+        free = nodes.join(links, key, "left_anti")
+        first = free.select("column", F.col("value").alias("earlier"))
+        ruled_out = links.join(first, ["column", "earlier"], "left_semi").select(*key).distinct()
+        done = materialize(free.withColumn("taken", F.lit(True)).unionAll(ruled_out.withColumn("taken", F.lit(False))), "settled")
+        now = done.where("taken").select(*key)
+        taken = now if taken is None else taken.unionAll(now)
+        nodes = materialize(nodes.join(done, key, "left_anti"), "open-values")
+        links = materialize(links.join(done, key, "left_anti").join(
+            done.select("column", F.col("value").alias("earlier")), ["column", "earlier"], "left_anti").select(*key, "earlier"), "open-links")
+    return nodes if taken is None else taken.unionAll(nodes)
+
+
 def typo_corrections(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 94,
                      ratio: float = 0.80, limit: int | None = None) -> DataFrame:
     """``(column, value, replacement, freq)`` for rare spellings of a clearly more frequent value.
 
-    Most frequent values go first. A group whose two most frequent members are within
+    Most frequent values go first, equal ones by text. A group whose two most frequent members are within
     ``ratio`` of each other is left alone, and so is a column beyond ``limit`` distinct values.
-    The driver walks through the values that have a similar one, not through the others.
+    Values, pairs and corrections stay tables: nothing that grows with the values reaches the driver.
     """
     values, _ = limited_values(df, columns, limit)
-    pairs = materialize(similar_pairs(values.drop("freq"), threshold), "similar")
-    ends = pairs.select("column", F.explode(F.array("value_a", "value_b")).alias("value")).distinct()
-    freq: dict[str, dict[str, int]] = {}
-    for r in values.join(ends, ["column", "value"]).collect():
-        freq.setdefault(r["column"], {})[r["value"]] = r["freq"]
-    near: dict[tuple[str, str], set[str]] = {}
-    for r in pairs.collect():
-        near.setdefault((r["column"], r["value_a"]), set()).add(r["value_b"])
-        near.setdefault((r["column"], r["value_b"]), set()).add(r["value_a"])
-    rows = []
-    for column, counts in freq.items():
-        def commonest(members):
-            return sorted(members, key=lambda v: (-counts[v], v))  # noqa: B023
-        replaced: dict[str, str] = {}
-        for value in commonest(counts):
-            others = near.get((column, value))
-            if value in replaced or not others:
-                continue
-            best, second, *_ = group = commonest(others | {value})
-            if counts[second] / counts[best] < ratio:
-                replaced.update(dict.fromkeys(group[1:], best))
-        rows += [(column, v, best, counts[v]) for v, best in replaced.items()]
-    return local_table(df.sparkSession, rows, "column string, value string, replacement string, freq bigint")
+    pairs = similar_pairs(values.drop("freq"), threshold)
+    key = ["column", "value"]
+    ends = F.inline(F.array(F.struct(F.col("value_a").alias("value"), F.col("value_b").alias("other")),
+                            F.struct(F.col("value_b").alias("value"), F.col("value_a").alias("other"))))
+    # A value's place in the order: the more frequent first, equal ones by text.
+    placed = values.select(*key, F.struct((-F.col("freq")).alias("minus"), F.col("value").alias("text")).alias("place"))
+    near = materialize(
+        pairs.select("column", ends).join(placed, key)
+        .join(placed.select("column", F.col("value").alias("other"), F.col("place").alias("other_place")), ["column", "other"]), "similar")
+    # The two first of each value and its neighbours: the minimum, then the minimum of the rest.
+    best = materialize(near.groupBy("column", "value").agg(F.first("place").alias("place"), F.min("other_place").alias("least"))
+                       .withColumn("best", F.least("place", "least")), "best-values")
+    rest = (near.join(best.select(*key, "best"), key).where(F.col("other_place") > F.col("best"))
+            .groupBy(*key).agg(F.min("other_place").alias("next")))
+    second = F.when(F.col("place") == F.col("best"), F.col("next")).otherwise(F.least("place", "next"))
+    clear = materialize(best.join(rest, key, "left").withColumn("second", second)
+                        .where(F.col("second.minus") / F.col("best.minus") < ratio).select(*key, "place", "best"), "clear-groups")
+    earlier = (near.where(F.col("other_place") < F.col("place")).select(*key, F.col("other").alias("earlier"))
+               .join(clear.select(*key), key, "left_semi")
+               .join(clear.select("column", F.col("value").alias("earlier")), ["column", "earlier"], "left_semi").select(*key, "earlier"))
+    groups = clear.join(_most_frequent_first(clear.select(*key), earlier), key, "left_semi")
+    members = groups.select("column", F.col("place").alias("group"), "best", F.col("place").alias("member")).unionAll(
+        near.select(*key, F.col("other_place").alias("member")).join(groups, key)
+        .select("column", F.col("place").alias("group"), "best", "member"))
+    # A value in several groups goes by the last of them.
+    return materialize(
+        members.where(F.col("member") != F.col("best")).groupBy("column", "member").agg(F.max(F.struct("group", "best")).alias("last"))
+        .select("column", F.col("member.text").alias("value"), F.col("last.best.text").alias("replacement"),
+                (-F.col("member.minus")).alias("freq")), "corrections")
 
 
 def fix_typos(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 94,
               ratio: float = 0.80, limit: int | None = None) -> DataFrame:
-    """Replace rare spellings by the frequent one."""
-    rows = typo_corrections(df, columns, threshold, ratio, limit).collect()
-    by_column: dict[str, dict[str, str]] = {}
-    for r in rows:
-        by_column.setdefault(r["column"], {})[r["value"]] = r["replacement"]
-    return df.withColumns({
-        c: F.coalesce(reduce(lambda acc, kv: acc.when(name(c) == kv[0], F.lit(kv[1])), mapping.items(),
-                             F.when(F.lit(False), F.lit(None).cast("string"))), name(c))
-        for c, mapping in by_column.items()}) if by_column else df
+    """Replace rare spellings by the frequent one: a join with the corrections per column that has any."""
+    corrections = typo_corrections(df, columns, threshold, ratio, limit)
+    order, key, new = df.columns, _unused(df, "_value"), _unused(df, "_replacement")
+    for r in corrections.select("column").distinct().orderBy("column").collect():  # a name per column
+        own = corrections.where(F.col("column") == r["column"]).select(F.col("value").alias(key), F.col("replacement").alias(new))
+        df = (df.join(own, name(r["column"]).cast("string") == F.col(key), "left")
+              .withColumn(r["column"], F.coalesce(F.col(new), name(r["column"]))).drop(key, new))
+    return df.select(*map(name, order))
+
+
+def _unused(df: DataFrame, column: str) -> str:
+    while column in df.columns:
+        column += "_"
+    return column

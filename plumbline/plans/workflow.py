@@ -55,7 +55,7 @@ def apply_plan(df: DataFrame, approved: Iterable[str], skew_threshold: float = 1
     Gaps are filled before the sparse check, so a sparse column only goes when filling is
     not approved. Removing duplicates is the one fix that shuffles the table; its result
     is written once, so the statistics of the later fixes scan that table and do not
-    repeat the shuffle. All other fixes are row-local projections over literals.
+    repeat the shuffle. Typos join their corrections; all other fixes are row-local projections over literals.
     A fix that cannot apply to this table is logged as failed and skipped.
     """
     approved = set(approved)

@@ -172,3 +172,41 @@ def test_label_codes(spark):
     pdf = skewed()
     got = prep.encode_categoricals(spark_frame(spark, pdf[["id", "g"]]), "label").toPandas().sort_values("id")
     assert got["g"].tolist() == pd.Categorical(pdf["g"]).codes.tolist()
+
+
+def plain_corrections(values, threshold, ratio):
+    """Most frequent first, one value after the other."""
+    counts = {v: values.count(v) for v in values}
+    near = {v: {w for w in counts if w != v and 100 * (1 - lev(v, w) / max(len(v), len(w))) >= threshold - 1e-9} for v in counts}
+
+    def commonest(members):
+        return sorted(members, key=lambda v: (-counts[v], v))
+
+    replaced = {}
+    for v in commonest(counts):
+        if v not in replaced and near[v]:
+            best, second, *_ = group = commonest(near[v] | {v})
+            if counts[second] / counts[best] < ratio:
+                replaced.update(dict.fromkeys(group[1:], best))
+    return {(v, best, counts[v]) for v, best in replaced.items()}
+
+
+@pytest.mark.parametrize("letters, ratio", [("ab", 0.8), ("abc", 0.8), ("abc", 0.4), ("abcd", 1.01)])
+def test_typo_corrections_go_most_frequent_first(spark, letters, ratio, monkeypatch):
+    rng = np.random.default_rng(len(letters))
+    words = ["".join(rng.choice(list(letters), rng.integers(3, 7))) for _ in range(60)]
+    values = [w for w in words for _ in range(int(rng.choice([1, 1, 1, 2, 3, 5, 9, 30])))]
+    df = spark.createDataFrame([(i, v, "x", None) for i, v in enumerate(values)] + [(-1, None, None, None)], "id long, `a.b` string, _value string, e string")
+    want = plain_corrections(values, 75, ratio)
+    assert want
+    sent = []
+    frame = type(df)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: (sent.append(out := collect(self)), out)[1])
+    found = similarity.typo_corrections(df, threshold=75, ratio=ratio)
+    fixed_rows = similarity.fix_typos(df, threshold=75, ratio=ratio)
+    assert sum(map(len, sent)) <= 10  # a row per column, whatever the number of values
+    assert {tuple(r) for r in collect(found)} == {("a.b", *w) for w in want}
+    to = {v: best for v, best, _ in want}
+    assert fixed_rows.columns == df.columns
+    assert sorted(map(tuple, collect(fixed_rows))) == sorted([(i, to.get(v, v), "x", None) for i, v in enumerate(values)] + [(-1, None, None, None)], key=lambda r: r[0])
