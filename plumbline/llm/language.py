@@ -200,8 +200,10 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, learn: Column, text_column: str = "text", lang_column: str = "lang") -> LanguageModel:
-    """Learn from the rows where ``learn`` holds: up to ``SAMPLE_ROWS`` different texts per language,
-    the one with the smallest hash in each class of hashes. Rows without language or text, and those with no letter, teach nothing.
+    """Learn from the rows where ``learn`` holds: up to ``SAMPLE_ROWS`` different texts per language are picked,
+    the one with the smallest hash in each class of hashes. Each gives its first ``ROW_CHARS`` characters; they are
+    joined in order of their signed hash and cut to ``SAMPLE_CHARS`` characters, so of long texts only the first few
+    are learnt from. Rows without language or text, and those with no letter, teach nothing.
     More than ``LANGUAGES`` languages are an error.
     """
     rows = docs.where(learn & name(lang_column).isNotNull() & name(text_column).rlike(r"\p{L}")).select(
