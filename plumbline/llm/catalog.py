@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import embedding, language, packing, piece_lattice, preference, secret_scan, sharding, simhash, wavelet
+from plumbline.llm import embedding, language, packing, piece_lattice, preference, secret_scan, sharding, simhash, wavelet, whitening
 from plumbline.llm.exact_dedup import exact_groups
 from plumbline.session import shared_path
 
@@ -160,6 +160,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector along the first four components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 4)
+
+
 # Matches and what lies between them alternate, so the lengths of both give the positions.
 ORACLES["op3_secret_scan"] = r"""
 WITH rules(ord, kind, pattern, least) AS (VALUES
