@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import embedding, language, packing, piece_lattice, preference, secret_scan, sharding, simhash, wavelet, whitening
+from plumbline.llm import embedding, language, packing, periodic, piece_lattice, preference, secret_scan, sharding, simhash, wavelet, whitening
 from plumbline.llm.exact_dedup import exact_groups
 from plumbline.session import shared_path
 
@@ -160,6 +160,30 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: the documents of the contract, a tenth of them with their words repeated from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
+    first = F.expr("g % n")
+    period = F.expr("1 + (n - g % n) div (3 + g % 8)")
+    rest = F.col("n") - first
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", (first + 1).cast("int"), period.cast("int")), F.ceil(rest / period).cast("int"))), F.lit(1), rest.cast("int"))
+    return chosen.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("words", F.lit(1), first.cast("int")), again), " "))
+                         .otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs and what is left when each run keeps its first period only."""
+    found = periodic.periodic_runs(planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector along the first four components."""
