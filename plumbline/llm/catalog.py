@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plumbline.llm import embedding, language, packing, periodic, piece_lattice, preference, secret_scan, sharding, simhash, wavelet, whitening
+from plumbline.llm import embedding, language, packing, periodic, piece_lattice, preference, secret_scan, sharding, simhash, suffix_dedup, wavelet, whitening
 from plumbline.llm.exact_dedup import exact_groups
 from plumbline.session import shared_path
 
@@ -184,6 +184,34 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+@query
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less its bytes in strings of 400 that occur again."""
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), 400)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.coalesce(F.sha2("kept", 256), "text_sha256").alias("kept_sha256"))
+
+
+# Strings of 400 bytes are 800 hexadecimal digits from an even place on.
+ORACLES["op13_suffix_dedup"] = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+starts AS (SELECT r, unnest(range(0, length(h) // 2 - 399)) AS p FROM docs WHERE length(h) >= 800),
+coded AS (SELECT r, p, md5_number(substr(h, 2 * p + 1, 800)) AS code FROM starts JOIN docs USING (r)),
+again AS (SELECT code FROM coded GROUP BY code HAVING count(*) > 1),
+hits AS (SELECT r, p FROM coded WHERE code IN (SELECT code FROM again)),
+marked AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 400 THEN 0 ELSE 1 END AS first FROM hits),
+numbered AS (SELECT *, sum(first) OVER (PARTITION BY r ORDER BY p) AS k FROM marked),
+spans AS (SELECT r, k, min(p) AS b, max(p) + 400 AS e FROM numbered GROUP BY r, k),
+gaps AS (SELECT r, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY b) AS b, b AS e FROM spans
+         UNION ALL SELECT r, max(e) AS b, 1000000000 AS e FROM spans GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, CAST(2 * b + 1 AS BIGINT), CAST(2 * (e - b) AS BIGINT)), '' ORDER BY b) AS h FROM gaps JOIN docs USING (r) GROUP BY r),
+sums AS (SELECT r, CAST(sum(e - b) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM docs d LEFT JOIN sums USING (r) LEFT JOIN kept k USING (r)"""
+
+
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector along the first four components."""
