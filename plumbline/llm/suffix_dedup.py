@@ -386,8 +386,11 @@ def _reached_large(suffixes: DataFrame, length: int, large: int) -> DataFrame:
     for more in found[1:]:
         told = told.unionByName(more)
     far = stored(told.groupBy("owner").agg(F.min("begin").alias("back"), F.max("end").alias("forth")).withColumnRenamed("owner", "kind"), "far")
-    return here.select("kind", "owner", F.explode("places").alias("at")).join(far, "kind").select(
-        "owner", (F.col("at") + F.col("back")).alias("begin"), (F.col("at") + F.col("forth")).alias("end"))
+    # One row for each kind and task goes to the join, whatever the number of its suffixes.
+    packs = (here.select("kind", F.spark_partition_id().alias("task"), F.explode("places").alias("at"), "owner")
+             .groupBy("kind", "task").agg(F.collect_list(F.struct("owner", "at")).alias("suffixes")))
+    return packs.join(far, "kind").select("back", "forth", F.explode("suffixes").alias("s")).select(
+        "s.owner", (F.col("s.at") + F.col("back")).alias("begin"), (F.col("s.at") + F.col("forth")).alias("end"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,7 +424,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_column: str = "d
     texts = _texts(docs, text_column, length)
     suffixes = texts.select("owner", F.explode("keys").alias("key"))
     again = stored(suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
-    wanted = stored(suffixes.join(again.hint("merge"), "key").distinct(), "wanted")
+    wanted = stored(suffixes.join(again.hint("merge"), "key"), "wanted")
     covered = _reached(_suffixes(texts, wanted.where(F.col("n") <= large), length), length)
     if not again.where(F.col("n") > large).isEmpty():
         covered = covered.unionByName(_reached_large(_suffixes(texts, wanted.where(F.col("n") > large), length), length, large))
