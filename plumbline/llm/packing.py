@@ -126,7 +126,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int
                 columns["ids"] = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([at, [len(ids)]]), pa.int32()), pa.array(ids.astype("i4")))
             yield pa.RecordBatch.from_pydict(columns)
-        encode.forget()
 
     return docs.select(name(id_column).cast("long").alias("doc_id"), body(text_column).alias("text")).mapInArrow(cut, schema)
 

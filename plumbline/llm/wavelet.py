@@ -201,7 +201,6 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
                 if held >= shard_tokens:
                     yield close()
                     seq, ids, doc_ids, sizes, held = seq + 1, [], [], [], 0
-        encode.forget()
         if doc_ids:
             yield close()
 
