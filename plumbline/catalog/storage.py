@@ -95,6 +95,63 @@ def _(spark, d):
                     F.round(F.sum("total"), 2).alias("total"))
 
 
+@query("read_csv_reordered", ORDERS)
+def _(spark, d):
+    df = frame(spark, d, "orders")
+    path = files.save(df.select(*reversed(df.columns)), shared_path(spark, "orders") + ".csv")
+    return rounded(files.read_table(spark, path, df.schema))
+
+
+BIG = "CAST(18446744073709000000 + o_orderkey AS DECIMAL(38, 0))"
+
+
+@query("read_csv_big_ids", f"SELECT CAST({BIG} AS VARCHAR) AS big_id, o_custkey, count(*) AS rows FROM orders GROUP BY ALL")
+def _(spark, d):
+    df = frame(spark, d, "orders").select((F.lit("18446744073709000000").cast("decimal(38,0)") + F.col("o_orderkey")).cast("decimal(38,0)").alias("big_id"), "o_custkey")
+    out = files.read_csv(spark, files.save(df, shared_path(spark, "orders") + ".csv"), multi_line=False)
+    return out.groupBy(F.col("big_id").cast("string").alias("big_id"), F.col("o_custkey").cast("bigint").alias("o_custkey")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+# Every seventh line has a cell too many, every eleventh a total that is no number, every thirteenth lacks its last cell.
+@query("read_csv_rejects", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'cells' WHEN o_orderkey % 11 = 0 THEN 'type of o_totalprice' END AS reason,
+       CASE WHEN o_orderkey % 13 > 0 AND o_orderkey % 7 > 0 AND o_orderkey % 11 > 0 THEN o_orderpriority END AS o_orderpriority FROM orders""")
+def _(spark, d):
+    key = F.col("o_orderkey")
+    total = F.when(key % 11 == 0, F.lit("much")).otherwise(F.col("o_totalprice").cast("string"))
+    line = F.concat_ws(",", key, total, F.when(key % 13 > 0, F.col("o_orderpriority")), F.when(key % 7 == 0, F.when(key % 13 > 0, "more").otherwise(F.lit("some,more"))))
+    path = files.save(frame(spark, d, "orders").select(line.alias("o_orderkey,o_totalprice,o_orderpriority")), shared_path(spark, "orders") + ".csv", sep="\u0001")
+    found = files.load_csv(spark, path, "o_orderkey bigint, o_totalprice double, o_orderpriority string")
+    return found.table.select("o_orderkey", F.lit(None).cast("string").alias("reason"), "o_orderpriority").unionByName(found.rejects.select(
+        F.substring_index("record", ",", 1).cast("bigint").alias("o_orderkey"), "reason", F.lit(None).cast("string").alias("o_orderpriority")))
+
+
+JSON_ROWS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"
+
+
+@query("read_json_rejects", """
+SELECT o_orderkey, o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 AS rejected, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 11 > 0 THEN o_orderpriority END AS o_orderpriority FROM orders""")
+def _(spark, d):
+    key, line = F.col("o_orderkey"), F.to_json(F.struct("o_orderkey", "o_orderpriority"))
+    broken = F.when(key % 7 == 0, F.replace(line, F.lit("}"), F.lit(""))).when(key % 11 == 0, F.replace(line, F.lit(":"), F.lit(": oops "))).otherwise(line)
+    path = shared_path(spark, "orders") + ".json"
+    frame(spark, d, "orders").select(broken.alias("value")).write.text(path)
+    found = files.load_json(spark, path, "o_orderkey bigint, o_orderpriority string")
+    return found.table.select("o_orderkey", F.lit(False).alias("rejected"), "o_orderpriority").unionByName(found.rejects.select(
+        F.regexp_extract("record", "[0-9]+", 0).cast("bigint").alias("o_orderkey"), F.lit(True).alias("rejected"), F.lit(None).cast("string").alias("o_orderpriority")))
+
+
+@query("read_json_records", ORDERS)
+def _(spark, d):
+    # Files of one array each, every record over several lines.
+    df = frame(spark, d, "orders")
+    record = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"pretty": "true", "ignoreNullFields": "false"})
+    arrays = df.groupBy(F.expr("o_orderkey div 5000").alias("part")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")).alias("value"))
+    path = shared_path(spark, "orders") + ".json"
+    arrays.write.partitionBy("part").text(path)
+    return rounded(files.read_table(spark, path, df.schema).drop("part"))
+
+
 @query("read_normalised", "SELECT event_id, round(CASE WHEN event_id % 5 > 0 THEN value END, 4) AS value FROM events")
 def _(spark, d):
     broken = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
