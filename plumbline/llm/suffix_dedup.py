@@ -225,6 +225,7 @@ def reaches(pasts: list[bytes], futures: list[bytes], copies: list[int], length:
 # --- on Spark ---------------------------------------------------------------------------------------
 
 SUFFIX = "key long, owner binary, places array<int>, past int, string binary"
+SPOT = "key long, kind binary, owner binary, at int, low int, high int"
 
 
 def _texts(docs: DataFrame, text_column: str, length: int) -> DataFrame:
@@ -270,24 +271,50 @@ def _texts(docs: DataFrame, text_column: str, length: int) -> DataFrame:
     return spark.table(table)
 
 
+def _beside(texts: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """Texts with the rows that name them as their ``owner``: only the rows are dealt out."""
+    marks = rows.groupBy("owner").agg(F.collect_list(F.struct(*columns)).alias("marks"))
+    return texts.join(marks.hint("shuffle_hash"), "owner")
+
+
+def _wanted(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, bytes, int, int, int]]:
+    """``key, owner, text, at, low, high`` of the sampled suffixes with a wanted key."""
+    for owner, text, keys, at, low, high, marks in zip(*(batch[c].to_pylist() for c in ("owner", "text", "keys", "at", "low", "high", "marks"))):
+        some = {m["key"] for m in marks}
+        for k, a, b, e in zip(keys, at, low, high):
+            if k in some:
+                yield k, owner, text, a, b, e
+
+
 def _suffixes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The sampled suffixes with the ``wanted`` keys, each different one of a text once."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", TEXTS_AT_ONCE):
             found: dict[tuple, list[int]] = {}
-            columns = [batch[c].to_pylist() for c in ("owner", "text", "keys", "at", "low", "high", "wanted")]
-            for owner, text, keys, at, low, high, some in zip(*columns):
-                some = set(some)
-                for k, a, b, e in zip(keys, at, low, high):
-                    if k in some:
-                        found.setdefault((k, owner, a - b, text[b:e + length]), []).append(a)
+            for k, owner, text, a, b, e in _wanted(batch):
+                found.setdefault((k, owner, a - b, text[b:e + length]), []).append(a)
             keys, owners, pasts, strings = zip(*found) if found else ((),) * 4
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array(keys, pa.int64()), "owner": pa.array(owners, pa.binary()), "places": pa.array(list(found.values()), pa.list_(pa.int32())),
                 "past": pa.array(pasts, pa.int32()), "string": pa.array(strings, pa.binary())})
 
-    chosen = wanted.groupBy("owner").agg(F.collect_set("key").alias("wanted"))
-    return texts.drop("sha256").join(chosen.hint("shuffle_hash"), "owner").mapInArrow(cut, SUFFIX)
+    return _beside(texts.drop("sha256"), wanted, "key").mapInArrow(cut, SUFFIX)
+
+
+def _spots(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 6
+    kinds = pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32()
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["key", "kind", "owner", "at", "low", "high"])
+
+
+def _kinds(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """Every sampled suffix with a ``wanted`` key, with a digest of its past and future as its ``kind``."""
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, "text", TEXTS_AT_ONCE):
+            yield _spots([(k, hashlib.blake2b(b"%d|%b" % (a - b, text[b:e + length]), digest_size=16).digest(), owner, a, b, e)
+                          for k, owner, text, a, b, e in _wanted(batch)])
+
+    return _beside(texts.drop("sha256"), wanted, "key").mapInArrow(told, SPOT)
 
 
 def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -340,54 +367,65 @@ def _reached(suffixes: DataFrame, length: int) -> DataFrame:
     return units.mapInArrow(solve, "owner binary, begin int, end int")
 
 
-def _redealt(kinds: DataFrame, step: int, length: int) -> DataFrame:
-    """Each kind once per ``step`` offsets of its strings, keyed by the part these share."""
+def _redealt(texts: DataFrame, spots: DataFrame, step: int, length: int) -> DataFrame:
+    """Each spot once per ``step`` offsets of its strings, keyed by the part these share."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, "string", TEXTS_AT_ONCE // 8):
-            keys, owners, pasts, strings = [], [], [], []
-            for owner, past, string in zip(*(batch[c].to_pylist() for c in ("owner", "past", "string"))):
-                least = past + length - len(string)
-                for g in range(least // step, past // step + 1):
-                    low, high = max(least, g * step), min(past, (g + 1) * step - 1)
-                    part = string[past - g * step:past + length - (g + 1) * step + 1]
-                    keys.append(xxhash.xxh3_64_intdigest(part, seed=g))
-                    owners.append(owner)
-                    pasts.append(high)
-                    strings.append(string[past - high:past + length - low])
-            yield pa.RecordBatch.from_pydict({
-                "key": pa.array(np.array(keys, np.uint64).view(np.int64)), "owner": pa.array(owners, pa.binary()), "places": pa.array([[0]] * len(keys), pa.list_(pa.int32())),
-                "past": pa.array(pasts, pa.int32()), "string": pa.array(strings, pa.binary())})
+        for batch in pieces_of(batches, "text", TEXTS_AT_ONCE // 8):
+            rows = []
+            for owner, text, marks in zip(*(batch[c].to_pylist() for c in ("owner", "text", "marks"))):
+                for m in marks:
+                    at = m["at"]
+                    for g in range((at - m["high"]) // step, (at - m["low"]) // step + 1):
+                        part = text[at - g * step:at + length - (g + 1) * step + 1]
+                        key = xxhash.xxh3_64_intdigest(part, seed=g)
+                        rows.append((key - (key >> 63 << 64), m["kind"], owner, at, max(m["low"], at - (g + 1) * step + 1), min(m["high"], at - g * step)))
+            yield _spots(rows)
+
+    return _beside(texts.select("owner", "text"), spots, "kind", "at", "low", "high").mapInArrow(deal, SPOT)
+
+
+def _strings(texts: DataFrame, spots: DataFrame, length: int) -> DataFrame:
+    """Spots as suffixes that go by their kind."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, "text", TEXTS_AT_ONCE // 8):
+            rows = [(m["key"], m["kind"], [0], m["at"] - m["low"], text[m["low"]:m["high"] + length])
+                    for text, marks in zip(batch["text"].to_pylist(), batch["marks"].to_pylist()) for m in marks]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["key", "owner", "places", "past", "string"])
 
-    return kinds.select("owner", "past", "string").mapInArrow(deal, SUFFIX)
+    return _beside(texts.select("owner", "text"), spots, "key", "kind", "at", "low", "high").mapInArrow(cut, SUFFIX)
 
 
-def _reached_large(suffixes: DataFrame, length: int, large: int) -> DataFrame:
-    """What ``_reached`` tells, for units of any size.
+def _reached_large(texts: DataFrame, wanted: DataFrame, length: int, large: int) -> DataFrame:
+    """What ``_reached`` tells of the ``wanted`` keys, for units of any size.
 
-    Suffixes alike in past and future are one kind; kinds that occur again are covered whole, and all kinds are dealt
-    out by longer and longer parts until their units are small, or are single strings that need only be counted.
+    Suffixes alike in past and future are one kind; kinds that occur again are covered whole. One suffix of each kind
+    is dealt out by longer and longer parts of its strings, until the units are small, or are single strings that need only be
+    counted. Digests travel, not strings: those are cut from the texts for small units only.
     """
-    here = stored(suffixes.withColumn("kind", F.unhex(F.substring(F.sha2(F.concat(F.col("past").cast("string").cast("binary"), F.lit(b"\0"), "string"), 256), 1, 32))), "large")
-    kinds = stored(here.groupBy("kind", "past", "string").agg(F.sum(F.size("places")).alias("n")), "kinds")
-    found = [kinds.where("n > 1").select(F.col("kind").alias("owner"), (-F.col("past")).alias("begin"), (F.octet_length("string") - F.col("past")).alias("end"))]
-    units = kinds.select(F.col("kind").alias("owner"), "past", "string")
+    reach = [(F.col("low") - F.col("at")).alias("begin"), (F.col("high") + length - F.col("at")).alias("end")]
+    here = stored(_kinds(texts, wanted, length), "large").drop("key")
+    kinds = stored(here.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("owner", "at", "low", "high")).alias("first"))
+                   .select("kind", "n", "first.*"), "kinds")
+    found, spots = [kinds.where("n > 1").select("kind", *reach)], kinds.drop("n")
     for step in [s for s in STEPS if s < sample_of(length) or s == 1]:
-        dealt = stored(_redealt(units, step, length), "dealt")
+        dealt = stored(_redealt(texts, spots, step, length), "dealt")
         sizes = stored(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         if step == 1:
-            again = dealt.join(sizes.hint("merge"), "key", "left_semi")
-            found.append(again.select("owner", (-F.col("past")).alias("begin"), (F.octet_length("string") - F.col("past")).alias("end")))
+            found.append(dealt.join(sizes.hint("merge"), "key", "left_semi").select("kind", *reach))
             break
-        found.append(_reached(dealt.join(sizes.where(F.col("n") <= large).hint("merge"), "key", "left_semi"), length))
-        units = dealt.join(sizes.where(F.col("n") > large).hint("merge"), "key", "left_semi").select("owner", "past", "string")
+        few = dealt.join(sizes.where(F.col("n") <= large).hint("merge"), "key", "left_semi")
+        found.append(_reached(_strings(texts, few, length), length).withColumnRenamed("owner", "kind"))
         if sizes.where(F.col("n") > large).isEmpty():
             break
+        spots = dealt.join(sizes.where(F.col("n") > large).hint("merge"), "key", "left_semi").drop("key")
     told = found[0]
     for more in found[1:]:
         told = told.unionByName(more)
-    far = stored(told.groupBy("owner").agg(F.min("begin").alias("back"), F.max("end").alias("forth")).withColumnRenamed("owner", "kind"), "far")
+    far = stored(told.groupBy("kind").agg(F.min("begin").alias("back"), F.max("end").alias("forth")), "far")
     # One row for each kind and task goes to the join, whatever the number of its suffixes.
-    packs = (here.select("kind", F.spark_partition_id().alias("task"), F.explode("places").alias("at"), "owner")
+    packs = (here.select("kind", F.spark_partition_id().alias("task"), "owner", "at")
              .groupBy("kind", "task").agg(F.collect_list(F.struct("owner", "at")).alias("suffixes")))
     return packs.join(far, "kind").select("back", "forth", F.explode("suffixes").alias("s")).select(
         "s.owner", (F.col("s.at") + F.col("back")).alias("begin"), (F.col("s.at") + F.col("forth")).alias("end"))
@@ -427,7 +465,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_column: str = "d
     wanted = stored(suffixes.join(again.hint("merge"), "key"), "wanted")
     covered = _reached(_suffixes(texts, wanted.where(F.col("n") <= large), length), length)
     if not again.where(F.col("n") > large).isEmpty():
-        covered = covered.unionByName(_reached_large(_suffixes(texts, wanted.where(F.col("n") > large), length), length, large))
+        covered = covered.unionByName(_reached_large(texts, wanted.where(F.col("n") > large), length, large))
     parts = stored(covered.groupBy("owner").agg(F.collect_set(F.struct("begin", "end")).alias("parts")), "parts")
     told = texts.select("owner", "sha256", "text").join(parts.hint("shuffle_hash"), "owner").mapInArrow(
         _kept, "sha256 string, spans array<struct<begin:long,end:long>>, kept binary")
