@@ -107,18 +107,23 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTI
 
 @query
 def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every two consecutive conversations as a pair, the even one chosen."""
-    turns = table(spark, sf_dir, "conversations").select(
-        F.expr("conv_id div 2").alias("pair_id"), F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"),
-        "turn", "role", "text")
+    """Every conversation as chosen; as rejected the same up to a turn set by its id, then the turns of the next conversation."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    cuts = said.groupBy("conv_id").agg((F.min("turn") + F.col("conv_id") % F.count(F.lit(1))).alias("cut"))
+    own = said.join(cuts, "conv_id").where(F.col("turn") < F.col("cut")).drop("cut")
+    following = said.withColumn("conv_id", F.col("conv_id") - 1).join(cuts, "conv_id").where(F.col("turn") >= F.col("cut")).drop("cut")
+    turns = said.withColumn("side", F.lit("chosen")).unionByName(own.unionByName(following).withColumn("side", F.lit("rejected")))
     spans = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",") for c in ("chosen_mask", "rejected_mask")}
-    return preference.format_pairs(turns).withColumns(spans)
+    return preference.format_pairs(turns.withColumnRenamed("conv_id", "pair_id")).withColumns(spans)
 
 
 ORACLES["op6_preference"] = """
-WITH turns AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, role, text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations),
+WITH cuts AS (SELECT conv_id, min(turn) + conv_id % count(*) AS cut FROM conversations GROUP BY conv_id),
+sides AS (
+  SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM conversations
+  UNION ALL SELECT conv_id, 1, turn, role, text FROM conversations JOIN cuts USING (conv_id) WHERE turn < cut
+  UNION ALL SELECT c.conv_id, 1, v.turn, v.role, v.text FROM conversations v JOIN cuts c ON v.conv_id = c.conv_id + 1 WHERE v.turn >= cut),
+turns AS (SELECT pair_id, side, role, text, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn) - 1 AS pos FROM sides),
 same AS (
   SELECT pair_id, pos, count(*) = 2 AND count(DISTINCT role) = 1 AND count(DISTINCT text) = 1 AS alike
   FROM turns GROUP BY ALL),

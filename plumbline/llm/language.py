@@ -9,12 +9,12 @@ languages side by side, one byte at a time.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +24,13 @@ SAMPLE_ROWS = 200         # labelled rows learnt from, per language
 SAMPLE_CHARS = 24_000     # most characters of sample text, per language
 EVEN = 7 / 8              # samples this near in length are made equally long
 ROW_CHARS = 1_000         # characters one row may give to the sample
-LANGUAGES = 200           # most languages that can be learnt
+LANGUAGES = 200           # languages that can be learnt
 BLOCK = 1024              # bytes parsed in one go; each block begins a new phrase
 STREAM = 4 << 20          # bytes parsed at once
 NONE = "und"
 PAD, SPACE = 0, 1
 ALPHABET = 1 + 26 + 128   # symbols there are: the space, letters, bytes of other scripts
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def _normal_bytes(text: str) -> bytes:
@@ -199,30 +199,33 @@ class LanguageModel:
         return [(NONE, 0.0, 1.0) if t is None else next(found) for t in texts]
 
 
-def fit(docs: DataFrame, learn: Column, text_column: str = "text", lang_column: str = "lang") -> LanguageModel:
-    """Learn from the rows where ``learn`` holds: up to ``SAMPLE_ROWS`` different texts per language are picked,
-    the one with the smallest hash in each class of hashes. Each gives its first ``ROW_CHARS`` characters; they are
-    joined in order of their signed hash and cut to ``SAMPLE_CHARS`` characters, so of long texts only the first few
+def fit(docs: DataFrame, learn: Column, text_column: str = "text", lang_column: str = "lang", languages: int = LANGUAGES,
+        sample_rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
+    """Learn from the rows where ``learn`` holds: up to ``sample_rows`` different texts per language are picked,
+    the one with the smallest hash in each class of hashes. Each gives its first ``row_chars`` characters; they are
+    joined in order of their signed hash and cut to ``sample_chars`` characters, so of long texts only the first few
     are learnt from. Rows without language or text, and those with no letter, teach nothing.
-    More than ``LANGUAGES`` languages are an error.
+    Of more than ``languages`` labels those with most characters of text are learnt, of equal ones the first by name.
     """
     rows = docs.where(learn & name(lang_column).isNotNull() & name(text_column).rlike(r"\p{L}")).select(
-        name(lang_column).cast("string").alias("lang"), F.xxhash64(name(text_column)).alias("hash"),
-        F.left(name(text_column), F.lit(ROW_CHARS)).alias("text"))
-    # The smallest hash of each of SAMPLE_ROWS classes of hashes: different texts, combined map-side.
-    picked = rows.groupBy("lang", F.pmod("hash", F.lit(SAMPLE_ROWS)).alias("class")).agg(F.min("hash").alias("hash")).drop("class")
-    # At most SAMPLE_ROWS rows per language; copies of a picked text are one group, combined map-side.
+        name(lang_column).cast("string").alias("lang"), F.xxhash64(name(text_column)).alias("hash"), name(text_column).alias("text"))
+    labels = rows.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("size")).orderBy(F.desc("size"), "lang").limit(languages)
+    known = sorted(r["lang"] for r in labels.select("lang").collect())  # at most ``languages``
+    rows = rows.where(F.col("lang").isin(known)).withColumn("text", F.left("text", F.lit(row_chars)))
+    # The smallest hash of each of the classes of hashes: different texts, combined map-side.
+    picked = rows.groupBy("lang", F.pmod("hash", F.lit(sample_rows)).alias("class")).agg(F.min("hash").alias("hash")).drop("class")
+    # At most ``sample_rows`` rows for each of ``languages``; copies of a picked text are one group, combined map-side.
     some = rows.join(F.broadcast(picked), ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text"))
-    samples: dict[str, list[str]] = {}
+    samples: dict[str, str] = {}
     for r in some.orderBy("lang", "hash").toLocalIterator():
-        samples.setdefault(r["lang"], []).append(r["text"])
-        if len(samples) > LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} languages")
-    return LanguageModel.of({k: "\n".join(v)[:SAMPLE_CHARS] for k, v in samples.items()})
+        had = samples.get(r["lang"])
+        if had is None or len(had) < sample_chars:
+            samples[r["lang"]] = r["text"] if had is None else f"{had}\n{r['text']}"
+    return LanguageModel.of({k: v[:sample_chars] for k, v in samples.items()})
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text_column: str = "text", alias: str = "language") -> DataFrame:
-    """``docs`` with ``alias``: a struct of ``lang_pred``, ``score`` and ``phrase_rate``.
+    """``docs`` with ``alias``: a struct of ``lang_pred``, ``score`` and ``phrase_rate``. A column of that name is replaced.
 
     Nothing but the whole text is read. Phrases count as in :meth:`LanguageModel.costs`: one each where
     all samples are equally long. ``lang_pred`` is the language with the fewest phrases, the

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import name
-from plumbline.llm.common import body, components, roots, stored
+from plumbline.llm.common import body, components, roots, small_batches, stored
 
 BITS, HALF = 64, 32
 SEED = 42
@@ -52,11 +52,11 @@ def _runs(text: bytes, width: int) -> Iterator[list[bytes]]:
             held = held[1 - width:] if width > 1 else []
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """64-bit SimHash of ``text``: A-Z in lower case, words between ASCII white space, ``width``-word
+def fingerprint(text: str | bytes | memoryview, width: int = 3) -> int:
+    """64-bit SimHash of ``text`` (bytes: in UTF-8): A-Z in lower case, words between ASCII white space, ``width``-word
     shingles with repeats. A bit is set if more than half of the shingles' XXH64 values set it. With
     fewer words the whole sequence is one shingle; without any the fingerprint is zero."""
-    lowered = text.encode("utf-8", "surrogatepass").lower()
+    lowered = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else bytes(text)).lower()
     ones, total = np.zeros(BITS, np.int64), 0
     first: list[bytes] | None = None
     for words in _runs(lowered, width):
@@ -75,10 +75,15 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, text_column: str = "text", alias: str = "fingerprint") -> DataFrame:
-    """``docs`` with the fingerprint of each whole text as a long; null counts as empty."""
-    @F.pandas_udf("long")
-    def of(texts):
-        return texts.map(lambda t: fingerprint(t, width)).astype("uint64").astype("int64")
+    """``docs`` with the fingerprint of each whole text as the long ``alias``; null counts as empty.
+
+    A column of the name of ``alias`` is replaced.
+    """
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        # Straight from the batch's buffer: no text becomes a Python string.
+        values = np.fromiter((fingerprint(v.as_buffer(), width) for v in texts), np.uint64, len(texts))
+        return pa.array(values.view(np.int64))
 
     return docs.withColumn(alias, of(body(text_column)))
 
@@ -221,8 +226,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     is the signed long. ``payload`` is a struct of the ``carry`` columns. No rows give no rows.
     """
     payload = F.struct(*[name(c) for c in carry]) if carry else F.lit(None).cast("struct<none:int>")
-    rows = stored(fingerprints(docs.select(name(id_column).alias("doc_id"), name(text_column).alias("_text"), payload.alias("payload")),
-                               width, "_text").drop("_text").withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    plain = docs.select(name(id_column).alias("doc_id"), name(text_column).alias("_text"), payload.alias("payload"))
+    with small_batches(docs.sparkSession):
+        rows = stored(fingerprints(plain, width, "_text").drop("_text").withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     least = [F.min("doc_id").alias("first_id"), F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("first_row")]
     distinct = stored(rows.groupBy("fingerprint").agg(*least), "distinct")
     links = near_links(distinct, "fingerprint", budget)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import language
 from plumbline.llm.language import LanguageModel, fit, held_out, with_language
@@ -116,3 +117,21 @@ def test_a_strange_symbol_counts_the_same_in_every_language():
     assert [g[0] for g in model.predict(["日本語", "the mat", "ok"])] == ["big", "big", "tiny"]
     counts, sizes = model.costs(["日本語".encode()])
     assert counts.tolist() == [[sizes[0]] * 2]
+
+
+def test_signs_are_no_letters(spark):
+    rows = [(i, t, "en") for i, t in enumerate(["the cat sat on the mat", "\u00bd \u00b2 \u2460", "\u2167 12", "\u00e9", "\u00aa", "12 _ 34", "\u4e2d"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["language"]["lang_pred"] for r in language.with_language(df, language.fit(df, F.lit(True))).collect()}
+    assert got == {0: "en", 1: "und", 2: "und", 3: "en", 4: "en", 5: "und", 6: "en"}
+
+
+def test_more_labels_than_can_be_learnt(spark):
+    rows = [(f"l{i:03}", "word " * (5 + i)) for i in range(30)] + [("l000", "word " * 500)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    assert language.fit(df, F.lit(True), languages=3).languages == ("l000", "l028", "l029")
+    df = spark.createDataFrame([(f"l{i:03}", f"text of the label {i}") for i in range(language.LANGUAGES + 1)], "lang string, text string")
+    model = language.fit(df, F.lit(True))
+    assert len(model.languages) == language.LANGUAGES
+    told = language.with_language(df.withColumn("language", F.lit("x")), model).select("language.lang_pred").collect()
+    assert len(told) == language.LANGUAGES + 1 and all(r["lang_pred"] in model.languages for r in told)
