@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import name
 from plumbline.llm.common import components, roots, stored
@@ -80,8 +81,14 @@ def _unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _stored_as(classes: DataFrame) -> str:
+    """Vectors travel as they are stored, floats in four bytes, and become unit vectors in double precision where they meet."""
+    return "<f4" if isinstance(classes.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+
+
 def _dealt(classes: DataFrame) -> DataFrame:
     """Every class at each of its buckets: ``label, dim, table, bucket, own, class, n, codes, vector``."""
+    kind = _stored_as(classes)
     label_type = classes.schema["label"].dataType.simpleString()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +114,7 @@ def _dealt(classes: DataFrame) -> DataFrame:
                         "own": pa.array(probe == 0), "class": batch["class"].take(pa.array(part[row])),
                         "n": batch["n"].take(pa.array(part[row])),
                         "codes": pa.array([carried[i].tobytes() for i in range(n)], pa.binary()).take(pa.array(row)),
-                        "vector": pa.array([unit[i].astype("<f8").tobytes() for i in range(n)], pa.binary()).take(pa.array(row))}
+                        "vector": pa.array([v.tobytes() for v in raw.reshape(n, dim).astype(kind)], pa.binary()).take(pa.array(row))}
                     yield pa.RecordBatch.from_pydict(columns)
 
     return classes.select("label", "embedding", "class", "n").mapInArrow(
@@ -146,7 +153,7 @@ def _near_pairs(x: np.ndarray, own: np.ndarray, begin: np.ndarray, end: np.ndarr
         yield i[near], j[near]
 
 
-def _links(table: pa.Table, threshold: float) -> pa.Table:
+def _links(table: pa.Table, threshold: float, kind: str = "<f8") -> pa.Table:
     """Links found first in these whole units, which follow one another: ``class, links, root``."""
     begin = np.flatnonzero(_changes(table))
     end = np.append(begin[1:], table.num_rows)
@@ -157,7 +164,7 @@ def _links(table: pa.Table, threshold: float) -> pa.Table:
     links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
     for dim in np.unique(dims).tolist():  # lengths come one after the other within a label
         kept = np.flatnonzero(dims == dim)
-        x = np.frombuffer(b"".join(vectors[k] for k in kept.tolist()), "<f8").reshape(-1, dim)
+        x = _unit_rows(np.frombuffer(b"".join(vectors[k] for k in kept.tolist()), kind), dim)
         place = np.cumsum(dims == dim) - 1
         units = dims[begin] == dim
         for i, j in _near_pairs(x, own[kept], place[begin[units]], place[end[units] - 1] + 1, threshold):
@@ -213,7 +220,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_colum
     rows = stored(vectors.select(name(id_column).alias("vec_id"), name(label_column).alias("label"), name(vector_column).alias("embedding")), "vectors")
     classes = stored(rows.where(F.col("label").isNotNull() & usable(F.col("embedding"))).groupBy("label", "embedding").agg(
         F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n")).withColumn("class", F.monotonically_increasing_id()), "classes")
-    dealt = _dealt(classes)
+    dealt, kind = _dealt(classes), _stored_as(classes)
     place = ["label", "dim", "table", "bucket"]
     full = stored(dealt.groupBy(*place).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > block)
                   .withColumn("blocks", F.ceil(F.col("rows") * 2 / block).cast("int")).drop("rows"), "full")
@@ -224,7 +231,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_colum
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_units(batches):
-            yield from _links(table, threshold).to_batches()
+            yield from _links(table, threshold, kind).to_batches()
 
     # Units are many and small: a task takes a run of them, whole, in order.
     together = units.repartition(*UNIT).sortWithinPartitions(*UNIT, F.desc("own"))

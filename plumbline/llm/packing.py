@@ -134,9 +134,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with a ``length`` of 1 to ``capacity``) with ``sequence_id`` and ``offset`` added.
 
     Every row gets its own place, also rows that repeat whole. Sequence ids run from 0 without a
-    gap, offsets within a sequence leave none. No pieces, no rows.
+    gap, offsets within a sequence leave none. No pieces, no rows. Columns of these two names are replaced.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     rows = stored(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     lengths = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     buckets = F.expr("array(" + ", ".join(f"{1 + lengths.get(n, 0) // BUCKET_ROWS}L" for n in range(1, capacity + 1)) + ")")

@@ -18,6 +18,7 @@ from plumbline.functions.columns import name
 from plumbline.llm.common import stored
 
 RANGE_ROWS = 50_000       # records a range should hold
+RANGES = 16_384           # ranges the driver and a plan hold splitters of; beyond, ranges hold more records and their sorts spill
 PER_SHARD = 4             # least number of ranges per shard
 DRAWN = 16                # keys drawn per range
 FULL = 2                  # times its share beyond which a range is divided further
@@ -81,7 +82,7 @@ def shard(records: DataFrame, shards: int, key_column: str, size_column: str, ra
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     if not total:
         rows, total = rows.withColumn("_size", F.lit(1).cast("long")), n
-    ranges = max(PER_SHARD * shards, -(-n // range_rows))
+    ranges = max(PER_SHARD * shards, min(RANGES, -(-n // range_rows)))
     splitters, stats = _splitters(rows, n, total, ranges)
     ranged = rows.withColumn("_at", _key()).withColumn("_range", _range(splitters))
     bytes_before, rows_before, b, r = [], [], 0, 0
@@ -102,7 +103,7 @@ def shard(records: DataFrame, shards: int, key_column: str, size_column: str, ra
 
 def _splitters(rows: DataFrame, n: int, total: int, ranges: int) -> tuple[list[Key], dict[int, tuple[int, int, int]]]:
     """Splitters and, per range, its bytes, rows and largest record. What the driver holds grows with
-    the number of ranges only."""
+    the number of ranges only, and that is bounded."""
     splitters = _quantiles(_draw(rows, max(total, 1) / (ranges * DRAWN), 0), ranges)
     share, row_share, salt = max(total, 1) / ranges, max(1.0, n / ranges), 0
     while True:

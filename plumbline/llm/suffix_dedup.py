@@ -261,13 +261,18 @@ def _texts(docs: DataFrame, text_column: str, length: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "owner": pa.array([digests[i][:16] for i in fresh], pa.binary()), "sha256": pa.array([digests[i].hex() for i in fresh]), "text": texts, **lists})
 
-    spark = docs.sparkSession
     found = docs.select(body(text_column).cast("binary").alias("text")).where(F.octet_length("text") >= length).mapInArrow(
         told, "owner binary, sha256 string, text binary, keys array<long>, at array<int>, low array<int>, high array<int>")
+    return _bucketed(found, "texts")
+
+
+def _bucketed(rows: DataFrame, label: str) -> DataFrame:
+    """One row for each ``owner`` in a table that joins by it without being dealt out again."""
+    spark = rows.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"plumbline_texts_{uuid.uuid4().hex}"
-    (found.repartition(buckets, "owner").dropDuplicates(["owner"]).write.bucketBy(buckets, "owner").format("parquet")
-     .option("compression", "zstd").option("path", shared_path(spark, "texts")).saveAsTable(table))
+    table = f"plumbline_{label}_{uuid.uuid4().hex}"
+    (rows.repartition(buckets, "owner").dropDuplicates(["owner"]).write.bucketBy(buckets, "owner").format("parquet")
+     .option("compression", "zstd").option("path", shared_path(spark, label)).saveAsTable(table))
     return spark.table(table)
 
 
@@ -367,8 +372,8 @@ def _reached(suffixes: DataFrame, length: int) -> DataFrame:
     return units.mapInArrow(solve, "owner binary, begin int, end int")
 
 
-def _redealt(texts: DataFrame, spots: DataFrame, step: int, length: int) -> DataFrame:
-    """Each spot once per ``step`` offsets of its strings, keyed by the part these share."""
+def _redealt(marked: DataFrame, step: int, length: int) -> DataFrame:
+    """Each mark once per ``step`` offsets of its strings, keyed by the part these share."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", TEXTS_AT_ONCE // 8):
             rows = []
@@ -378,14 +383,14 @@ def _redealt(texts: DataFrame, spots: DataFrame, step: int, length: int) -> Data
                     for g in range((at - m["high"]) // step, (at - m["low"]) // step + 1):
                         part = text[at - g * step:at + length - (g + 1) * step + 1]
                         key = xxhash.xxh3_64_intdigest(part, seed=g)
-                        rows.append((key - (key >> 63 << 64), m["kind"], owner, at, max(m["low"], at - (g + 1) * step + 1), min(m["high"], at - g * step)))
+                        rows.append((key - (key >> 63 << 64), owner, owner, at, max(m["low"], at - (g + 1) * step + 1), min(m["high"], at - g * step)))
             yield _spots(rows)
 
-    return _beside(texts.select("owner", "text"), spots, "kind", "at", "low", "high").mapInArrow(deal, SPOT)
+    return marked.mapInArrow(deal, SPOT)
 
 
-def _strings(texts: DataFrame, spots: DataFrame, length: int) -> DataFrame:
-    """Spots as suffixes that go by their kind."""
+def _strings(marked: DataFrame, length: int) -> DataFrame:
+    """The past and future of each mark, as suffixes of its kind."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", TEXTS_AT_ONCE // 8):
             rows = [(m["key"], m["kind"], [0], m["at"] - m["low"], text[m["low"]:m["high"] + length])
@@ -394,32 +399,37 @@ def _strings(texts: DataFrame, spots: DataFrame, length: int) -> DataFrame:
             kinds = pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.binary()
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["key", "owner", "places", "past", "string"])
 
-    return _beside(texts.select("owner", "text"), spots, "key", "kind", "at", "low", "high").mapInArrow(cut, SUFFIX)
+    return marked.mapInArrow(cut, SUFFIX)
 
 
 def _reached_large(texts: DataFrame, wanted: DataFrame, length: int, large: int) -> DataFrame:
     """What ``_reached`` tells of the ``wanted`` keys, for units of any size.
 
     Suffixes alike in past and future are one kind; kinds that occur again are covered whole. One suffix of each kind
-    is dealt out by longer and longer parts of its strings, until the units are small, or are single strings that need only be
-    counted. Digests travel, not strings: those are cut from the texts for small units only.
+    is kept in a bucketed table and dealt out by longer and longer parts of its strings, until the units are small, or are single strings
+    that need only be counted. Digests travel, not strings: those leave the table for small units only.
     """
+    spot = ("key", "kind", "at", "low", "high")
     reach = [(F.col("low") - F.col("at")).alias("begin"), (F.col("high") + length - F.col("at")).alias("end")]
-    here = stored(_kinds(texts, wanted, length), "large").drop("key")
-    kinds = stored(here.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("owner", "at", "low", "high")).alias("first"))
-                   .select("kind", "n", "first.*"), "kinds")
-    found, spots = [kinds.where("n > 1").select("kind", *reach)], kinds.drop("n")
+    here = stored(_kinds(texts, wanted, length), "large")
+    firsts = here.groupBy("kind").agg(F.min(F.struct("owner", "key", "at", "low", "high")).alias("first")).select("kind", "first.*")
+    again = here.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.first(F.col("at") - F.col("low")).alias("past"), F.first(F.col("high") - F.col("low")).alias("more")).where("n > 1")
+    found = [again.select("kind", (-F.col("past")).alias("begin"), (F.col("more") + length - F.col("past")).alias("end"))]
+    kinds = _bucketed(_strings(_beside(texts.select("owner", "text"), firsts, *spot), length).select(
+        "owner", F.col("string").alias("text"), F.col("past").alias("at"), F.lit(0).alias("low"), (F.octet_length("string") - length).alias("high")), "kinds")
+    marked = kinds.select("owner", "text", F.array(F.struct("at", "low", "high")).alias("marks"))
     for step in [s for s in STEPS if s < sample_of(length) or s == 1]:
-        dealt = stored(_redealt(texts, spots, step, length), "dealt")
+        dealt = stored(_redealt(marked, step, length), "dealt")
         sizes = stored(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         if step == 1:
             found.append(dealt.join(sizes.hint("merge"), "key", "left_semi").select("kind", *reach))
             break
         few = dealt.join(sizes.where(F.col("n") <= large).hint("merge"), "key", "left_semi")
-        found.append(_reached(_strings(texts, few, length), length).withColumnRenamed("owner", "kind"))
-        if sizes.where(F.col("n") > large).isEmpty():
+        found.append(_reached(_strings(_beside(kinds.select("owner", "text"), few, *spot), length), length).withColumnRenamed("owner", "kind"))
+        many = sizes.where(F.col("n") > large)
+        if many.isEmpty():
             break
-        spots = dealt.join(sizes.where(F.col("n") > large).hint("merge"), "key", "left_semi").drop("key")
+        marked = _beside(kinds.select("owner", "text"), dealt.join(many.hint("merge"), "key", "left_semi"), *spot)
     told = found[0]
     for more in found[1:]:
         told = told.unionByName(more)

@@ -145,3 +145,35 @@ def test_packing(spark):
         size = len(real) if len(real) & (len(real) - 1) == 0 else 64
         assert windows[k].ids == real + [0] * (size - len(real))
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_many_pieces_of_one_length(spark, monkeypatch):
+    """Lengths ranked in many buckets: every place is used once and without a gap."""
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 10)
+    lengths = [5] * 700 + [3] * 300 + [8, 8, 1]
+    df = spark.createDataFrame([(i, n, "x", i) for i, n in enumerate(lengths)], "id long, length long, offset string, sequence_id long").repartition(7)
+    placed = packing.pack(df, 8).collect()
+    assert sorted(r["id"] for r in placed) == list(range(len(lengths)))
+    windows = {}
+    for r in placed:
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(windows) == list(range(len(windows)))
+    for pieces in windows.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= 8
+    assert len(windows) == 702
+
+
+def test_known_words_start_anew(spark, monkeypatch):
+    """Beyond its bound a worker forgets its words, and the ids stay the same."""
+    from plumbline.llm import tokens
+    texts = pa.array([" ".join(f"w{c}{d}" for c in "abcdefgh" for d in ("x", "y.", "é", "1")) for _ in range(3)] + ["", "Word WORD word!"])
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = tokens.WordEncoder(path).encode(texts, 2)
+    monkeypatch.setattr(tokens, "KNOWN_WORDS", 7)
+    monkeypatch.setattr(tokens, "WORDS_AT_ONCE", 5)
+    few = tokens.WordEncoder(path).encode(texts, 2)
+    assert whole[0].tolist() == few[0].tolist() and whole[1].tolist() == few[1].tolist()
