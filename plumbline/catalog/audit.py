@@ -134,8 +134,10 @@ def _(spark, d):
 
 
 @query("check_column_names", """
-SELECT unnest(['Order Key', ' status', 'Total-Price']) AS column_name,
-       unnest([count(o_orderkey), count(o_orderstatus), count(o_totalprice)]) AS cells FROM orders""")
+SELECT column_name, cells FROM (
+  SELECT unnest(['Order Key', 'o_custkey', ' status', 'Total-Price', 'o_orderdate', 'o_Priority']) AS column_name,
+         unnest([count(o_orderkey), count(o_custkey), count(o_orderstatus), count(o_totalprice), count(o_orderdate), count(o_orderpriority)]) AS cells FROM orders)
+WHERE NOT regexp_full_match(lower(column_name), '[a-z0-9_]+') OR regexp_matches(column_name, '^[A-Z]')""")
 def _(spark, d):
     df = frame(spark, d, "orders").withColumnsRenamed(
         {"o_orderkey": "Order Key", "o_orderstatus": " status", "o_totalprice": "Total-Price", "o_orderpriority": "o_Priority"})
@@ -260,8 +262,9 @@ def _(spark, d):
     return rounded(pairs.withColumnRenamed("column", "column_name"))
 
 
-@query("check_pii", with_table("customer_messy", union(
-    f"SELECT '{c}' AS column_name, count({c}) AS cells FROM t" for c in ("c_name", "email", "phone"))))
+@query("check_pii", with_table("customer_messy", "SELECT * FROM (" + union(
+    f"SELECT '{c}' AS column_name, count({c}) AS cells FROM t" for c in columns_of("customer_messy"))
+    + ") WHERE regexp_matches(column_name, 'name|mail|phone|address|ssn|passport|birth')"))
 def _(spark, d):
     df = frame(spark, d, "customer_messy")
     cells = per_column(df, privacy.pii_columns(df), ["rows", "nulls"])
@@ -271,6 +274,16 @@ def _(spark, d):
 
 # -- the whole audit ------------------------------------------------------------------
 
+# Place, check, automatic or manual, fix, cost when high, cost when medium; stated apart from the checks themselves.
+RULES = """
+(0, 'duplicates', 'A', 'remove_duplicates', 20, 10), (1, 'empty_rows', 'A', 'drop_empty_rows', 10, 5), (2, 'nulls', 'A', 'smart_impute', 25, 12),
+(3, 'outliers', 'A', 'handle_outliers', 15, 7), (4, 'column_names', 'A', 'clean_column_names', 0, 5), (5, 'string_quality', 'A', 'standardize_strings', 0, 7),
+(6, 'date_formats', 'A', 'fix_date_formats', 0, 8), (7, 'data_types', 'A', 'fix_numeric_strings', 0, 8), (8, 'sparse_columns', 'A', 'drop_sparse_columns', 15, 8),
+(9, 'constant_columns', 'A', 'drop_constant_columns', 0, 5), (10, 'high_correlation', 'A', 'drop_highly_correlated', 0, 5), (11, 'mixed_types', 'M', NULL, 0, 7),
+(12, 'email_format', 'A', 'validate_emails', 10, 5), (13, 'phone_format', 'A', 'validate_phones', 0, 5), (14, 'test_data', 'A', 'flag_test_data', 0, 5),
+(15, 'typos', 'A', 'auto_fix_typos', 0, 5), (16, 'pii', 'M', NULL, 10, 0)"""
+
+
 def audit_sql(table: str, numeric: list[str], texts: list[str], dates: list[str], emails: list[str], phones: list[str],
               pii: int, cast: dict[str, str] | None = None) -> str:
     """CTEs ``t``, ``totals(check_name, total)`` and ``summary`` for one table, from the checks' own SQL."""
@@ -303,8 +316,6 @@ def audit_sql(table: str, numeric: list[str], texts: list[str], dates: list[str]
         "pii": f"SELECT CAST({pii} AS BIGINT) AS total",
     }
     totals = union(f"SELECT '{check}' AS check_name, total FROM ({sql})" for check, sql in parts.items())
-    rules = ", ".join(f"({i}, '{c[0]}', '{c[2]}', {repr(c[3]) if c[3] else 'NULL'}, {c[4]}, {c[5]})"
-                      for i, c in enumerate(fixed.CHECKS))
     return with_table(table, f"""
 , totals AS ({totals})
 , summary AS (
@@ -318,7 +329,7 @@ def audit_sql(table: str, numeric: list[str], texts: list[str], dates: list[str]
       WHEN r.check_name = 'outliers' AND total >= 50 THEN 'HIGH'
       WHEN r.check_name IN ('sparse_columns', 'email_format', 'pii') THEN 'HIGH'
       ELSE 'MEDIUM' END AS severity
-    FROM (VALUES {rules}) r(position, check_name, category, fix_key, high, medium)
+    FROM (VALUES {RULES}) r(position, check_name, category, fix_key, high, medium)
     JOIN totals USING (check_name), (SELECT count(*) AS n, count(*) * {len(columns)} AS cells FROM t)))""")
 
 
@@ -398,9 +409,12 @@ def _(spark, d):
     return rounded(score.insights(audit.findings, audit.columns).withColumnRenamed("column", "column_name"))
 
 
-@query("null_impact", "SELECT column_name, impact FROM (VALUES " + ", ".join(
-    f"('{c}', '{a}')" for c, a in [("phone", "contact"), ("email", "email"), ("c_name", "identity")])
-    + ") v(column_name, impact) WHERE (SELECT count(*) FROM customer) > 0")
+@query("null_impact", with_table("customer_messy", """
+SELECT column_name, CASE WHEN regexp_matches(column_name, 'phone|mobile|tel') THEN 'contact' WHEN regexp_matches(column_name, 'mail') THEN 'email'
+  WHEN regexp_matches(column_name, 'price|revenue|amount|sales|cost') THEN 'finance' WHEN regexp_matches(column_name, 'date|time|created|updated') THEN 'time'
+  WHEN regexp_matches(column_name, 'name|customer|client|user') THEN 'identity'
+  WHEN regexp_matches(column_name, 'age|gender|region|city|country') THEN 'demography' ELSE 'other' END AS impact FROM (""" + union(
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls FROM t" for c in columns_of("customer_messy")) + ") WHERE nulls > 0"))
 def _(spark, d):
     gaps = per_column(frame(spark, d, "customer_messy"), None, ["nulls"]).where("nulls > 0")
     return gaps.select(F.col("column").alias("column_name"), score.impact_class(F.col("column")).alias("impact"))

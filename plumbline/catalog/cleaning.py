@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog.audit import AS_OF, EMAIL_OK, PHONE_OK, TEST_ROW, is_number, parsed_date
 from plumbline.catalog.profiling import JUNK, MASK_SQL
-from plumbline.catalog.registry import columns_of, frame, query, rounded, source, stamp, with_table
+from plumbline.catalog.registry import columns_of, frame, query, rounded, source, stamp, union, with_table
 from plumbline.operators import clean, privacy, similarity, validate
 from plumbline.plans import workflow
 
@@ -464,14 +464,21 @@ def _(spark, d):
     return workflow.apply_plan(df, PLAN, order_by="c_custkey").table
 
 
-@query("operations_log", """
-SELECT position, step, fix, status FROM (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS position,
-  unnest(['duplicates', 'nulls', 'string_quality', 'sparse_columns', 'email_format', 'test_data', 'typos']) AS step,
-  unnest(['remove_duplicates', 'smart_impute', 'standardize_strings', 'drop_sparse_columns', 'validate_emails', 'flag_test_data', 'auto_fix_typos']) AS fix,
-  'applied' AS status) WHERE (SELECT count(*) FROM customer) > 0""")
+# All fixes in the order in which they are applied; the log names the text columns of more than 50 values that no spelling is merged in.
+@query("operations_log", with_table("customer_messy", """
+, fixes(rank, step, fix) AS (VALUES (1, 'duplicates', 'remove_duplicates'), (2, 'empty_rows', 'drop_empty_rows'), (3, 'nulls', 'smart_impute'),
+  (4, 'outliers', 'handle_outliers'), (5, 'column_names', 'clean_column_names'), (6, 'string_quality', 'standardize_strings'),
+  (7, 'date_formats', 'fix_date_formats'), (8, 'data_types', 'fix_numeric_strings'), (9, 'sparse_columns', 'drop_sparse_columns'),
+  (10, 'constant_columns', 'drop_constant_columns'), (11, 'high_correlation', 'drop_highly_correlated'), (12, 'email_format', 'validate_emails'),
+  (13, 'phone_format', 'validate_phones'), (14, 'test_data', 'flag_test_data'), (15, 'typos', 'auto_fix_typos')),
+wide AS (SELECT string_agg(c, ', ' ORDER BY p) AS names FROM (""" + union(
+    f"SELECT '{c}' AS c, {i} AS p, count(DISTINCT {c}) AS n FROM t" for i, c in enumerate(("c_name", "c_mktsegment", "email", "phone", "note"))) + """) WHERE n > 50)
+SELECT row_number() OVER (ORDER BY rank) - 1 AS position, step, fix, 'applied' AS status,
+       CASE WHEN step = 'typos' THEN 'skipped columns of more than 50 values: ' || names END AS skipped
+FROM fixes, wide WHERE step IN (""" + ", ".join(f"'{s}'" for s in PLAN) + ")"))
 def _(spark, d):
     log = workflow.apply_plan(frame(spark, d, "customer_messy"), PLAN, order_by="c_custkey").operations
-    return log.select("position", "step", "fix", "status")
+    return log.select("position", "step", "fix", "status", F.when(F.col("step") == "typos", F.col("detail")).alias("skipped"))
 
 
 @query("skipped_fix", """

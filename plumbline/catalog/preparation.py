@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from plumbline.catalog.audit import parsed_date
 from plumbline.catalog.registry import frame, query, rounded, union, with_table
 from plumbline.operators import prep
@@ -33,6 +35,16 @@ def _(spark, d):
     return prep.encode_categoricals(frame(spark, d, "events_gaps").drop("value"), "onehot")
 
 
+@query("encode_sparse", """
+WITH v AS (SELECT DISTINCT 'c_mktsegment' AS c, c_mktsegment AS v FROM customer UNION SELECT DISTINCT 'c_name', c_name FROM customer),
+d AS (SELECT *, row_number() OVER (ORDER BY c, v) - 1 AS position FROM v)
+SELECT c_custkey, a.position AS first, b.position AS second FROM customer
+JOIN d a ON a.c = 'c_mktsegment' AND a.v = c_mktsegment JOIN d b ON b.c = 'c_name' AND b.v = c_name""")
+def _(spark, d):
+    encoded, _ = prep.sparse_one_hot(frame(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    return encoded.select("c_custkey", F.col("features")[0].alias("first"), F.col("features")[1].alias("second"))
+
+
 @query("encode_frequency", with_table("events_gaps", """
 SELECT event_id, round(n / CAST((SELECT count(event_type) FROM t) AS DOUBLE), 6) AS event_type
 FROM t LEFT JOIN (SELECT event_type AS k, count(*) AS n FROM t GROUP BY 1) ON k = event_type"""))

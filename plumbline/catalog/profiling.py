@@ -192,9 +192,12 @@ def _(spark, d):
     return profile.histogram(frame(spark, d, "events"), "value", 20, "event_type").select("group", "bin", "count")
 
 
-@query("violin_density", "SELECT \"group\", bin, round(count / CAST(sum(count) OVER (PARTITION BY \"group\") AS DOUBLE) / w, 6) AS density "
-       "FROM (" + histogram_sql("events", "value", 50, "event_type")
-       + "), (SELECT (max(value) - min(value)) / 50 AS w FROM events)")
+@query("violin_density", f"""
+WITH h AS ({histogram_sql("events", "value", 50, "event_type")}),
+g AS (SELECT event_type AS "group", n, greatest(1.06 * s * pow(n, -0.2), w / 2) AS band, w FROM (
+  SELECT event_type, count(value) AS n, stddev_samp(value) AS s FROM events GROUP BY 1), (SELECT (max(value) - min(value)) / 50 AS w FROM events))
+SELECT h."group", b.bin, round(sum(h.count * exp(-pow((b.bin - h.bin) * w / band, 2) / 2)) / (any_value(n) * any_value(band) * sqrt(2 * pi())), 6) AS density
+FROM h JOIN g USING ("group"), (SELECT unnest(range(50)) AS bin) b GROUP BY 1, 2""")
 def _(spark, d):
     out = profile.density(frame(spark, d, "events"), "value", "event_type")
     return rounded(out.select("group", "bin", "density"), 6)

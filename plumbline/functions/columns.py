@@ -15,6 +15,13 @@ def name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def unused(columns: Iterable[str], wanted: str) -> str:
+    """``wanted``, or a longer name if there is a column of that name."""
+    while wanted in columns:
+        wanted += "_"
+    return wanted
+
+
 def _of_type(df: DataFrame, *kinds: type) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 

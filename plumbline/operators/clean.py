@@ -40,8 +40,8 @@ _NUMBER = "_row_number"
 
 
 def _content(df: DataFrame) -> list[Column]:
-    """The row's cells as something that can be compared: maps cannot."""
-    return [F.to_json(F.struct(name(c))).alias(c) if isinstance(type_of(df, c), T.MapType) else name(c) for c in df.columns]
+    """The row's cells as something that can be compared: maps cannot, wherever they are nested."""
+    return [F.to_json(F.struct(name(c))).alias(c) if "map<" in type_of(df, c).simpleString() else name(c) for c in df.columns]
 
 
 def _grouped(df: DataFrame, subset: Sequence[str], order_by, keep: str | bool) -> DataFrame:

@@ -117,16 +117,25 @@ def _replace(df: DataFrame, rows: DataFrame, values: dict[str, Column]) -> DataF
 
 def running_counts(values: DataFrame, alias: str = "before") -> DataFrame:
     """For a table ``(column, value, n)`` with one row per distinct value: the rows of the same
-    column that come before each value. All columns are ordered in one range partitioning."""
+    column that come before each value. All columns are ordered in one range partitioning.
+
+    A column is one run of rows, so only the one that a slice begins with goes on from the slice before: one
+    row per slice carries its first and last column and what the last one has so far, however many columns there are.
+    """
     ranged = materialize(values.repartitionByRange("column", "value").withColumn(_SLICE, F.spark_partition_id()), "slices")
-    # One row per slice and column: a prefix sum over a table that small is a plain window.
-    parts = ranged.groupBy("column", _SLICE).agg(F.sum("n").alias("_size"))
-    before = Window.partitionBy("column").orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("column", _SLICE, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias(_OFFSET))
-    inside = Window.partitionBy("column", _SLICE).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return (ranged.join(F.broadcast(offsets), ["column", _SLICE])
-            .withColumn(alias, F.col(_OFFSET) + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .drop(_SLICE, _OFFSET))
+    parts = ranged.groupBy(_SLICE, "column").agg(F.sum("n").alias("_size"))
+    ends = materialize(parts.groupBy(_SLICE).agg(
+        F.min("column").alias("_first"), F.max("column").alias("_last"), F.max_by("_size", "column").alias("_size")), "slice-ends")
+    run = Window.partitionBy("_last").orderBy(_SLICE)
+    previous = Window.orderBy(_SLICE)
+    carried = (ends.withColumn("_upto", F.sum("_size").over(run))
+               .select(_SLICE, "_first", F.lag("_last").over(previous).alias("_ended"), F.lag("_upto").over(previous).alias("_upto"))
+               .select(_SLICE, "_first", F.when(F.col("_ended").eqNullSafe(F.col("_first")), F.col("_upto")).otherwise(0).alias(_OFFSET)))
+    inside = Window.partitionBy(_SLICE, "column").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    here = F.when(F.col("column").eqNullSafe(F.col("_first")), F.col(_OFFSET)).otherwise(0)
+    return (ranged.join(F.broadcast(carried), _SLICE)  # one row per slice
+            .withColumn(alias, here + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+            .drop(_SLICE, "_first", _OFFSET))
 
 
 def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed, text
-from plumbline.functions.columns import columns_named, name, numeric_columns, string_columns, type_of
+from plumbline.functions.columns import columns_named, name, numeric_columns, string_columns, type_of, unused
 from plumbline.operators.clean import text_number_columns
 from plumbline.operators.metrics import per_column
-from plumbline.operators.ordering import dense_index
+from plumbline.operators.ordering import dense_index, global_index
 from plumbline.operators.profile import distinct_counts
 from plumbline.operators.quantiles import quantiles
 from plumbline.operators.similarity import value_counts
-from plumbline.session import local_table
+from plumbline.session import local_table, materialize
 
 
 
@@ -42,12 +42,10 @@ def _lookup(df: DataFrame, column: str, table: DataFrame, value: str, alias: str
     The dictionary's size follows the data, so nothing is forced: AQE broadcasts it when
     it turns out small and splits a hot value's rows when it does not.
     """
-    table = table.select(name(column).alias("_key"), name(value).alias("_found"))
-    joined = df.join(table, name(column) == F.col("_key"), "left").drop("_key")
-    if alias in df.columns:
-        joined = joined.drop(name(alias))
-    return joined.withColumnRenamed("_found", alias).select(
-        *[name(c) for c in df.columns], *([] if alias in df.columns else [name(alias)]))
+    key, found = unused(df.columns, "_key"), unused(df.columns, "_found")
+    joined = df.join(table.select(name(column).alias(key), name(value).alias(found)), name(column) == F.col(key), "left")
+    return joined.select(*[F.col(found).alias(c) if c == alias else name(c) for c in df.columns],
+                         *([] if alias in df.columns else [F.col(found).alias(alias)]))
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
@@ -81,6 +79,26 @@ def encode_categoricals(df: DataFrame, method: str = "label", columns: Sequence[
     raise ValueError(f"unknown method {method!r}")
 
 
+def sparse_one_hot(df: DataFrame, columns: Sequence[str] | None = None, alias: str = "features") -> tuple[DataFrame, DataFrame]:
+    """The table with ``alias``, the sorted positions that are one, in place of ``columns``; and the dictionary.
+
+    The dictionary ``(column, value, position)`` numbers all values of all columns from 0, by column and value, as the
+    wide form orders them. It stays a table: any number of values costs one join per column. Null has no position.
+    """
+    columns = string_columns(df) if columns is None else list(columns)
+    counted = value_counts(df, columns).select("column", "value")
+    dictionary = materialize(global_index(counted, ["column", "value"], "position"), "dictionary")
+    places = []
+    out = df
+    for c in columns:
+        places.append(unused(out.columns, "_position"))
+        text = unused(out.columns, "_text")
+        own = dictionary.where(F.col("column") == c).select("value", "position")
+        out = _lookup(out.withColumn(text, name(c).cast("string")), text, own.withColumnRenamed("value", text), "position", places[-1]).drop(text)
+    kept = [name(c) for c in df.columns if c not in columns and c != alias]
+    return out.select(*kept, F.array_sort(F.array_compact(F.array(*[F.col(p) for p in places]).cast("array<bigint>"))).alias(alias)), dictionary
+
+
 def _one_hot(df: DataFrame, columns: Sequence[str], limit: int | None) -> DataFrame:
     counted = value_counts(df, columns).select("column", "value")
     if limit is not None:

@@ -6,6 +6,7 @@ result; chart-sized outputs (top N, bins, buckets) are features, not caps on inp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +19,9 @@ from plumbline.functions.columns import (
 from plumbline.operators import checks
 from plumbline.operators.clean import impute_choices
 from plumbline.operators.metrics import per_column, text_profile
-from plumbline.operators.quantiles import grouped_quantiles, quantiles
+from plumbline.operators.quantiles import grouped_quantiles, picked_quantiles, quantiles, ranked_values
 from plumbline.operators.similarity import value_counts
-from plumbline.session import local_table
+from plumbline.session import local_table, materialize
 
 
 def _pct(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -62,8 +63,13 @@ def fill_candidates(df: DataFrame, n: int = 6) -> DataFrame:
 
 def sample_values(df: DataFrame, column: str, n: int = 8, seed: int = 42) -> DataFrame:
     """A repeatable sample: the ``n`` distinct non-null values with the smallest seeded hash."""
-    values = df.select(name(column).alias("value")).where("value is not null").distinct()
-    return values.orderBy(F.xxhash64("value", F.lit(seed)), "value").limit(n)
+    cells = df.select(name(column).alias("value")).where("value is not null").withColumn("_hash", F.xxhash64("value", F.lit(seed)))
+    # The hashes of so many distinct values lie below a bound; only those cells are shuffled. Rarely that is too few.
+    some = df.agg(F.approx_count_distinct(name(column))).first()[0]
+    below = min(1.0, (8 * n + 64) / max(some, 1))
+    few = materialize(cells.where(F.col("_hash") <= int((below * 2 - 1) * ((1 << 63) - 1))).distinct(), "smallest") if below < 1 else cells.distinct()
+    found = few if below == 1 or few.limit(n).count() == n else cells.distinct()
+    return found.orderBy("_hash", "value").limit(n).select("value")
 
 
 def pie_shares(df: DataFrame, column: str, n: int = 12) -> DataFrame:
@@ -242,13 +248,29 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
 
 
 def density(df: DataFrame, column: str, by: str | None = None, grid: int = 50) -> DataFrame:
-    """Shape of the distribution per group: the share of the group in each bin, per unit width."""
+    """Shape of the distribution per group: a Gaussian kernel laid over the counts of ``grid`` equal bins.
+
+    Each value counts at the middle of its bin. The bandwidth is ``1.06 * std * n ** -0.2`` of the group's values, at least
+    half a bin; the density is told at the middle of every bin of the whole range.
+    """
     binned = histogram(df, column, grid, by)
     groups = ["group"] if by else []
-    # Summed over at most ``grid`` bins a group.
-    total = F.sum("count").over(Window.partitionBy(*groups, F.lit(1)))
-    return binned.select(*groups, "bin", "low", "high",
-                         (F.col("count") / total / (F.col("high") - F.col("low"))).alias("density"))
+    key, v = [name(by).alias("group")] if by else [F.lit(1).alias("one")], name(column).cast("double")
+    spread = df.where(name(column).isNotNull()).groupBy(*key).agg(F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("_std"))
+    # At most ``grid`` bins meet in a group.
+    held = binned.groupBy(*groups or [F.lit(1).alias("one")]).agg(
+        F.sum("count").alias("_n"), F.collect_list(F.struct(((F.col("low") + F.col("high")) / 2).alias("at"), F.col("count").cast("double").alias("n"))).alias("_bins"),
+        F.min("low").alias("_some"), F.min("bin").alias("_bin"), F.max(F.col("high") - F.col("low")).alias("_width"))
+    width, origin = F.col("_width"), F.col("_some") - F.col("_bin") * F.col("_width")
+    band = F.greatest(F.lit(1.06) * F.col("_std") * F.pow(F.col("_n"), F.lit(-0.2)), width / 2)
+    on = F.col("h.group").eqNullSafe(F.col("s.group")) if by else F.col("h.one") == F.col("s.one")
+    both = held.alias("h").join(spread.alias("s"), on).select(
+        *[F.col(f"h.{c}") for c in groups], "_bins", "_n", "_width", "_some", "_bin", band.alias("_band"))
+    rows = both.select(*groups, "_bins", "_n", "_band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid - 1).cast("bigint"))).alias("bin"), origin.alias("_origin"), "_width")
+    rows = rows.withColumns({"low": F.col("_origin") + F.col("bin") * F.col("_width"), "high": F.col("_origin") + (F.col("bin") + 1) * F.col("_width")})
+    middle = (F.col("low") + F.col("high")) / 2
+    heap = F.aggregate("_bins", F.lit(0.0), lambda total, b: total + b["n"] * F.exp(-F.pow((middle - b["at"]) / F.col("_band"), F.lit(2.0)) / 2))
+    return rows.select(*groups, "bin", "low", "high", (heap / (F.col("_n") * F.col("_band") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def group_aggregate(df: DataFrame, x: str, y: str | None = None, fn: str = "count", n: int = 15) -> DataFrame:
@@ -272,16 +294,22 @@ def two_way_counts(df: DataFrame, a: str, b: str, n: int = 15) -> DataFrame:
 
 
 def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
-    """Min, quartiles, max, mean, std, and whiskers: the extreme values inside the 1.5 IQR fences."""
+    """Min, quartiles, max, mean, std, and whiskers: the extreme values inside the 1.5 IQR fences.
+
+    Everything comes from the distinct values of each group and their counts.
+    """
     key = name(by).cast("string") if by else F.lit("all")
-    rows = df.select(key.alias("group"), name(column).cast("double").alias("v")).where("v is not null and `group` is not null")
-    q = grouped_quantiles(rows, ["group"], "v", [0.25, 0.5, 0.75])
-    spread = 1.5 * (F.col("q2") - F.col("q0"))
-    inside = F.when(F.col("v").between(F.col("q0") - spread, F.col("q2") + spread), F.col("v"))
-    return rows.join(q, "group").groupBy("group", "q0", "q1", "q2").agg(
-        F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev("v").alias("std"),
+    cells = df.select(key.alias("column"), name(column).cast("double").alias("value")).where("value is not null and `column` is not null")
+    values = ranked_values(cells)
+    means = values.groupBy("column").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+    told = materialize(picked_quantiles(values, [0.25, 0.5, 0.75]).join(means, "column"), "quartiles")
+    v, n, spread = F.col("value"), F.col("n"), 1.5 * (F.col("q2") - F.col("q0"))
+    inside = F.when(v.between(F.col("q0") - spread, F.col("q2") + spread), v)
+    return values.join(told, "column").groupBy(F.col("column").alias("group"), "q0", "q1", "q2", "mean").agg(
+        F.min("value").alias("min"), F.max("value").alias("max"),
+        F.sqrt(F.sum(n * F.pow(v - F.col("mean"), F.lit(2))) / F.nullif(F.sum("n") - 1, F.lit(0))).alias("std"),
         F.min(inside).alias("low_whisker"), F.max(inside).alias("high_whisker"),
-        F.count_if(F.col("v").isNotNull() & inside.isNull()).alias("outliers")).select(
+        F.coalesce(F.sum(F.when(inside.isNull(), n)), F.lit(0)).alias("outliers")).select(
         "group", "min", "low_whisker", F.col("q0").alias("q1"), F.col("q1").alias("median"),
         F.col("q2").alias("q3"), "high_whisker", "max", "mean", "std", "outliers")
 
@@ -303,9 +331,12 @@ def trend(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def scatter_points(df: DataFrame, x: str, y: str, n: int = 1000, seed: int = 42) -> DataFrame:
-    """A repeatable sample of points to draw; the trend line uses all rows."""
-    rows = df.where(name(x).isNotNull() & name(y).isNotNull()).select(name(x), name(y))
-    return rows.orderBy(F.xxhash64(name(x), name(y), F.lit(seed)), name(x), name(y)).limit(n)
+    """A sample of points to draw, the same for one layout of the table; the trend line uses all rows.
+
+    Every row has a hash of its own, so points that repeat are drawn as often as they occur.
+    """
+    rows = df.where(name(x).isNotNull() & name(y).isNotNull()).select(name(x), name(y), F.monotonically_increasing_id().alias("_row"))
+    return rows.orderBy(F.xxhash64("_row", F.lit(seed)), "_row").limit(n).drop("_row")
 
 
 # -- rows -------------------------------------------------------------------------

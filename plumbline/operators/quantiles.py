@@ -36,11 +36,18 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     return _ranked(cells, probs).select("column.*", *[f"q{i}" for i in range(len(probs))])
 
 
-def _ranked(cells: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """``column, q0, q1, ...`` of ``(column, value)`` cells; nulls do not count."""
+def ranked_values(cells: DataFrame) -> DataFrame:
+    """``column, value, n, before, until``: each distinct value with its rows and those up to it; nulls do not count."""
     counts = cells.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_counts(counts)
-    ends = materialize(placed.withColumn("until", F.col("before") + F.col("n")), "ranks")
+    return materialize(running_counts(counts).withColumn("until", F.col("before") + F.col("n")), "ranks")
+
+
+def _ranked(cells: DataFrame, probs: Sequence[float]) -> DataFrame:
+    return picked_quantiles(ranked_values(cells), probs)
+
+
+def picked_quantiles(ends: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """``column, q0, q1, ...`` of ranked values."""
     totals = ends.groupBy("column").agg(F.max("until").alias("total"))
     picked = []
     for i, p in enumerate(probs):

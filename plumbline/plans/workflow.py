@@ -44,14 +44,16 @@ def _fixes(skew_threshold: float, corr_threshold: float, order_by) -> dict[str,
         "email_format": validate.validate_emails,
         "phone_format": validate.validate_phones,
         "test_data": validate.flag_test_data,
-        "typos": partial(similarity.fix_typos, limit=PLAN_TYPO_VALUES),
     }
 
 
 def apply_plan(df: DataFrame, approved: Iterable[str], skew_threshold: float = 1.0, corr_threshold: float = 0.95,
-               order_by=None, order: Sequence[str] = fixed.FIX_ORDER) -> Cleaned:
+               order_by=None, order: Sequence[str] = fixed.FIX_ORDER, typo_limit: int | None = PLAN_TYPO_VALUES) -> Cleaned:
     """Apply the approved fixes in their fixed order.
 
+    Spellings are merged in columns of at most ``typo_limit`` distinct values (none: in all); the log names
+    the columns that were left out for that.
+
     Gaps are filled before the sparse check, so a sparse column only goes when filling is
     not approved. Removing duplicates is the one fix that shuffles the table; its result
     is written once, so the statistics of the later fixes scan that table and do not
@@ -68,13 +70,18 @@ def apply_plan(df: DataFrame, approved: Iterable[str], skew_threshold: float = 1
             continue
         fix = fixed_name(step)
         try:
-            before = df.columns
-            df = fixes[step](df)
+            before, left_out = df.columns, []
+            if step == "typos":
+                df, left_out = similarity.fix_typos_within(df, typo_limit)
+            else:
+                df = fixes[step](df)
             if step == "duplicates":
                 df = materialize(df, "deduplicated")
             gone = [c for c in before if c not in df.columns]
             new = [c for c in df.columns if c not in before]
-            log.append((len(log), step, fix, "applied", f"columns dropped {gone}, added {new}" if gone or new else ""))
+            notes = [f"columns dropped {gone}, added {new}"] * bool(gone or new)
+            notes += [f"skipped columns of more than {typo_limit} values: {', '.join(left_out)}"] * bool(left_out)
+            log.append((len(log), step, fix, "applied", "; ".join(notes)))
         except (ValueError, AnalysisException) as problem:
             log.append((len(log), step, fix, "failed", str(problem)))
     return Cleaned(df, local_table(df.sparkSession, log, OPERATIONS))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import fixed
-from plumbline.functions.columns import name, normalise
+from plumbline.functions.columns import name, normalise, unused
 from plumbline.session import materialize
 
 
@@ -34,12 +34,6 @@ class Loaded:
     rejects: DataFrame
 
 
-def _unused(columns: Sequence[str], wanted: str) -> str:
-    while wanted in columns:
-        wanted += "_"
-    return wanted
-
-
 def _fails(broken: Column, message: Column, columns: Sequence[str]) -> Column:
     """A row condition that is true or an error. It names a column, as a reader cannot give the broken record alone."""
     shown = F.coalesce(name(columns[0]).cast("string"), F.lit("")) if columns else F.lit("")
@@ -52,7 +46,7 @@ def _csv_cells(spark: SparkSession, path: str, multi_line: bool, options: dict)
     settings = {"header": True, "multiLine": multi_line, "escape": '"', "ignoreLeadingWhiteSpace": False,
                 "ignoreTrailingWhiteSpace": False, "nullValue": _NO_CELL, "emptyValue": "", **options}
     header = spark.read.options(**settings).csv(path).columns
-    record = _unused(header, "_record")
+    record = unused(header, "_record")
     struct = T.StructType([T.StructField(c, T.StringType()) for c in [*header, record]])
     # Without pruning a record's cells are counted whichever columns are asked for.
     cells = spark.read.options(**settings, columnNameOfCorruptRecord=record, mode="PERMISSIVE", columnPruning=False).schema(struct).csv(path)
@@ -116,7 +110,7 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     clean = _without_markers(cells, na_values, [record])
     typed = [f for f in struct or () if not isinstance(f.dataType, T.StringType)]
     unfit = F.array_compact(F.array(*[F.when(name(f.name).isNotNull() & name(f.name).try_cast(f.dataType).isNull(), F.lit(f.name)) for f in typed])) if typed else F.array().cast("array<string>")
-    why, whole = _unused(cells.columns, "_reason"), F.coalesce(name(record), F.to_csv(F.struct(*map(name, header))))
+    why, whole = unused(cells.columns, "_reason"), F.coalesce(name(record), F.to_csv(F.struct(*map(name, header))))
     reason = F.when(too_long, F.lit("cells")).when(F.size(unfit) > 0, F.concat(F.lit("type of "), F.array_join(unfit, ", ")))
     parsed = materialize(clean.withColumns({why: reason, record: F.when(reason.isNotNull(), whole)}), "loaded")
     good = parsed.where(name(why).isNull()).select(*map(name, header))
@@ -155,7 +149,7 @@ def _json_records(spark: SparkSession, path: str, schema: T.StructType | str | N
     if struct is None:
         struct = spark.read.options(**settings, columnNameOfCorruptRecord="_record").json(path).schema
         struct = T.StructType([f for f in struct if f.name != "_record"])
-    record = _unused(struct.names, "_record")
+    record = unused(struct.names, "_record")
     read = spark.read.options(**settings, columnNameOfCorruptRecord=record)
     return read.schema(T.StructType([*struct, T.StructField(record, T.StringType())])).json(path), record
 

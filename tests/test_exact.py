@@ -146,6 +146,30 @@ def test_similar_pairs_miss_nothing(spark, threshold, prefix):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold, shared, edits", [(40, 3, 8), (80, 1, 8), (80, 2, 1), (94, 1, 8)])
+def test_similar_pairs_of_shared_segments(spark, monkeypatch, threshold, shared, edits):
+    """Values made of few letters around one name: nearly every segment is shared, at several levels."""
+    monkeypatch.setattr(similarity, "SHARED", shared)
+    monkeypatch.setattr(similarity, "SEGMENT_EDITS", edits)
+    rng = np.random.default_rng(threshold + shared)
+    words = sorted({"".join(rng.choice(list("ab"), rng.integers(0, 3))) + rng.choice(["", "CommonName#"]) + "".join(rng.choice(list("01"), rng.integers(1, 9)))
+                    for _ in range(90)})
+    df = spark.createDataFrame([(c, w) for c in "cd" for w in words[::1 if c == "c" else 2]], "column string, value string")
+    got = sorted((r["column"], r["value_a"], r["value_b"]) for r in similarity.similar_pairs(df, threshold).collect())
+    want = sorted((c, a, b) for c, some in (("c", words), ("d", words[::2])) for a, b in itertools.combinations(some, 2)
+                  if 100 * (1 - lev(a, b) / max(len(a), len(b))) >= threshold - 1e-9)
+    assert got == want and want
+
+
+def test_candidates_do_not_grow_with_the_names(spark):
+    """Joined rows per name stay as they are while the names become forty times as many."""
+    rows = {}
+    for n in (1_500, 60_000):
+        names = spark.range(1, n + 1).select(F.lit("c").alias("column"), F.format_string("Customer#%09d", "id").alias("value"))
+        rows[n] = similarity.candidates(similarity.named_values(names, 94), 94).count() / n
+    assert rows[60_000] <= 2 * rows[1_500] and rows[60_000] < 250
+
+
 def test_typos_merge_into_the_frequent_spelling(spark):
     values = ["Alexandria"] * 20 + ["Alexandrja"] * 2 + ["Montevideo"] * 10 + ["Montevidea"] * 9 + ["Cairo"] * 5 + ["Cairo 2"] * 1
     df = spark.createDataFrame([(v,) for v in values], "city string")
