@@ -24,8 +24,9 @@ from plumbline.llm import exact_dedup, language, packing, secret_scan, simhash
 from plumbline.llm.common import stored, unused  # noqa: E402
 
 TOKENIZER = "word_bpe_49k.json"
-#: A text of at least so many characters whose phrases are this short on average is in no learnt language.
-FOREIGN_CHARS, FOREIGN_RATE = 100, 0.7
+#: A text with more phrases than this for its length is in no learnt language: so many a character, and so many besides, as
+#: few characters tell little. Fewer than ten can never exceed it.
+FOREIGN_RATE, FOREIGN_BESIDES = 0.7, 3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs, ~language.held_out())
     found = unused(docs, "_language")
     told = language.with_language(docs, model, alias=found)
-    foreign = (F.length("text") >= FOREIGN_CHARS) & (F.col(found)["phrase_rate"] >= FOREIGN_RATE)
+    foreign = F.col(found)["phrase_rate"] >= FOREIGN_RATE + FOREIGN_BESIDES / F.length("text")
     return told.where((F.col(found)["lang_pred"] != language.NONE) & ~foreign).drop(found)
 
 
