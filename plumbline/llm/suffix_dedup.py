@@ -437,7 +437,9 @@ def _reached_large(texts: DataFrame, wanted: DataFrame, length: int, large: int)
     # One row for each kind and task goes to the join, whatever the number of its suffixes.
     packs = (here.select("kind", F.spark_partition_id().alias("task"), "owner", "at")
              .groupBy("kind", "task").agg(F.collect_list(F.struct("owner", "at")).alias("suffixes")))
-    return packs.join(far, "kind").select("back", "forth", F.explode("suffixes").alias("s")).select(
+    # Packs of one kind may be a third of all: they are spread before they are opened.
+    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packs.join(far, "kind").select("back", "forth", "suffixes").repartition(buckets).select("back", "forth", F.explode("suffixes").alias("s")).select(
         "s.owner", (F.col("s.at") + F.col("back")).alias("begin"), (F.col("s.at") + F.col("forth")).alias("end"))
 
 
