@@ -43,6 +43,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 SHALLOW, CHARACTER = 64, 8   # bytes up to which multikey quicksort goes, and its character
 LARGE = 2_000          # suffixes of a unit beyond which it is dealt out anew
 STEPS = (64, 8, 1)     # offsets that share a unit then
+PACKS = 8              # rows in which a task sends the suffixes of one kind
 TEXTS_AT_ONCE = 2 << 20
 SEEN = 1_000_000       # texts a task remembers to drop copies early
 
@@ -434,9 +435,9 @@ def _reached_large(texts: DataFrame, wanted: DataFrame, length: int, large: int)
     for more in found[1:]:
         told = told.unionByName(more)
     far = stored(told.groupBy("kind").agg(F.min("begin").alias("back"), F.max("end").alias("forth")), "far")
-    # One row for each kind and task goes to the join, whatever the number of its suffixes.
-    packs = (here.select("kind", F.spark_partition_id().alias("task"), "owner", "at")
-             .groupBy("kind", "task").agg(F.collect_list(F.struct("owner", "at")).alias("suffixes")))
+    # A few rows for each kind and task go to the join, whatever the number of its suffixes.
+    packs = (here.select("kind", F.spark_partition_id().alias("task"), F.pmod(F.xxhash64("owner"), F.lit(PACKS)).alias("pack"), "owner", "at")
+             .groupBy("kind", "task", "pack").agg(F.collect_list(F.struct("owner", "at")).alias("suffixes")))
     # Packs of one kind may be a third of all: they are spread before they are opened.
     buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return packs.join(far, "kind").select("back", "forth", "suffixes").repartition(buckets).select("back", "forth", F.explode("suffixes").alias("s")).select(

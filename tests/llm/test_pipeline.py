@@ -114,3 +114,13 @@ def test_a_rare_label_drops_no_document(spark):
     docs = docs.unionByName(spark.createDataFrame([(free, "ok", "xx", "s", 2)], COLUMNS))
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
     assert kept == {r.doc_id for r in docs.collect() if r.text and language.LETTER.search(r.text)}
+
+
+def test_foreign_texts_go_by_their_length(spark):
+    """What is unlike any learnt language goes once it is long enough to tell, and clean short texts stay."""
+    clean = ["And of the thing there.", "the end", "ok", "of the other thing and the end of it"]
+    foreign = {"漢字": True, "漢字" * 2: True, "漢字" * 8: False, "漢字" * 200: False}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame(
+        [(20_000 + i, t, None, "s", len(t)) for i, t in enumerate([*clean, *foreign])], COLUMNS))
+    kept = {r.text for r in corpus_pipeline.language_id(spark, docs, SF).where("doc_id >= 20000").collect()}
+    assert kept == {*clean, *(t for t, stays in foreign.items() if stays)}
