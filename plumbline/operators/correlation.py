@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import name, numeric_columns
+from plumbline.functions.columns import name, numeric_columns, unused
 from plumbline.operators.metrics import per_column
 from plumbline.operators.ordering import average_ranks, running_counts
 from plumbline.session import local_table, materialize
@@ -60,15 +60,22 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None, metrics:
     return _pair_correlations(df, columns, {c: stats[c]["mean"] for c in columns}, {c: stats[c]["std_pop"] for c in columns})
 
 
+def _ranked_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` without nulls, every cell replaced by its average rank.
+
+    All cells fetch their rank in one join and are folded back by row, so the exchanges do not grow with the columns.
+    """
+    row = unused(columns, "_row")
+    numbers = materialize(df.select(*[name(c).cast("double").alias(c) for c in columns], F.monotonically_increasing_id().alias(row)), "numbers")
+    ranks = materialize(average_ranks(numbers, columns), "ranks")
+    cells = numbers.select(name(row).alias("row"), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), name(c).alias("value")) for c in columns])))
+    return cells.join(ranks, ["column", "value"]).groupBy("row").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in columns])
+
+
 def _rank_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson on average ranks of columns without nulls; ranks have a known centre and range."""
-    numbers = df.select(*[name(c).cast("double").alias(c) for c in columns])
-    n = numbers.count()
-    ranks = materialize(average_ranks(numbers, columns), "ranks")
-    for c in columns:
-        of_column = ranks.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("rank").alias("_rank"))
-        numbers = numbers.join(of_column, name(c) == F.col("_value")).withColumn(c, F.col("_rank")).drop("_value", "_rank")
-    return _pair_correlations(numbers, columns, {c: (n + 1) / 2 for c in columns}, {c: float(n) for c in columns})
+    n = df.count()
+    return _pair_correlations(_ranked_rows(df, columns), columns, {c: (n + 1) / 2 for c in columns}, {c: float(n) for c in columns})
 
 
 def _points(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

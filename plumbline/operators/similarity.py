@@ -25,7 +25,8 @@ from plumbline.operators.metrics import distinct_estimates
 from plumbline.session import local_table, materialize
 
 SEGMENT_EDITS = 8  # up to which values are cut into segments
-SHARED = 16        # values that share what has been joined; beyond, the rest is joined, too
+SHARED = 16        # values that share what has been joined; beyond, the rest is joined, too,
+ENOUGH = 200_000   # unless all that these would join at once is no more than this
 AUDIT_LIMIT = 200  # distinct values per column that a whole audit compares; it names the columns it skips
 
 
@@ -118,12 +119,14 @@ def _by_segments(named: DataFrame, by: Sequence[str], threshold: float) -> DataF
         indexed = materialize(_indexed(indexed), "segments")
         # All values of a key have as much left, and may differ in as many places.
         sizes = materialize(indexed.groupBy("key").agg(
-            ((F.count(F.lit(1)) > SHARED) & (F.min(F.length("rest")) > F.min("d"))).alias("shared")), "segment-sizes")
-        probing = materialize(_probing(probing).join(sizes, "key"), "places")
+            F.count(F.lit(1)).alias("n"), ((F.count(F.lit(1)) > SHARED) & (F.min(F.length("rest")) > F.min("d"))).alias("shared")), "segment-sizes")
+        more = (sizes.where("shared").agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) > ENOUGH
+        sizes = sizes.select("key", (F.col("shared") & F.lit(more)).alias("shared"))
+        probing = materialize(_probing(probing).join(sizes, "key"), "places") if more else _probing(probing).join(sizes, "key")
         met = indexed.join(sizes.where("not shared"), "key").select("key", F.col("id").alias("id_a")).join(
             probing.where("not shared").select("key", F.col("id").alias("id_b")), "key")
         found.append(met.where("id_a <> id_b").select("id_a", "id_b"))
-        if sizes.where("shared").isEmpty():
+        if not more:
             return reduce(DataFrame.unionAll, found)
         indexed = indexed.join(sizes.where("shared").select("key"), "key", "left_semi")
         probing = probing.where("shared").drop("shared")

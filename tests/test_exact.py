@@ -150,6 +150,7 @@ def test_similar_pairs_miss_nothing(spark, threshold, prefix):
 def test_similar_pairs_of_shared_segments(spark, monkeypatch, threshold, shared, edits):
     """Values made of few letters around one name: nearly every segment is shared, at several levels."""
     monkeypatch.setattr(similarity, "SHARED", shared)
+    monkeypatch.setattr(similarity, "ENOUGH", 50 * shared)
     monkeypatch.setattr(similarity, "SEGMENT_EDITS", edits)
     rng = np.random.default_rng(threshold + shared)
     words = sorted({"".join(rng.choice(list("ab"), rng.integers(0, 3))) + rng.choice(["", "CommonName#"]) + "".join(rng.choice(list("01"), rng.integers(1, 9)))

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import clean, prep, profile
+from plumbline.operators import clean, correlation, prep, profile
 from plumbline.operators.ordering import running_counts
 from plumbline.operators.quantiles import grouped_quantiles
 from plumbline.plans import workflow
@@ -130,3 +130,14 @@ def test_sparse_one_hot_of_many_values(spark):
     df = spark.range(200_000).select("id", F.concat(F.lit("v"), F.col("id")).alias("c"))
     encoded, dictionary = prep.sparse_one_hot(df, ["c"])
     assert dictionary.count() == 200_000 and encoded.agg(F.countDistinct(F.col("features")[0])).first()[0] == 200_000
+
+
+def test_spearman_exchanges_do_not_grow_with_the_columns(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({f"c{i}": rng.integers(0, 5 + 40 * i, 400) for i in range(7)}).rename(columns={"c6": "_row"})
+    df = spark.createDataFrame(pdf)
+    plans = [correlation._ranked_rows(df, list(pdf.columns[:k]))._jdf.queryExecution().executedPlan().toString() for k in (3, 7)]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange") <= 4
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in correlation.spearman_pairs(df).collect()}
+    want = pdf.corr("spearman")
+    assert len(got) == 21 and all(abs(want.loc[a, b] - r) < 1e-9 for (a, b), r in got.items())
