@@ -43,7 +43,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 SHALLOW, CHARACTER = 64, 8   # bytes up to which multikey quicksort goes, and its character
 LARGE = 2_000          # suffixes of a unit beyond which it is dealt out anew
 STEPS = (64, 8, 1)     # offsets that share a unit then
-PACKS = 8              # rows in which a task sends the suffixes of one kind
+PACKS = 64             # rows at most in which a task sends the suffixes of one kind
 TEXTS_AT_ONCE = 2 << 20
 SEEN = 1_000_000       # texts a task remembers to drop copies early
 
