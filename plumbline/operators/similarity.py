@@ -176,7 +176,11 @@ def similar_pairs(values: DataFrame, threshold: float, by: Sequence[str] = ("col
     if threshold <= 0:
         raise ValueError("every pair is similar at a threshold of 0")
     named = named_values(values, threshold, by)
-    met = candidates(named, threshold, by).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    # Pairs are small and their distances dear: a fixed number of partitions, which are not drawn together, keeps all cores at it.
+    spark = values.sparkSession
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = (candidates(named, threshold, by).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+           .repartition(spread, "id_a", "id_b").distinct())
     texts = named.select(*by, "id", "value")
     both = (met.join(texts.select(*by, F.col("id").alias("id_a"), F.col("value").alias("x")), "id_a")
             .join(texts.select(F.col("id").alias("id_b"), F.col("value").alias("y")), "id_b"))
