@@ -141,3 +141,15 @@ def test_spearman_exchanges_do_not_grow_with_the_columns(spark):
     got = {(r["col_a"], r["col_b"]): r["r"] for r in correlation.spearman_pairs(df).collect()}
     want = pdf.corr("spearman")
     assert len(got) == 21 and all(abs(want.loc[a, b] - r) < 1e-9 for (a, b), r in got.items())
+
+
+def test_spearman_bounds_what_a_task_folds_and_joins(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"a": rng.integers(0, 3, 400), "b": np.where(rng.random(400) < 0.7, 1, rng.integers(0, 300, 400)), "c": rng.random(400)})
+    df = spark.createDataFrame(pdf)
+    monkeypatch.setattr(correlation, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(correlation, "FREQUENT", 20)
+    assert correlation._ranked_rows(df, list(pdf.columns)).rdd.getNumPartitions() == 9
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in correlation.spearman_pairs(df).collect()}
+    want = pdf.corr("spearman")
+    assert len(got) == 3 and all(abs(want.loc[a, b] - r) < 1e-9 for (a, b), r in got.items())
