@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import clean, correlation, ordering, prep, similarity
+from plumbline.operators import checks, clean, correlation, metrics, ordering, prep, similarity
 from plumbline.operators.quantiles import grouped_quantiles, quantiles
 
 RNG = np.random.default_rng(7)
@@ -235,3 +235,23 @@ def test_typo_corrections_go_most_frequent_first(spark, letters, ratio, monkeypa
     to = {v: best for v, best, _ in want}
     assert fixed_rows.columns == df.columns
     assert sorted(map(tuple, collect(fixed_rows))) == sorted([(i, to.get(v, v), "x", None) for i, v in enumerate(values)] + [(-1, None, None, None)], key=lambda r: r[0])
+
+
+def test_duplicate_counts_compare_rows_only_where_hashes_agree(spark):
+    nan = float("nan")
+    rows = [(None, 5, 0.0, "x" * 31, [1]), (5, None, 0.0, "x" * 32, [1]), (5, None, 1.0, "x" * 40, None), (None, None, nan, None, [None])]
+    df = spark.createDataFrame(rows, "a int, b int, c double, d string, e array<int>")
+    plan = checks.duplicate_counts(df)
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert tuple(plan.first()) == (4, 0)
+    again = df.union(spark.createDataFrame([(None, 5, -0.0, "x" * 31, [1]), (None, None, nan, None, [None]), (5, None, 1.0, "x" * 39, None)], df.schema))
+    assert tuple(checks.duplicate_counts(again).first()) == (7, 2)
+    assert tuple(checks.duplicate_counts(df.limit(0)).first()) == (0, 0)
+
+
+def test_text_measures_of_values_are_those_of_cells(spark):
+    texts = ["Ab", "ab", "AB", " ab ", "a  b", "12", "$3", "no", "yes", "N/A", "<b>", "2020-01-02", "it's", "", None]
+    df = spark.createDataFrame([(texts[i * i % 15], None, texts[i % 4]) for i in range(300)], "s string, none string, t string")
+    cells = metrics.text_profile(df).orderBy("position").collect()
+    for few in ({"s": 15, "none": 0, "t": 4}, {"s": 15}, {}):
+        assert metrics.text_profile(df, estimates=few).orderBy("position").collect() == cells
