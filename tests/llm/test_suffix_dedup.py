@@ -122,6 +122,24 @@ def test_hot_passage(spark):
     assert got == dict(enumerate(plain([t.encode() for t in texts], 40)))
 
 
+@pytest.mark.parametrize("fold", [20_000, 60])
+def test_hot_passage_is_one_run(spark, fold, monkeypatch):
+    """A passage in every text comes back as one row a text, however many suffixes lie in it."""
+    monkeypatch.setattr(suffix_dedup, "FOLD", fold, raising=False)
+    rng = random.Random(3)
+    common = "".join(rng.choice("abcd") for _ in range(600))
+    texts = ["".join(rng.choice("ab") for _ in range(80)) + common + "".join(rng.choice("cd") for _ in range(80)) for _ in range(100)]
+    texts += ["".join(rng.choice("abcd") for _ in range(300)), common[:200] + "ab" * 30 + common[300:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    table = suffix_dedup._texts(df, "text", 40)
+    wanted = table.selectExpr("owner", "explode(keys) AS key")
+    runs = suffix_dedup._reached_large(table, wanted, 40, 20).collect()
+    raw = [t.encode() for t in texts]
+    owner = {hashlib.sha256(t).digest()[:16]: i for i, t in enumerate(raw)}
+    assert sorted((owner[bytes(r["owner"])], r["begin"], r["end"]) for r in runs) == [
+        (i, b, e) for i, found in enumerate(plain(raw, 40)) for b, e in found]
+
+
 def test_odd_rows(spark):
     long = "some words that are long enough " * 20
     df = spark.createDataFrame([(1, None), (2, ""), (None, long), (3, long), (3, long), (4, "short")], "doc_id long, text string")
