@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import name
-from plumbline.llm.common import body, once, stored
+from plumbline.llm.common import body, once
 from plumbline.llm.tokens import gathered, pieces_of
 from plumbline.session import local_table, shared_path
 
@@ -40,7 +40,7 @@ UNITS_AT_ONCE = 50_000    # runs between spaces cut into words, and words hashed
 LAID_OUT_AT_ONCE = 500_000    # words
 GROUP_WORDS = 2_000       # words folded at once
 BUCKET_TEXT = 4 << 20     # bytes of text for each bucket of words
-BLOCK_TEXT = 32 << 20     # bytes of text per block; larger blocks repeat fewer words
+BLOCK_TEXT = 16 << 20     # bytes of text per block; larger blocks repeat fewer words, smaller ones need less memory
 UNKNOWN_PENALTY = 10.0    # a character without a piece scores so much below the worst piece
 
 
@@ -429,7 +429,7 @@ def encode(docs: DataFrame, model: PieceModel, id_column: str = "doc_id", text_c
     # A word becomes many substrings: small partitions, and all edges of a group stay in its own.
     spread = groups.repartition(buckets, "bucket", "start")
     words = spread.select("bucket", "start", F.posexplode("words").alias("w", "word"))
-    told = stored(encode_words(words, model), "word-ids")
+    told = encode_words(words, model)
 
     def answer(own: pa.Table, dictionary: pa.Table) -> pa.Table:
         coded, block, size = _gathered_words(own)

@@ -35,6 +35,29 @@ def test_ids(spark, folded, monkeypatch):
     assert encode(spark.createDataFrame([], "doc_id long, text string"), MODEL).collect() == []
 
 
+def test_words_travel_in_buckets(spark, monkeypatch):
+    """A block sends its words in a row for each bucket, not in a row for each word; many blocks and buckets give the same ids."""
+    monkeypatch.setattr(piece_lattice, "BLOCK_TEXT", 4_000)
+    monkeypatch.setattr(piece_lattice, "BUCKET_TEXT", 3_000)
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdeé漢z") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = piece_lattice._blocks(docs, MODEL, 7).collect()
+    blocks, lists = [r for r in rows if r.codes is not None], [r for r in rows if r.bucket is not None]
+    assert len(blocks) > 8 and {r.block for r in blocks} == {r.block for r in lists}
+    assert len(lists) == len({(r.block, r.bucket) for r in lists}) <= 7 * len(blocks)
+    assert {r.bucket for r in lists} == set(range(7))
+    assert {r.doc_id: r.ids for r in encode(docs, MODEL).collect()} == {k: LIBRARY.encode(t) for k, t in enumerate(texts)}
+
+
+def test_many_groups_in_a_bucket(spark):
+    """More distinct words than one group folds, all in one bucket, with words beyond the fold among them."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.choice([3, 6, 9, 90]))) for _ in range(3 * piece_lattice.GROUP_WORDS)]
+    docs = spark.createDataFrame([(k, " ".join(words[k::5])) for k in range(5)], "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in encode(docs, MODEL).collect()} == {k: LIBRARY.encode(" ".join(words[k::5])) for k in range(5)}
+
+
 def best_path(word, scores, unknown):
     @cache
     def best(a):
